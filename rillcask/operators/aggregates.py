@@ -120,13 +120,10 @@ def pivot_periods(
 ) -> DataFrame:
     """Sums over chosen months counted back from ``as_of``: name -> (months back, value).
 
-    The rows are filtered to the months in use, so old partitions are not read.
+    Rows before the earliest month are filtered out, so old partitions are not read.
     """
-    months = sorted({m for back, _ in periods.values() for m in back})
-    start, end = month_start(as_of, months[-1]), month_start(as_of, months[0] - 1)
-    rows = df.where(
-        (F.col(ts) >= start.cast("timestamp_ntz")) & (F.col(ts) < end.cast("timestamp_ntz"))
-    )
+    earliest = max(m for back, _ in periods.values() for m in back)
+    rows = df.where(F.col(ts) >= month_start(as_of, earliest).cast("timestamp_ntz"))
     month = F.trunc(F.col(ts), "month")
     aggs = {
         name: sum_where(month.isin(*[month_start(as_of, m) for m in back]), value)
