@@ -63,4 +63,4 @@ def load() -> None:
         importlib.import_module(f"{__name__}.{name}")
 
 
-MODULES = ["streams"]
+MODULES = ["rows", "aggregates", "joins", "ordered", "streams", "quality", "plans"]

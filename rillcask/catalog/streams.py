@@ -313,3 +313,9 @@ def stream_first_rows(spark, folder):
     """A streaming query that ends after 500 rows."""
     out = stream_query(stream(spark, folder), ["event_id", "value"], "value > 10", 500)
     return sinks.run_append(out, "first-rows").agg(F.count(F.lit(1)).alias("n"))
+
+
+def table_stream(spark, folder, name):
+    """Any driver table as a stream."""
+    schema = table(spark, folder, name).schema
+    return read_stream(spark, f"{folder}/{name}[.]parquet", schema)
