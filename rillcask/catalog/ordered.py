@@ -35,10 +35,10 @@ RANKS = f"""select event_id, event_type, rank() over (partition by event_type or
     from {EVENTS}"""
 
 
-def _ranks(rows, limit=None):
+def _ranks(rows, hot=None):
     out = ordered.ranked(
         rows.select("event_id", "event_type", "cents"), ["event_type"], "cents",
-        descending=True, rank="place", percent="share", dense="dense", limit=limit,
+        descending=True, rank="place", percent="share", dense="dense", hot=hot,
     )
     return out.drop("cents")
 
@@ -58,10 +58,10 @@ DECILES = f"""select event_id, ntile(10) over (partition by event_type order by
     as decile from {EVENTS}"""
 
 
-def _deciles(rows, limit=None):
+def _deciles(rows, hot=None):
     rows = rows.select("event_id", "event_type", "cents")
     return ordered.tiled(
-        rows, ["event_type"], ["cents", "event_id"], 10, "decile", limit
+        rows, ["event_type"], ["cents", "event_id"], 10, "decile", hot
     ).select("event_id", "decile")
 
 
@@ -135,11 +135,11 @@ ROLLING = f"""select event_id, sum(cents) over ({W} rows between 6 preceding and
     count(*) over ({W} rows between 6 preceding and current row) as n from {EVENTS}"""
 
 
-def _rolling(rows, limit=None):
+def _rolling(rows, hot=None):
     rows = rows.select("event_id", "user_id", "ts", "cents")
     return ordered.rolling(rows, BY_USER, BY_TIME, 6, {
         "total": F.sum("cents"), "mean": F.avg("cents"), "n": F.count(F.lit(1)),
-    }, limit).select("event_id", "total", "mean", "n")
+    }, hot).select("event_id", "total", "mean", "n")
 
 
 @query("rolling", ROLLING)
@@ -182,10 +182,10 @@ HISTORY = f"""select event_id, array_to_string(list(event_type) over
     ({W} rows between unbounded preceding and current row))), ',') as seen from events"""
 
 
-def _history(rows, limit=None):
+def _history(rows, hot=None):
     rows = rows.select("event_id", "user_id", "ts", "event_type")
-    rows = ordered.last_values(rows, BY_USER, BY_TIME, 4, "event_type", "recent", limit)
-    rows = ordered.seen_so_far(rows, BY_USER, BY_TIME, "event_type", "seen", limit)
+    rows = ordered.last_values(rows, BY_USER, BY_TIME, 4, "event_type", "recent", hot)
+    rows = ordered.seen_so_far(rows, BY_USER, BY_TIME, "event_type", "seen", hot)
     return rows.select(
         "event_id", F.array_join("recent", ",").alias("recent"),
         F.array_join("seen", ",").alias("seen"),
@@ -236,5 +236,5 @@ def asof_join_in_blocks(spark, folder):
     viewed = prefix_columns(rows.where("event_type = 'view'"), "v_")
     return joins.asof_join(
         bought, viewed, [("p_all", "v_all")], "p_ts", "v_ts", "v_event_id",
-        limit=block_rows(rows),
+        hot=block_rows(rows),
     ).select("p_event_id", "v_event_id")

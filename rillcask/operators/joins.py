@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillcask.operators.ordered import filled
+from rillcask.operators.ordered import Limit, filled
 
 Pairs = list[tuple[str, str]]
 
@@ -90,7 +90,7 @@ def ttl_join(
 
 def asof_join(
     left: DataFrame, right: DataFrame, pairs: Pairs, left_ts: str, right_ts: str,
-    tiebreak: str, forward: bool = False, strict: bool = False, limit: int | None = None,
+    tiebreak: str, forward: bool = False, strict: bool = False, hot: Limit = None,
 ) -> DataFrame:
     """Each left row with the right row valid at its time, or NULLs.
 
@@ -128,7 +128,7 @@ def asof_join(
     )
     time = F.col("__t").desc() if forward else F.col("__t").asc()
     order = [time, F.col("__side"), F.col("__tie")]
-    found = filled(both, keys, order, "__right", "__found", limit)
+    found = filled(both, keys, order, "__right", "__found", hot)
     return found.where(F.col("__side") == left_side).select(
         "__left.*", *[F.col(f"__found.{c}").alias(c) for c in right.columns]
     )
@@ -190,7 +190,7 @@ def vs_global(df: DataFrame, values: dict[str, Column], of: DataFrame | None = N
 
 def sequence_match(
     df: DataFrame, key: str, ts: str, kind: str, steps: list[str], within: str, tiebreak: str,
-    limit: int | None = None,
+    hot: Limit = None,
 ) -> DataFrame:
     """Rows of ``steps[0]`` followed in order by the other steps within a time limit.
 
@@ -206,7 +206,7 @@ def sequence_match(
         )
         out = asof_join(
             out, later, [(key, "__key")], f"step_{i - 1}", f"step_{i}", "__event",
-            forward=True, strict=True, limit=limit,
+            forward=True, strict=True, hot=hot,
         ).drop("__key", "__event").where(
             F.col(f"step_{i}")
             <= F.col("step_1") + F.expr(f"INTERVAL '{_seconds(within)}' SECOND")

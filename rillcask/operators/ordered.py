@@ -11,9 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from rillcask.operators.skew import (
-    POS, SIZE, hot_groups, hot_rows_limit, positions, same, split_hot,
-)
+from rillcask.operators.skew import POS, SIZE, Hot, find_hot, pinned, positions, same, split_hot
+
+Limit = Hot | int | None
 
 WindowColumns = dict[str, Callable[[WindowSpec], Column]]
 
@@ -24,26 +24,25 @@ def _columns(order: list[str | Column]) -> list[Column]:
 
 def windowed(
     df: DataFrame, part: list[str], order: list[str | Column], cols: WindowColumns,
-    reach: int, limit: int | None = None,
+    reach: int, hot: Limit = None,
 ) -> DataFrame:
     """Add window columns whose frames reach at most ``reach`` rows back.
 
     A hot group is cut into chunks by position. The last ``reach`` rows of a chunk are
     also sent to the next one, so each chunk sees its whole frames.
     """
-    limit = limit or hot_rows_limit(df)
+    hot = find_hot(df, part, hot)
     order = _columns(order)
 
     def add(rows: DataFrame, spec: WindowSpec) -> DataFrame:
         return rows.select("*", *[make(spec).alias(name) for name, make in cols.items()])
 
     plain = Window.partitionBy(*part).orderBy(*order)
-    hot = hot_groups(df, part, limit)
-    if hot is None:
+    if not hot:
         return add(df, plain)
-    cold, big = split_hot(df, part, hot)
-    size = max(limit, reach + 1)
-    numbered = positions(big, part, order, hot, limit)
+    cold, big = split_hot(df, part, hot.groups)
+    size = max(hot.limit, reach + 1)
+    numbered = positions(big, part, order, hot)
     index = F.col(POS) - 1
     chunk = F.floor(index / size)
     targets = F.when(index % size >= size - reach, F.array(chunk, chunk + 1)).otherwise(
@@ -57,10 +56,10 @@ def windowed(
 
 def numbered(
     df: DataFrame, part: list[str], order: list[str | Column], name: str = POS,
-    size: str | None = None, limit: int | None = None,
+    size: str | None = None, hot: Limit = None,
 ) -> DataFrame:
     """ROW_NUMBER per group; ``size`` adds the group's row count."""
-    limit = limit or hot_rows_limit(df)
+    hot = find_hot(df, part, hot)
     order = _columns(order)
 
     def plain(rows: DataFrame) -> DataFrame:
@@ -68,11 +67,10 @@ def numbered(
         out = rows.withColumn(name, F.row_number().over(spec.orderBy(*order)).cast("long"))
         return out.withColumn(size, F.count(F.lit(1)).over(spec)) if size else out
 
-    hot = hot_groups(df, part, limit)
-    if hot is None:
+    if not hot:
         return plain(df)
-    cold, big = split_hot(df, part, hot)
-    done = positions(big, part, order, hot, limit).withColumnRenamed(POS, name)
+    cold, big = split_hot(df, part, hot.groups)
+    done = positions(big, part, order, hot).withColumnRenamed(POS, name)
     done = done.withColumnRenamed(SIZE, size) if size else done.drop(SIZE)
     return plain(cold).unionByName(done)
 
@@ -80,10 +78,10 @@ def numbered(
 def ranked(
     df: DataFrame, part: list[str], value: str, *, descending: bool = False,
     rank: str | None = None, percent: str | None = None, dense: str | None = None,
-    limit: int | None = None,
+    hot: Limit = None,
 ) -> DataFrame:
     """RANK, PERCENT_RANK and DENSE_RANK of ``value`` within the group; ties share a rank."""
-    limit = limit or hot_rows_limit(df)
+    hot = find_hot(df, part, hot)
     direction = F.col(value).desc() if descending else F.col(value).asc()
     spec = Window.partitionBy(*part).orderBy(direction)
 
@@ -91,17 +89,16 @@ def ranked(
         made = [(rank, F.rank()), (percent, F.percent_rank()), (dense, F.dense_rank())]
         return rows.select("*", *[fn.over(spec).alias(name) for name, fn in made if name])
 
-    hot = hot_groups(df, part, limit)
-    if hot is None:
+    if not hot:
         return plain(df)
-    cold, big = split_hot(df, part, hot)
+    cold, big = split_hot(df, part, hot.groups)
     # one row per distinct value; a value's rank is the position of its first row
-    placed = positions(big, part, [direction], hot, limit)
+    placed = positions(big, part, [direction], hot)
     firsts = placed.groupBy(*part, value).agg(
         F.min(POS).alias("__rank"), F.first(SIZE).alias("__n")
     )
     if dense:
-        firsts = numbered(firsts, part, [direction], "__dense", limit=limit)
+        firsts = numbered(firsts, part, [direction], "__dense", hot=hot.limit)
     keys = [*part, value]
     firsts = firsts.select(
         *[F.col(k).alias(f"__v{i}") for i, k in enumerate(keys)],
@@ -121,10 +118,10 @@ def ranked(
 
 def tiled(
     df: DataFrame, part: list[str], order: list[str | Column], n: int, name: str,
-    limit: int | None = None,
+    hot: Limit = None,
 ) -> DataFrame:
     """NTILE(n): the first ``size mod n`` tiles take one row more than the others."""
-    rows = numbered(df, part, order, POS, SIZE, limit)
+    rows = numbered(df, part, order, POS, SIZE, hot)
     base, extra = F.floor(F.col(SIZE) / n), F.col(SIZE) % n
     wide = extra * (base + 1)
     index = F.col(POS) - 1
@@ -136,10 +133,10 @@ def tiled(
 
 def filled(
     df: DataFrame, part: list[str], order: list[str | Column], value: str, name: str,
-    limit: int | None = None,
+    hot: Limit = None,
 ) -> DataFrame:
     """Last non-null ``value`` at or before each row of its group."""
-    limit = limit or hot_rows_limit(df)
+    hot = find_hot(df, part, hot)
     order = _columns(order)
     upto = (Window.unboundedPreceding, Window.currentRow)
     plain = Window.partitionBy(*part).orderBy(*order).rowsBetween(*upto)
@@ -147,12 +144,11 @@ def filled(
     def fill(rows: DataFrame) -> DataFrame:
         return rows.withColumn(name, F.last(value, ignorenulls=True).over(plain))
 
-    hot = hot_groups(df, part, limit)
-    if hot is None:
+    if not hot:
         return fill(df)
-    cold, big = split_hot(df, part, hot)
-    rows = positions(big, part, order, hot, limit).withColumn(
-        "__chunk", F.floor((F.col(POS) - 1) / limit)
+    cold, big = split_hot(df, part, hot.groups)
+    rows = positions(big, part, order, hot).withColumn(
+        "__chunk", F.floor((F.col(POS) - 1) / hot.limit)
     )
     groups = [f"__c{i}" for i in range(len(part))]
     earlier = Window.partitionBy(*groups).orderBy("__k").rowsBetween(
@@ -179,21 +175,29 @@ def filled(
 
 def seen_so_far(
     df: DataFrame, part: list[str], order: list[str | Column], value: str, name: str,
-    limit: int | None = None,
+    hot: Limit = None,
 ) -> DataFrame:
     """Sorted array of the distinct values of a group up to and including each row.
 
-    A value joins the set at its first row only, so the running set is built from the
-    first rows and then carried forward to all others.
+    In a hot group a value joins the set at its first row only, so the running set is
+    built from the first rows and then carried forward to all others.
     """
     order = _columns(order)
-    limit = limit or hot_rows_limit(df)
-    rows = numbered(df, part, order, "__row", limit=limit)
-    keys = [*part, value]
-    firsts = rows.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.min("__row").alias("__at"))
-    running = Window.partitionBy(*part).orderBy("__at").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
+    hot = find_hot(df, part, hot)
+    upto = (Window.unboundedPreceding, Window.currentRow)
+    plain = Window.partitionBy(*part).orderBy(*order).rowsBetween(*upto)
+
+    def collect(rows: DataFrame) -> DataFrame:
+        return rows.withColumn(name, F.array_sort(F.collect_set(value).over(plain)))
+
+    if not hot:
+        return collect(df)
+    cold, big = split_hot(df, part, hot.groups)
+    rows = positions(big, part, order, hot).withColumnRenamed(POS, "__row").drop(SIZE)
+    firsts = rows.where(F.col(value).isNotNull()).groupBy(*part, value).agg(
+        F.min("__row").alias("__at")
     )
+    running = Window.partitionBy(*part).orderBy("__at").rowsBetween(*upto)
     firsts = firsts.select(
         *[F.col(p).alias(f"__s{i}") for i, p in enumerate(part)], "__at",
         F.array_sort(F.collect_list(value).over(running)).alias("__set"),
@@ -202,44 +206,45 @@ def seen_so_far(
     marked = rows.join(firsts, match, "left").drop(
         "__at", *[f"__s{i}" for i in range(len(part))]
     )
-    out = filled(marked, part, ["__row"], "__set", name, limit)
-    empty = F.array().cast(out.schema[name].dataType)
-    return out.withColumn(name, F.coalesce(F.col(name), empty)).drop("__set", "__row")
+    done = filled(marked, part, ["__row"], "__set", name, hot)
+    empty = F.array().cast(done.schema[name].dataType)
+    done = done.withColumn(name, F.coalesce(F.col(name), empty)).drop("__set", "__row")
+    return collect(cold).unionByName(done)
 
 
 def lagged(
     df: DataFrame, part: list[str], order: list[str | Column], value: str, n: int, name: str,
-    limit: int | None = None,
+    hot: Limit = None,
 ) -> DataFrame:
     """LAG(value, n)."""
     return windowed(
-        df, part, order, {name: lambda w: F.lag(value, n).over(w)}, reach=n, limit=limit
+        df, part, order, {name: lambda w: F.lag(value, n).over(w)}, reach=n, hot=hot
     )
 
 
 def rolling(
     df: DataFrame, part: list[str], order: list[str | Column], n: int,
-    aggs: dict[str, Column], limit: int | None = None,
+    aggs: dict[str, Column], hot: Limit = None,
 ) -> DataFrame:
     """Aggregates over the last ``n`` rows before the current one and the row itself."""
     cols = {
         name: (lambda w, agg=agg: agg.over(w.rowsBetween(-n, 0))) for name, agg in aggs.items()
     }
-    return windowed(df, part, order, cols, reach=n, limit=limit)
+    return windowed(df, part, order, cols, reach=n, hot=hot)
 
 
 def rolling_ndv(
     df: DataFrame, part: list[str], order: list[str | Column], n: int, value: str, name: str,
-    limit: int | None = None,
+    hot: Limit = None,
 ) -> DataFrame:
     """Distinct values in the last ``n`` rows and the current one."""
     cols = {name: lambda w: F.size(F.collect_set(value).over(w.rowsBetween(-n, 0)))}
-    return windowed(df, part, order, cols, reach=n, limit=limit)
+    return windowed(df, part, order, cols, reach=n, hot=hot)
 
 
 def rolling_zscore(
     df: DataFrame, part: list[str], order: list[str | Column], n: int, value: str, name: str,
-    limit: int | None = None,
+    hot: Limit = None,
 ) -> DataFrame:
     """(value - rolling mean) / rolling deviation; 0 where the deviation is 0 or NULL."""
     def score(w: WindowSpec) -> Column:
@@ -247,21 +252,21 @@ def rolling_zscore(
         sd = F.stddev_samp(value).over(frame)
         return F.when(sd > 0, (F.col(value) - F.avg(value).over(frame)) / sd).otherwise(0.0)
 
-    return windowed(df, part, order, {name: score}, reach=n, limit=limit)
+    return windowed(df, part, order, {name: score}, reach=n, hot=hot)
 
 
 def last_values(
     df: DataFrame, part: list[str], order: list[str | Column], n: int, value: str, name: str,
-    limit: int | None = None,
+    hot: Limit = None,
 ) -> DataFrame:
     """Array of the last ``n`` values before the current one and the value itself."""
     cols = {name: lambda w: F.collect_list(value).over(w.rowsBetween(-n, 0))}
-    return windowed(df, part, order, cols, reach=n, limit=limit)
+    return windowed(df, part, order, cols, reach=n, hot=hot)
 
 
 def gap_features(
     df: DataFrame, part: list[str], ts: str, tiebreak: str, days: str = "days_since_last",
-    hours: str = "hours_since_last", limit: int | None = None,
+    hours: str = "hours_since_last", hot: Limit = None,
 ) -> DataFrame:
     """Calendar days and hours since the group's previous row."""
     cols = {
@@ -270,7 +275,7 @@ def gap_features(
             F.unix_timestamp(ts) - F.unix_timestamp(F.lag(ts).over(w))
         ) / F.lit(3600.0),
     }
-    return windowed(df, part, [ts, tiebreak], cols, reach=1, limit=limit)
+    return windowed(df, part, [ts, tiebreak], cols, reach=1, hot=hot)
 
 
 def growth(current: Column, base: Column, scale: int = 100) -> Column:
@@ -280,11 +285,11 @@ def growth(current: Column, base: Column, scale: int = 100) -> Column:
 
 def lag_growth(
     df: DataFrame, part: list[str], order: list[str | Column], value: str, n: int, name: str,
-    limit: int | None = None,
+    hot: Limit = None,
 ) -> DataFrame:
     """Percent change against the value ``n`` rows earlier."""
     cols = {name: lambda w: growth(F.col(value), F.lag(value, n).over(w))}
-    return windowed(df, part, order, cols, reach=n, limit=limit)
+    return windowed(df, part, order, cols, reach=n, hot=hot)
 
 
 def date_growth(
@@ -301,7 +306,7 @@ def date_growth(
 
 def anomaly_flag(
     df: DataFrame, part: list[str], order: list[str | Column], value: str, n: int,
-    high: float, low: float, name: str, labels: tuple[str, str, str], limit: int | None = None,
+    high: float, low: float, name: str, labels: tuple[str, str, str], hot: Limit = None,
 ) -> DataFrame:
     """Compare a value with the mean of the ``n`` rows before it, the row itself left out.
 
@@ -315,7 +320,7 @@ def anomaly_flag(
             .otherwise(labels[2])
         )
 
-    return windowed(df, part, order, {name: flag}, reach=n, limit=limit)
+    return windowed(df, part, order, {name: flag}, reach=n, hot=hot)
 
 
 def outlier_flag(
@@ -329,16 +334,16 @@ def outlier_flag(
     means = df.groupBy(*[F.col(p).alias(f"__m{i}") for i, p in enumerate(part)]).agg(
         F.avg(value).alias("__mean")
     )
-    out = df.join(means, same(df, part, "__m"), "left")
+    out = df.join(pinned(means), same(df, part, "__m"), "left")
     return out.withColumn(
         name, F.when(F.col(value) > F.col("__mean") * times, 1).otherwise(0)
     ).drop("__mean", *[f"__m{i}" for i in range(len(part))])
 
 
-def encode_category(df: DataFrame, value: str, name: str, limit: int | None = None) -> DataFrame:
+def encode_category(df: DataFrame, value: str, name: str, hot: Limit = None) -> DataFrame:
     """DENSE_RANK over the whole table: only the distinct values are ranked, then joined."""
-    codes = numbered(df.select(F.col(value).alias("__value")).distinct(), [], ["__value"],
-                     "__code", limit=limit)
+    values = pinned(df.select(F.col(value).alias("__value")).distinct())
+    codes = numbered(values, [], ["__value"], "__code", hot=hot)
     return df.join(codes, F.col(value).eqNullSafe(F.col("__value")), "left").withColumn(
         name, F.col("__code").cast("int")
     ).drop("__value", "__code")

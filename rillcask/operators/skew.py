@@ -19,10 +19,23 @@ HOT_ROWS = 4_000_000
 HOT_ROWS_SETTING = "spark.rillcask.hotRows"
 MAX_HOT_GROUPS = 10_000
 
+# A table of at most this many rows is small enough to send to every executor.
+BROADCAST_ROWS = 100_000
+
 POS = "__pos"
 SIZE = "__size"
 
 
+class Hot:
+    """The groups above the limit, or none of them; see ``find_hot``."""
+
+    def __init__(self, groups: DataFrame | None, limit: int) -> None:
+        self.groups, self.limit = groups, limit
+
+    def __bool__(self) -> bool:
+        return self.groups is not None
+
+
 def hot_rows_limit(df: DataFrame) -> int:
     """Rows one task may hold for a single group."""
     return int(df.sparkSession.conf.get(HOT_ROWS_SETTING, str(HOT_ROWS)))
@@ -37,14 +50,13 @@ def same(df: DataFrame, names: list[str], other_prefix: str) -> Column:
     )
 
 
-def hot_groups(df: DataFrame, part: list[str], limit: int | None = None) -> DataFrame | None:
+def hot_groups(df: DataFrame, part: list[str], limit: int) -> DataFrame | None:
     """Groups of ``part`` with more than ``limit`` rows as (__h0.., __size), or None.
 
     The list holds the largest groups, at most MAX_HOT_GROUPS, so it is small enough to
     broadcast. A group beyond that rank has less than 1/MAX_HOT_GROUPS of all rows and
     stays on the plain window path, which is exact as well.
     """
-    limit = limit or hot_rows_limit(df)
     named = [F.col(n).alias(f"__h{i}") for i, n in enumerate(part)]
     counts = (
         df.groupBy(*named).agg(F.count(F.lit(1)).alias(SIZE)).where(F.col(SIZE) > limit)
@@ -54,6 +66,28 @@ def hot_groups(df: DataFrame, part: list[str], limit: int | None = None) -> Data
     return df.sparkSession.createDataFrame(rows, counts.schema) if rows else None
 
 
+def find_hot(df: DataFrame, part: list[str], hot: Hot | int | None = None) -> Hot:
+    """Count the groups, unless the caller has done so. A number replaces the limit.
+
+    Only the group columns are read. A caller with several windows over the same groups
+    counts once and passes the result on.
+    """
+    if isinstance(hot, Hot):
+        return hot
+    limit = hot or hot_rows_limit(df)
+    return Hot(hot_groups(df, part, limit), limit)
+
+
+def pinned(df: DataFrame) -> DataFrame:
+    """Write an aggregate to the shared folder once; broadcast it if it proved small.
+
+    Without this a join with it would shuffle the large side by its few distinct keys.
+    """
+    shared_dir(df.sparkSession)
+    kept = df.checkpoint()
+    return F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept
+
+
 def split_hot(df: DataFrame, part: list[str], hot: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows of other groups, rows of hot groups)."""
     match = same(df, part, "__h")
@@ -63,9 +97,7 @@ def split_hot(df: DataFrame, part: list[str], hot: DataFrame) -> tuple[DataFrame
     return df.join(small, match, "left_anti"), df.join(small, match, "left_semi")
 
 
-def positions(
-    df: DataFrame, part: list[str], order: list[Column], hot: DataFrame, limit: int
-) -> DataFrame:
+def positions(df: DataFrame, part: list[str], order: list[Column], hot: Hot) -> DataFrame:
     """Exact position and group size of every row of the hot groups.
 
     The rows are range-partitioned on (group, order), so a group spans many tasks. The
@@ -73,8 +105,8 @@ def positions(
     block counts and the rows agree and a lost executor cannot change a position.
     """
     shared_dir(df.sparkSession)
-    total = hot.agg(F.sum(SIZE)).first()[0]
-    blocks = max(2, -(-total // limit))
+    total = hot.groups.agg(F.sum(SIZE)).first()[0]
+    blocks = max(2, -(-total // hot.limit))
     keys = [F.col(n) for n in part]
     laid = (
         df.repartitionByRange(int(blocks), *keys, *order)

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from rillcask.functions.nested import item, map_value, sorted_keys, values_by_key
 from rillcask.functions.strings import json_field
-from rillcask.operators.ordered import last_values, seen_so_far
+from rillcask.operators.ordered import Limit, last_values, seen_so_far
 from rillcask.operators.rows import recent
+from rillcask.operators.skew import find_hot
 
 
 def event_processing(
-    events: DataFrame, as_of: str, tiebreak: str = "event_id", limit: int | None = None
+    events: DataFrame, as_of: str, tiebreak: str = "event_id", hot: Limit = None
 ) -> DataFrame:
     """Last day's events with flattened properties and the user's recent history.
 
@@ -46,10 +47,11 @@ def event_processing(
         ),
     )
     order = ["event_timestamp", tiebreak]
+    hot = find_hot(rows, ["user_id"], hot)
     flat = last_values(
-        flat, ["user_id"], order, 4, "event_type", "recent_event_types", limit
+        flat, ["user_id"], order, 4, "event_type", "recent_event_types", hot
     )
     flat = seen_so_far(
-        flat, ["user_id"], order, "user_country", "all_user_countries", limit
+        flat, ["user_id"], order, "user_country", "all_user_countries", hot
     )
     return flat.orderBy("user_id", "event_timestamp")

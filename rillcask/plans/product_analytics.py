@@ -5,27 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillcask.operators.ordered import numbered, ranked, windowed
+from rillcask.operators.ordered import Limit, numbered, ranked, windowed
 from rillcask.operators.rows import recent
+from rillcask.operators.skew import find_hot
 
 
 def product_analytics(
-    events: DataFrame, as_of: str, tiebreak: str, limit: int | None = None
+    events: DataFrame, as_of: str, tiebreak: str, hot: Limit = None
 ) -> DataFrame:
     """Recency rank, previous and rolling revenue, rank in category and time features."""
     product, ts = ["product_id"], "event_timestamp"
     rows = recent(events, ts, as_of, 30).where(F.col("revenue") > 0)
+    by_product = find_hot(rows, product, hot)
     rows = numbered(
         rows, product, [F.col(ts).desc(), F.col(tiebreak).desc()], "latest_event_rank",
-        limit=limit,
+        hot=by_product,
     )
     rows = windowed(rows, product, [ts, tiebreak], {
         "prev_revenue": lambda w: F.lag("revenue", 1).over(w),
         "rolling_7day_revenue": lambda w: F.sum("revenue").over(w.rowsBetween(-6, 0)),
-    }, reach=6, limit=limit)
+    }, reach=6, hot=by_product)
     rows = ranked(
         rows, ["category"], "revenue", descending=True, rank="revenue_rank_in_category",
-        limit=limit,
+        hot=hot,
     )
     hour = F.hour(ts)
     return rows.withColumns({

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillcask.operators.aggregates import growth_pct, pivot_periods, trend_label
-from rillcask.operators.ordered import ranked
+from rillcask.operators.ordered import Limit, ranked
 from rillcask.operators.rows import label_rules
+from rillcask.operators.skew import find_hot
 
 
 def pivoted_sales(sales: DataFrame, as_of: str) -> DataFrame:
@@ -25,7 +26,7 @@ def pivoted_sales(sales: DataFrame, as_of: str) -> DataFrame:
     })
 
 
-def sales_pivot(sales: DataFrame, as_of: str, limit: int | None = None) -> DataFrame:
+def sales_pivot(sales: DataFrame, as_of: str, hot: Limit = None) -> DataFrame:
     """Growth, trend and rank of categories and regions with sales last month."""
     # the base table keeps sales from the same day a year ago, so that month is partial
     start = F.add_months(F.lit(as_of).cast("date"), -12).cast("timestamp_ntz")
@@ -41,13 +42,16 @@ def sales_pivot(sales: DataFrame, as_of: str, limit: int | None = None) -> DataF
         "yoy_growth_percent": growth_pct(last, F.col("same_month_last_year_revenue")),
         "revenue_trend": trend_label(last, two, three),
     })
-    rows = ranked(
-        rows, ["product_category"], "last_month_revenue", descending=True,
-        rank="revenue_rank_in_category", limit=limit,
+    category, value = ["product_category"], "last_month_revenue"
+    # regions of a category: counted over the pairs themselves, not over the sales
+    counted = find_hot(
+        sales.where(F.col("sale_date") >= start).select(*category, "region").distinct(),
+        category, hot,
     )
     rows = ranked(
-        rows, ["product_category"], "last_month_revenue", percent="__percentile", limit=limit
+        rows, category, value, descending=True, rank="revenue_rank_in_category", hot=counted
     )
+    rows = ranked(rows, category, value, percent="__percentile", hot=counted)
     mom = F.col("mom_growth_percent")
     return rows.where(last > 0).select(
         "product_category", "region", "last_month_revenue",

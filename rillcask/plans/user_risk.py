@@ -9,8 +9,11 @@ from rillcask.functions.numbers import log10_plus_one, power, safe_ratio, square
 from rillcask.functions.strings import json_field
 from rillcask.functions.times import is_late_night
 from rillcask.operators.aggregates import count_where
-from rillcask.operators.ordered import encode_category, outlier_flag, ranked, tiled, windowed
+from rillcask.operators.ordered import (
+    Limit, encode_category, outlier_flag, ranked, tiled, windowed,
+)
 from rillcask.operators.rows import bucketize, label_rules, recent
+from rillcask.operators.skew import Hot, find_hot
 
 TS, ID = "transaction_timestamp", "transaction_id"
 
@@ -20,7 +23,7 @@ AMOUNT_BUCKETS = [(10, "micro"), (100, "small"), (1000, "medium"), (10000, "larg
 
 def enriched(
     transactions: DataFrame, as_of: str, days: int = 30, ranks: bool = True,
-    limit: int | None = None,
+    hot: Limit = None,
 ) -> DataFrame:
     """Parsed metadata, dollars, risk class and amount transforms of recent rows."""
     meta, amount = F.col("transaction_metadata"), F.col("amount")
@@ -44,19 +47,21 @@ def enriched(
     })
     if not ranks:
         return rows
-    rows = tiled(rows, ["merchant_category"], ["amount", ID], 10, "amount_decile", limit)
-    return ranked(rows, ["user_id"], TS, percent="user_transaction_percentile", limit=limit)
+    tile_limit = hot.limit if isinstance(hot, Hot) else hot
+    rows = tiled(rows, ["merchant_category"], ["amount", ID], 10, "amount_decile", tile_limit)
+    return ranked(rows, ["user_id"], TS, percent="user_transaction_percentile", hot=hot)
 
 
 def fraud_features(
     transactions: DataFrame, as_of: str, days: int = 30, literal_night: bool = False,
-    ranks: bool = True, limit: int | None = None,
+    ranks: bool = True, hot: Limit = None,
 ) -> DataFrame:
     """Rolling behaviour, gaps, z-score and flags per transaction.
 
     All per-user frames share one partitioning and order, so Spark sorts the rows once.
     """
-    rows = enriched(transactions, as_of, days, ranks, limit).withColumns({
+    hot = find_hot(recent(transactions, TS, as_of, days), ["user_id"], hot)
+    rows = enriched(transactions, as_of, days, ranks, hot).withColumns({
         "is_late_night": is_late_night(F.col(TS), literal_night),
         "is_weekend": F.when(F.dayofweek(TS).isin(1, 7), 1).otherwise(0),
     })
@@ -76,7 +81,7 @@ def fraud_features(
         "unique_merchants_30d": lambda w: F.size(F.collect_set(merchant).over(last30(w))),
         "late_night_transactions_30d": lambda w: F.sum("is_late_night").over(last30(w)),
         "__previous": lambda w: F.lag(TS).over(w),
-    }, reach=29, limit=limit)
+    }, reach=29, hot=hot)
     sd = F.col("stddev_spending_30d")
     rows = rows.withColumns({
         "days_since_last_transaction": F.datediff(TS, "__previous"),
@@ -87,7 +92,7 @@ def fraud_features(
             sd > 0, (amount - F.col("avg_spending_30d")) / sd
         ).otherwise(0.0),
     }).drop("__previous")
-    rows = encode_category(rows, merchant, "merchant_category_encoded", limit)
+    rows = encode_category(rows, merchant, "merchant_category_encoded", hot.limit)
     return outlier_flag(rows, [merchant], "amount_usd", 3, "is_large_amount")
 
 
@@ -115,11 +120,11 @@ def risk_features(features: DataFrame) -> DataFrame:
 
 def user_risk(
     transactions: DataFrame, as_of: str, days: int = 30, literal_night: bool = False,
-    min_transactions: int = 5, limit: int | None = None,
+    min_transactions: int = 5, hot: Limit = None,
 ) -> DataFrame:
     """Spending, anomaly and behaviour profile of users with enough transactions."""
     rows = risk_features(
-        fraud_features(transactions, as_of, days, literal_night, ranks=False, limit=limit)
+        fraud_features(transactions, as_of, days, literal_night, ranks=False, hot=hot)
     )
     users = rows.groupBy("user_id").agg(
         F.count(F.lit(1)).alias("total_transactions"),
