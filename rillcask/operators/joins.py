@@ -97,7 +97,7 @@ def asof_join(
     Both sides are stacked, sorted once per key, and the last right row is carried
     along: one shuffle and one output row per left row. ``forward`` looks for the next
     right row instead; ``strict`` leaves out equal times. ``tiebreak`` orders right rows
-    of one time.
+    of one time: the last of them counts, or the first when looking forward.
     """
     keys = [f"__k{i}" for i in range(len(pairs))]
     # at equal times the right row comes first, unless equal times must not match
@@ -126,8 +126,8 @@ def asof_join(
             F.col(tiebreak),
         )
     )
-    time = F.col("__t").desc() if forward else F.col("__t").asc()
-    order = [time, F.col("__side"), F.col("__tie")]
+    time, tie = F.col("__t"), F.col("__tie")
+    order = [time.desc() if forward else time, F.col("__side"), tie.desc() if forward else tie]
     found = filled(both, keys, order, "__right", "__found", hot)
     return found.where(F.col("__side") == left_side).select(
         "__left.*", *[F.col(f"__found.{c}").alias(c) for c in right.columns]
