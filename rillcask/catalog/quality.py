@@ -62,8 +62,8 @@ def broken_rows(spark, folder):
       select o_orderkey as owner, 'changelog.mode' as key, case o_orderstatus when 'F' then 'append'
         when 'O' then 'upsert' else 'retract' end as value from orders where o_orderpriority <> '5-LOW'
       union all select o_orderkey, 'connector', 'kafka' from orders where o_orderstatus = 'P'
-      union all select o_orderkey, 'value.schema-context', case o_orderstatus when 'F' then '.flink-dev'
-        else 'flink-dev' end from orders
+      union all select o_orderkey, 'value.schema-context', case o_orderstatus when 'F' then '.team-a'
+        else 'team-a' end from orders
       union all select o_orderkey, 'unknown', 'x' from orders)
     select owner, key, value, 'invalid_value' as issue, 'error' as severity from props
       where (key = 'changelog.mode' and value not in ('append', 'upsert'))
@@ -80,7 +80,7 @@ def property_rules(spark, folder):
         return rows.select(owner, F.lit(key).alias("key"), value.alias("value"))
 
     mode = F.when(status == "F", "append").when(status == "O", "upsert").otherwise("retract")
-    context = F.when(status == "F", ".flink-dev").otherwise("flink-dev")
+    context = F.when(status == "F", ".team-a").otherwise("team-a")
     props = (
         pair(orders.where("o_orderpriority <> '5-LOW'"), "changelog.mode", mode)
         .union(pair(orders.where("o_orderstatus = 'P'"), "connector", F.lit("kafka")))

@@ -216,6 +216,15 @@ def stream_dedup_window(spark, folder):
     return plain_times(done).select("user_id", "event_type", "first_id", "n", "window_start")
 
 
+@query("stream_distinct", "select distinct user_id, event_type from events")
+def stream_distinct(spark, folder):
+    """Pairs are remembered for longer than the events last."""
+    rows_ = read_stream(spark, f"{folder}/events[.]parquet", SCHEMA)
+    rows_ = times.with_event_time(rows_, "ts", name="ts").select("user_id", "event_type", "ts")
+    out = dedup.distinct_within(rows_, ["user_id", "event_type"], "ts", "60 days")
+    return sinks.run_append(out, "distinct").drop("ts")
+
+
 @query("stream_latest", """
     select user_id, event_id, event_type from (select *, row_number() over
       (partition by user_id order by ts desc, event_id desc) as rn from events) where rn = 1""")

@@ -90,3 +90,14 @@ def dedup_window(
 
 def distinct(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return df.select(*columns).distinct() if columns else df.distinct()
+
+
+def distinct_within(df: DataFrame, columns: list[str], ts: str, ttl: str) -> DataFrame:
+    """Distinct rows of a stream, remembered for ``ttl`` of event time.
+
+    Without a lifetime the state would grow for ever. A row repeated later than that
+    counts as new. A table simply keeps one row per key.
+    """
+    if df.isStreaming:
+        return df.withWatermark(ts, ttl).dropDuplicatesWithinWatermark(columns)
+    return df.dropDuplicates(columns)

@@ -91,44 +91,106 @@ def ranked(
 
     if not hot:
         return plain(df)
+    # the ranks follow from one row per distinct value; the rows themselves are not sorted
     cold, big = split_hot(df, part, hot.groups)
-    # one row per distinct value; a value's rank is the position of its first row
-    placed = positions(big, part, [direction], hot)
-    firsts = placed.groupBy(*part, value).agg(
-        F.min(POS).alias("__rank"), F.first(SIZE).alias("__n")
+    values = cumulated(
+        big.groupBy(*part, value).agg(F.count(F.lit(1)).alias("__rows")), part, [direction],
+        "__rows", "__before", hot.limit,
     )
     if dense:
-        firsts = numbered(firsts, part, [direction], "__dense", hot=hot.limit)
+        values = numbered(values, part, [direction], "__dense", hot=hot.limit)
     keys = [*part, value]
-    firsts = firsts.select(
+    values = values.select(
         *[F.col(k).alias(f"__v{i}") for i, k in enumerate(keys)],
-        *[c for c in firsts.columns if c.startswith("__")],
-    )
-    done = placed.drop(POS, SIZE).join(firsts, same(placed, keys, "__v"))
-    share = F.when(F.col("__n") > 1, (F.col("__rank") - 1) / (F.col("__n") - 1)).otherwise(
-        F.lit(0.0)
+        *[c for c in values.columns if c.startswith("__")],
     )
+    sizes = F.broadcast(hot.groups)
+    done = big.join(sizes, same(big, part, "__h")).join(values, same(big, keys, "__v"))
+    share = F.when(F.col(SIZE) > 1, F.col("__before") / (F.col(SIZE) - 1)).otherwise(F.lit(0.0))
     made = [
-        (rank, F.col("__rank").cast("int")), (percent, share),
+        (rank, (F.col("__before") + 1).cast("int")), (percent, share),
         (dense, F.col("__dense").cast("int") if dense else None),
     ]
     done = done.select(*df.columns, *[column.alias(name) for name, column in made if name])
     return plain(cold).unionByName(done)
 
 
+def _tile(index: Column, size: Column, n: int) -> Column:
+    """Tile of a 0-based position: the first ``size mod n`` tiles take one row more."""
+    base, extra = F.floor(size / n), size % n
+    wide = extra * (base + 1)
+    later = extra + F.floor((index - wide) / F.greatest(base, F.lit(1)))
+    return F.when(index < wide, F.floor(index / (base + 1))).otherwise(later).cast("int") + 1
+
+
 def tiled(
-    df: DataFrame, part: list[str], order: list[str | Column], n: int, name: str,
-    hot: Limit = None,
+    df: DataFrame, part: list[str], order: list[str], n: int, name: str, hot: Limit = None
 ) -> DataFrame:
-    """NTILE(n): the first ``size mod n`` tiles take one row more than the others."""
-    rows = numbered(df, part, order, POS, SIZE, hot)
-    base, extra = F.floor(F.col(SIZE) / n), F.col(SIZE) % n
-    wide = extra * (base + 1)
+    """NTILE(n) over ascending columns, the last of them unique.
+
+    For hot groups only the group and order columns are sorted, to find the first row of
+    each tile. These few rows are sent to all tasks, and every row counts the tile starts
+    at or before it, so the table itself is not shuffled.
+    """
+    hot = find_hot(df, part, hot)
+
+    def plain(rows: DataFrame) -> DataFrame:
+        spec = Window.partitionBy(*part).orderBy(*order)
+        return rows.withColumn(name, F.ntile(n).over(spec))
+
+    if not hot:
+        return plain(df)
+    cold, big = split_hot(df, part, hot.groups)
+    narrow = big.select(*dict.fromkeys([*part, *order]))
+    placed = positions(narrow, part, _columns(order), hot)
     index = F.col(POS) - 1
-    tile = F.when(index < wide, F.floor(index / (base + 1))).otherwise(
-        extra + F.floor((index - wide) / F.greatest(base, F.lit(1)))
+    opens = (index == 0) | (_tile(index, F.col(SIZE), n) != _tile(index - 1, F.col(SIZE), n))
+    # at most n rows per group
+    starts = placed.where(opens).groupBy(
+        *[F.col(p).alias(f"__t{i}") for i, p in enumerate(part)]
+    ).agg(F.collect_list(F.struct(*order)).alias("__starts"))
+    own = F.struct(*order)
+    done = big.join(F.broadcast(starts), same(big, part, "__t")).withColumn(
+        name, F.size(F.filter("__starts", lambda start: start <= own))
+    ).drop("__starts", *[f"__t{i}" for i in range(len(part))])
+    return plain(cold).unionByName(done)
+
+
+def cumulated(
+    df: DataFrame, part: list[str], order: list[str | Column], value: str, name: str,
+    hot: Limit = None,
+) -> DataFrame:
+    """Sum of ``value`` over all earlier rows of the group; 0 for its first row."""
+    hot = find_hot(df, part, hot)
+    order = _columns(order)
+    earlier = (Window.unboundedPreceding, -1)
+
+    def before(column: str, spec: WindowSpec) -> Column:
+        return F.coalesce(F.sum(column).over(spec.rowsBetween(*earlier)), F.lit(0))
+
+    plain = Window.partitionBy(*part).orderBy(*order)
+    if not hot:
+        return df.withColumn(name, before(value, plain))
+    cold, big = split_hot(df, part, hot.groups)
+    rows = positions(big, part, order, hot).withColumn(
+        "__chunk", F.floor((F.col(POS) - 1) / hot.limit)
+    )
+    groups = [f"__c{i}" for i in range(len(part))]
+    # one row per chunk: what the chunks before it add up to
+    carried = rows.groupBy(
+        *[F.col(p).alias(g) for p, g in zip(part, groups)], F.col("__chunk").alias("__k")
+    ).agg(F.sum(value).alias("__own"))
+    carried = carried.withColumn(
+        "__carry", before("__own", Window.partitionBy(*groups).orderBy("__k"))
+    ).drop("__own")
+    within = Window.partitionBy(*part, "__chunk").orderBy(POS)
+    done = (
+        rows.withColumn(name, before(value, within))
+        .join(carried, same(rows, part, "__c") & (F.col("__chunk") == F.col("__k")))
+        .withColumn(name, F.col(name) + F.col("__carry"))
+        .drop("__carry", "__k", "__chunk", POS, SIZE, *groups)
     )
-    return rows.withColumn(name, (tile + 1).cast("int")).drop(POS, SIZE)
+    return cold.withColumn(name, before(value, plain)).unionByName(done)
 
 
 def filled(

@@ -89,6 +89,19 @@ def test_frames_longer_than_a_chunk(skewed, reach):
     same_rows(expected, got)
 
 
+def test_running_totals(skewed):
+    w = Window.partitionBy("k").orderBy("t", "id").rowsBetween(Window.unboundedPreceding, -1)
+    expected = skewed.withColumn("c", F.coalesce(F.sum("v").over(w), F.lit(0)))
+    same_rows(expected, ordered.cumulated(skewed, KEYS, ORDER, "v", "c", LIMIT))
+    same_rows(expected, ordered.cumulated(skewed, KEYS, ORDER, "v", "c"))
+
+
+def test_tiles_of_values_with_nulls(skewed):
+    w = Window.partitionBy("k").orderBy("sparse", "id")
+    expected = skewed.withColumn("tile", F.ntile(4).over(w))
+    same_rows(expected, ordered.tiled(skewed, KEYS, ["sparse", "id"], 4, "tile", LIMIT))
+
+
 def test_last_value_carries_over_chunks(skewed):
     w = Window.partitionBy("k").orderBy("t", "id")
     expected = skewed.withColumn("f", F.last("sparse", ignorenulls=True).over(w))

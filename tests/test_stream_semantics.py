@@ -179,6 +179,32 @@ def test_stream_keeps_file_metadata(spark):
     assert out.where("source_file is null").count() == 0 and out.count() == 6
 
 
+def test_heartbeat_rows_close_the_last_window(spark, rows):
+    quiet = FILES[:2]
+    stream = read_stream(spark, write_files(spark, quiet), SCHEMA, "json")
+    beat = times.heartbeat_rows(stream, [{"at": "2024-06-01 00:00:00"}])
+    folder = new_folder(spark, "beat")
+    beat.write.json(folder)
+    both = stream.unionByName(read_stream(spark, folder, SCHEMA, "json"))
+    timed = times.watermark(times.with_event_time(both, "at", PATTERN), "event_time", "5 seconds")
+    out = sinks.run_append(
+        windows.tumbling(timed, "event_time", "5 minutes", ["k"], count_sum()), "closed"
+    )
+    assert rows(times.without_heartbeats(out, "k"), "k", "n") == [("a", 1), ("a", 2), ("b", 1)]
+
+
+def test_distinct_rows_with_a_lifetime(spark, rows):
+    files = [[(1, "a", "2024-05-01 00:00:00", 0)], [(2, "a", "2024-05-01 00:05:00", 0)],
+             [(3, "b", "2024-05-01 02:00:00", 0)], [(4, "b", "2024-05-01 02:00:01", 0)],
+             [(5, "a", "2024-05-01 02:00:02", 0)]]
+    source = read_stream(spark, write_files(spark, files), SCHEMA, "json",
+                         options={"maxFilesPerTrigger": "1"})
+    timed = times.with_event_time(source, "at", PATTERN)
+    out = sinks.run_append(dedup.distinct_within(timed, ["k"], "event_time", "1 hour"), "seen")
+    assert rows(out, "id") == [(1,), (3,), (5,)]
+    assert dedup.distinct_within(as_table(spark, files), ["k"], "event_time", "1 hour").count() == 2
+
+
 def test_event_time_sources(spark, rows):
     df = spark.createDataFrame([(1673560175029, "2023-01-12T21:49:35Z")], "ms long, text string")
     df = times.with_event_time(df, "ms", "ms", "a")
