@@ -254,7 +254,7 @@ def compare_with_global(spark, folder):
     )
 
 
-@query("sequence_match", """
+SEQUENCES = """
     with v as (select event_id, user_id, ts from events where event_type = 'view'),
       c as (select v.event_id, v.user_id, v.ts as step_1, min(e.ts) as step_2 from v join events e
         on e.user_id = v.user_id and e.event_type = 'click' and e.ts > v.ts
@@ -262,7 +262,10 @@ def compare_with_global(spark, folder):
       p as (select c.event_id, c.user_id, step_1, step_2, min(e.ts) as step_3 from c join events e
         on e.user_id = c.user_id and e.event_type = 'purchase' and e.ts > step_2
         and e.ts <= step_1 + interval 12 hour group by 1, 2, 3, 4)
-    select * from p""")
+    select * from p"""
+
+
+@query("sequence_match", SEQUENCES)
 def sequence_match(spark, folder):
     """View, then click, then purchase within twelve hours."""
     return joins.sequence_match(

@@ -90,6 +90,18 @@ def convert_format(spark, folder):
     return out
 
 
+@query("convert_documents", "select doc_id, text, lang, source, n_chars from documents")
+def convert_documents(spark, folder):
+    """Whole texts with their line breaks through JSON, CSV and ORC."""
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    path, steps = f"{folder}/documents.parquet", ["parquet", "json", "csv", "orc"]
+    for source, target in zip(steps, steps[1:]):
+        out_path = new_folder(spark, f"documents-{target}")
+        out = formats.convert_format(spark, path, source, out_path, target, schema)
+        path = out_path
+    return out
+
+
 @query("record_metadata", "select count(*) as n, true as all_known from orders")
 def record_metadata(spark, folder):
     rows_ = streams.with_record_metadata(table(spark, folder, "orders"))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rillcask.catalog import EVENTS, cents, events, query, rounded, table
+from rillcask.catalog import EVENTS, cents, events, query, table
+from rillcask.catalog.joins import SEQUENCES
 from rillcask.functions.numbers import safe_ratio
 from rillcask.functions.times import to_epoch
 from rillcask.operators import dedup, joins, rows, sets
@@ -13,7 +14,7 @@ from rillcask.operators.rows import prefix_columns
 from rillcask.session import new_folder
 from rillcask.sources.streams import read_stream, stream_query
 from rillcask.streaming import events as times
-from rillcask.streaming import sinks, windows
+from rillcask.streaming import sequences, sinks, windows
 
 SCHEMA = (
     "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, "
@@ -324,6 +325,18 @@ def stream_first_rows(spark, folder):
     return sinks.run_append(out, "first-rows").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("stream_sequence_match", SEQUENCES)
+def stream_sequence_match(spark, folder):
+    rows_, steps = stream(spark, folder), ["view", "click", "purchase"]
+    path = new_folder(spark, "sequences")
+    sequences.write_sequences(
+        rows_, "user_id", "ts", "event_type", steps, "12 hours", "event_id", path,
+        new_folder(spark, "sequences-state"),
+    ).awaitTermination()
+    out = sequences.read_sequences(spark, rows_, "user_id", "ts", steps, "event_id", path)
+    return plain_times(out, "step_1", "step_2", "step_3")
+
+
 def table_stream(spark, folder, name):
     """Any driver table as a stream."""
     schema = table(spark, folder, name).schema

@@ -405,7 +405,7 @@ def outlier_flag(
 def encode_category(df: DataFrame, value: str, name: str, hot: Limit = None) -> DataFrame:
     """DENSE_RANK over the whole table: only the distinct values are ranked, then joined."""
     values = pinned(df.select(F.col(value).alias("__value")).distinct())
-    codes = numbered(values, [], ["__value"], "__code", hot=hot)
+    codes = pinned(numbered(values, [], ["__value"], "__code", hot=hot))
     return df.join(codes, F.col(value).eqNullSafe(F.col("__value")), "left").withColumn(
         name, F.col("__code").cast("int")
     ).drop("__value", "__code")

@@ -6,10 +6,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-NATIVE_FORMATS = ("parquet", "orc", "json", "csv")
 CORRUPT = "__corrupt"
 
 
+# Text with line breaks, quotes or outer blanks survives a CSV file with these options.
+CSV_OPTIONS = {
+    "header": "true", "multiLine": "true", "escape": '"',
+    "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
+}
+
+
+def _options(fmt: str) -> dict[str, str]:
+    return CSV_OPTIONS if fmt == "csv" else {}
+
+
 def convert_format(
     spark: SparkSession, source: str, source_format: str, target: str, target_format: str,
     schema: str | T.StructType, mode: str = "errorifexists",
@@ -18,15 +28,12 @@ def convert_format(
 
     Avro and Protobuf need their Spark package on the class path.
     """
-    rows = spark.read.format(source_format).schema(schema)
-    if source_format == "csv":
-        rows = rows.option("header", "true")
-    writer = rows.load(source).write.format(target_format).mode(mode)
-    if target_format == "csv":
-        writer = writer.option("header", "true")
-    writer.save(target)
-    back = spark.read.format(target_format).schema(schema)
-    return (back.option("header", "true") if target_format == "csv" else back).load(target)
+    def read(path: str, fmt: str) -> DataFrame:
+        return spark.read.format(fmt).schema(schema).options(**_options(fmt)).load(path)
+
+    rows = read(source, source_format)
+    rows.write.format(target_format).mode(mode).options(**_options(target_format)).save(target)
+    return read(target, target_format)
 
 
 def encode_record(columns: list[str], fmt: str) -> Column:

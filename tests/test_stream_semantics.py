@@ -7,7 +7,7 @@ from rillcask.operators import dedup, joins
 from rillcask.session import new_folder, shared_dir
 from rillcask.sources.streams import read_stream, stream_query, with_record_metadata
 from rillcask.streaming import events as times
-from rillcask.streaming import sinks, windows
+from rillcask.streaming import sequences, sinks, windows
 
 SCHEMA = "id int, k string, at string, v int"
 PATTERN = "yyyy-MM-dd HH:mm:ss"
@@ -162,6 +162,26 @@ def test_lifetimes_of_a_regular_join(spark, rows):
     assert rows(out, "r") == [(1,), (2,), (3,), (8,)]
 
 
+def test_steps_over_several_batches_with_a_late_one(spark, rows):
+    def at(minute):
+        return f"2024-05-01 00:{minute:02}:00"
+
+    files = [[(1, "view", at(0), 1)], [(2, "buy", at(9), 1)], [(3, "click", at(5), 1)],
+             [(4, "buy", at(7), 1), (5, "view", at(30), 1)], [(6, "click", at(50), 1)]]
+    stream = times.with_event_time(
+        read_stream(spark, write_files(spark, files), SCHEMA, "json",
+                    options={"maxFilesPerTrigger": "1"}), "at", PATTERN)
+    path, steps = new_folder(spark, "steps"), ["view", "click", "buy"]
+    args = ("v", "event_time", "k", steps, "15 minutes", "id")
+    sequences.write_sequences(
+        stream, *args, path, new_folder(spark, "steps-state")
+    ).awaitTermination()
+    out = sequences.read_sequences(spark, stream, "v", "event_time", steps, "id", path)
+    batch = joins.sequence_match(as_table(spark, files), *args)
+    assert rows(out) == rows(batch.select(*out.columns)) and out.count() == 1
+    assert out.first()["step_3"].minute == 7
+
+
 def test_stream_stops_after_rows(spark):
     out = sinks.run_append(stream_query(open_stream(spark), ["id"], "v >= 0", 4), "limit")
     assert out.count() == 4
