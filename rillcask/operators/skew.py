@@ -111,25 +111,25 @@ def positions(df: DataFrame, part: list[str], order: list[Column], hot: Hot) ->
     laid = (
         df.repartitionByRange(int(blocks), *keys, *order)
         .sortWithinPartitions(*keys, *order)
-        .withColumn("__id", F.monotonically_increasing_id())
+        .withColumn("__p_id", F.monotonically_increasing_id())
         .checkpoint()
-        .withColumn("__block", F.shiftright("__id", 33))
+        .withColumn("__p_block", F.shiftright("__p_id", 33))
     )
-    named = [F.col(n).alias(f"__g{i}") for i, n in enumerate(part)]
-    groups = [f"__g{i}" for i in range(len(part))]
-    before = Window.partitionBy(*groups).orderBy("__b").rowsBetween(
+    named = [F.col(n).alias(f"__p_g{i}") for i, n in enumerate(part)]
+    groups = [f"__p_g{i}" for i in range(len(part))]
+    before = Window.partitionBy(*groups).orderBy("__p_b").rowsBetween(
         Window.unboundedPreceding, -1
     )
     # one row per block and group in it: at most blocks + MAX_HOT_GROUPS rows
     spans = (
-        laid.groupBy(*named, F.col("__block").alias("__b"))
-        .agg(F.min("__id").alias("__first"), F.count(F.lit(1)).alias("__rows"))
-        .withColumn("__offset", F.coalesce(F.sum("__rows").over(before), F.lit(0)))
-        .withColumn(SIZE, F.sum("__rows").over(Window.partitionBy(*groups)))
+        laid.groupBy(*named, F.col("__p_block").alias("__p_b"))
+        .agg(F.min("__p_id").alias("__p_first"), F.count(F.lit(1)).alias("__p_rows"))
+        .withColumn("__p_offset", F.coalesce(F.sum("__p_rows").over(before), F.lit(0)))
+        .withColumn(SIZE, F.sum("__p_rows").over(Window.partitionBy(*groups)))
     )
-    match = same(laid, part, "__g") & (F.col("__block") == F.col("__b"))
+    match = same(laid, part, "__p_g") & (F.col("__p_block") == F.col("__p_b"))
     return (
         laid.join(F.broadcast(spans), match)
-        .withColumn(POS, F.col("__id") - F.col("__first") + F.col("__offset") + 1)
-        .drop("__id", "__block", "__b", "__first", "__rows", "__offset", *groups)
+        .withColumn(POS, F.col("__p_id") - F.col("__p_first") + F.col("__p_offset") + 1)
+        .drop("__p_id", "__p_block", "__p_b", "__p_first", "__p_rows", "__p_offset", *groups)
     )

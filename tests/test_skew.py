@@ -67,6 +67,18 @@ def test_ranks(skewed, descending):
     same_rows(expected, got)
 
 
+def test_ranks_of_many_distinct_values(skewed):
+    """The distinct values of a hot group are themselves too many for one task."""
+    w = Window.partitionBy("k").orderBy("id")
+    expected = skewed.select(
+        "*", F.rank().over(w).alias("r"), F.percent_rank().over(w).alias("p"),
+        F.dense_rank().over(w).alias("d"),
+    )
+    same_rows(expected, ordered.ranked(
+        skewed, KEYS, "id", rank="r", percent="p", dense="d", hot=LIMIT
+    ))
+
+
 @pytest.mark.parametrize("n", [1, 7, 10, 2000])
 def test_tiles(skewed, n):
     expected = skewed.withColumn(
