@@ -44,14 +44,19 @@ def join_tables(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
 def interval_join(
     left: DataFrame, right: DataFrame, pairs: Pairs, left_ts: str, right_ts: str,
     before: str, after: str, grace: str | None = None, how: str = "inner",
+    spread: str = "right",
 ) -> DataFrame:
     """Rows with equal keys where the right time lies in [left - before, left + after].
 
-    Time is cut into slices as long as the whole interval. A left row belongs to one
-    slice, a right row to the one or two it can reach, and the slice joins the equality
-    key: a hot key spreads over its slices and no key compares all its pairs. The same
-    body runs on streams, where ``grace`` is the watermark delay of both sides.
+    Time is cut into slices as long as the whole interval. A row of one side belongs to
+    one slice, a row of the other to the one or two it can reach, and the slice joins the
+    equality key: a hot key spreads over its slices and no key compares all its pairs.
+    ``spread`` names the side whose rows are repeated; it should be the smaller one, and
+    may be the left only for inner joins. The same body runs on streams, where ``grace``
+    is the watermark delay of both sides.
     """
+    if spread == "left" and how != "inner":
+        raise ValueError("only an inner join may repeat its left rows")
     back, ahead = _seconds(before), _seconds(after)
     width = max(back + ahead, 1) * 1_000_000
     if grace and left.isStreaming:
@@ -62,10 +67,17 @@ def interval_join(
     def micros(ts: str) -> Column:
         return F.unix_micros(F.col(ts).cast("timestamp"))
 
-    first = F.floor((micros(right_ts) - ahead * 1_000_000) / width)
-    last = F.floor((micros(right_ts) + back * 1_000_000) / width)
-    sliced_left = left.withColumn("__slice", F.floor(micros(left_ts) / width))
-    sliced_right = right.withColumn("__slice_r", F.explode(F.sequence(first, last)))
+    def slices(ts: str, earlier: int, later: int) -> Column:
+        first = F.floor((micros(ts) - earlier * 1_000_000) / width)
+        last = F.floor((micros(ts) + later * 1_000_000) / width)
+        return F.explode(F.sequence(first, last))
+
+    if spread == "left":
+        sliced_left = left.withColumn("__slice", slices(left_ts, back, ahead))
+        sliced_right = right.withColumn("__slice_r", F.floor(micros(right_ts) / width))
+    else:
+        sliced_left = left.withColumn("__slice", F.floor(micros(left_ts) / width))
+        sliced_right = right.withColumn("__slice_r", slices(right_ts, ahead, back))
     bounds = (
         (F.col(right_ts) >= F.col(left_ts) - F.expr(f"INTERVAL '{back}' SECOND"))
         & (F.col(right_ts) <= F.col(left_ts) + F.expr(f"INTERVAL '{ahead}' SECOND"))

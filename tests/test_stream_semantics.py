@@ -152,6 +152,22 @@ def test_interval_join_stream_equals_batch(spark, rows, how):
     assert rows(out) == [r for r in rows(batch) if r[0] != 3]
 
 
+def test_either_side_may_be_spread(spark, rows):
+    left = as_table(spark, [[(i, "a", f"2024-05-01 00:{i:02}:00", 0) for i in range(0, 60, 3)]])
+    right = as_table(spark, [[(i, "a", f"2024-05-01 00:{i:02}:00", 0) for i in range(0, 60, 4)]])
+
+    def run(**spread):
+        return rows(joins.interval_join(
+            *pairs(left, right), [("lk", "rk")], "lt", "rt", "7 minutes", "2 minutes", **spread
+        ).select("l", "r"))
+
+    wanted = sorted(((a, b) for a in range(0, 60, 3) for b in range(0, 60, 4)
+                     if a - 7 <= b <= a + 2), key=repr)
+    assert run(spread="left") == run(spread="right") == wanted
+    with pytest.raises(ValueError):
+        run(spread="left", how="left")
+
+
 def test_lifetimes_of_a_regular_join(spark, rows):
     left = as_table(spark, [[(1, "a", "2024-05-01 00:00:00", 0)]])
     right = as_table(spark, [[(i, "a", f"2024-05-01 0{i}:00:00", 0) for i in range(1, 6)]])
