@@ -6,6 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def seconds(interval: str) -> int:
+    """Length of an interval like ``"6 hours"``."""
+    n, unit = interval.split()
+    sizes = {"second": 1, "minute": 60, "hour": 3600, "day": 86400, "week": 604800}
+    return int(n) * sizes[unit.lower().rstrip("s")]
+
+
 def date_parts(ts: Column) -> dict[str, Column]:
     """Calendar parts; day_of_week runs from 1 = Sunday to 7 = Saturday."""
     return {

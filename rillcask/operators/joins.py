@@ -8,18 +8,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rillcask.functions.times import seconds
 from rillcask.operators.ordered import Limit, filled
 
 Pairs = list[tuple[str, str]]
 
 
-def _seconds(interval: str) -> int:
-    n, unit = interval.split()
-    unit = unit.lower().rstrip("s")
-    sizes = {"second": 1, "minute": 60, "hour": 3600, "day": 86400, "week": 604800}
-    return int(n) * sizes[unit]
-
-
 def _equal(pairs: Pairs) -> Column:
     return reduce(lambda a, b: a & b, [F.col(x) == F.col(y) for x, y in pairs])
 
@@ -57,7 +51,7 @@ def interval_join(
     """
     if spread == "left" and how != "inner":
         raise ValueError("only an inner join may repeat its left rows")
-    back, ahead = _seconds(before), _seconds(after)
+    back, ahead = seconds(before), seconds(after)
     width = max(back + ahead, 1) * 1_000_000
     if grace and left.isStreaming:
         left = left.withWatermark(left_ts, grace)
@@ -221,6 +215,6 @@ def sequence_match(
             forward=True, strict=True, hot=hot,
         ).drop("__key", "__event").where(
             F.col(f"step_{i}")
-            <= F.col("step_1") + F.expr(f"INTERVAL '{_seconds(within)}' SECOND")
+            <= F.col("step_1") + F.expr(f"INTERVAL '{seconds(within)}' SECOND")
         )
     return out

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from rillcask.operators.joins import _seconds, sequence_match
-from rillcask.streaming.sinks import BATCH, _start, read_upsert
+from rillcask.functions.times import seconds
+from rillcask.operators.joins import sequence_match
+from rillcask.streaming.sinks import BATCH, read_upsert, start
 
 
 def write_sequences(
@@ -37,7 +38,7 @@ def write_sequences(
         oldest = known.where(F.col(BATCH) == batch_id).agg(F.min(ts)).first()[0]
         if oldest is None:
             return
-        since = F.lit(oldest) - F.expr(f"INTERVAL '{_seconds(within)}' SECOND")
+        since = F.lit(oldest) - F.expr(f"INTERVAL '{seconds(within)}' SECOND")
         reach = known.where((F.col("day") >= F.to_date(since)) & (F.col(ts) >= since))
         matches = sequence_match(reach.drop("day", BATCH), key, ts, kind, steps, within, tiebreak)
         matches.write.mode("overwrite").parquet(f"{path}/matches/{BATCH}={batch_id}")
@@ -45,7 +46,7 @@ def write_sequences(
     writer = rows.writeStream.outputMode("append").option(
         "checkpointLocation", checkpoint
     ).foreachBatch(write)
-    return _start(writer, every)
+    return start(writer, every)
 
 
 def read_sequences(

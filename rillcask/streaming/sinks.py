@@ -11,7 +11,8 @@ from rillcask.session import new_folder
 BATCH = "batch_id"
 
 
-def _start(writer, every: str | None) -> StreamingQuery:
+def start(writer, every: str | None) -> StreamingQuery:
+    """Start a writer at an interval, or once over the available input."""
     trigger = {"processingTime": every} if every else {"availableNow": True}
     return writer.trigger(**trigger).start()
 
@@ -26,7 +27,7 @@ def write_append(
     )
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    return _start(writer, every)
+    return start(writer, every)
 
 
 def write_upsert(
@@ -46,7 +47,7 @@ def write_upsert(
     writer = df.writeStream.outputMode(mode).option(
         "checkpointLocation", checkpoint
     ).foreachBatch(write)
-    return _start(writer, every)
+    return start(writer, every)
 
 
 def read_upsert(spark: SparkSession, path: str, keys: list[str], schema) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillcask.operators.joins import _seconds
+from rillcask.functions.times import seconds
 
 
 def _flat(df: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
@@ -79,7 +79,7 @@ def session(
             *[_partial(fn, c).alias(n) for n, (fn, c) in aggs.items()],
         )
         return _session_columns(grouped, keys, aggs)
-    micros = _seconds(gap) * 1_000_000
+    micros = seconds(gap) * 1_000_000
     slot = F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / micros)
     slots = df.where(F.col(ts).isNotNull()).groupBy(*keys, slot.alias("__slot")).agg(
         F.min(ts).alias("__first"), F.max(ts).alias("__last"),
