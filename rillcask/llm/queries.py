@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact, near
+from . import exact, langid, mixing, near, packing, topk, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -40,3 +41,111 @@ def op1_exact_dedup(spark, folder):
 @query("op2_minhash_dedup")
 def op2_minhash_dedup(spark, folder):
     return near.near_groups(table(spark, folder, "documents"), width=3, percent=85)
+
+
+@query("op3_maxscore_topk", """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(1024 * cast(x as double))) as e
+  from embeddings
+  where vec_id is not null and embedding is not null and len(list_filter(
+    embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+s as (
+  select q.vec_id as query_id, v.vec_id, cast(list_inner_product(q.e, v.e) as bigint) as score
+  from v as q join v on q.vec_id % 100 = 0 and q.vec_id <> v.vec_id),
+r as (
+  select *, row_number() over (partition by query_id order by score desc, vec_id) as n from s)
+select query_id, cast(n as integer) as rank, vec_id, score from r where n <= 10
+""")
+def op3_maxscore_topk(spark, folder):
+    vectors = table(spark, folder, "embeddings")
+    return topk.top_k(vectors, vectors.filter("vec_id % 100 = 0"), k=10, scale=1024)
+
+
+@query("op4_best_fit_packing")
+def op4_best_fit_packing(spark, folder):
+    return packing.pack(table(spark, folder, "documents"), capacity=2048)
+
+
+@query("op5_language_id")
+def op5_language_id(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    held = langid.held_out(F.col("doc_id"), 4, 2)
+    model = langid.learn(docs.filter(~held))
+    return langid.predict(
+        docs.select("doc_id", "text", held.alias("held_out")), model
+    ).select("doc_id", "held_out", "lang_pred", "score")
+
+
+RULES = [
+    ("net", "/", "block"), ("example.net", "/en/", "allow"),
+    ("example.com", "/de/", "block"), ("org", "/fr/", "allow"),
+]
+
+
+@query("op9_url_filter", r"""
+with u as (
+  select page_id, coalesce(url, '') as url, instr(coalesce(url, ''), '://') as pos from pages),
+a as (
+  select page_id, case when pos > 0 then substr(url, pos + 3) else '' end as rest from u),
+b as (
+  select page_id, rest, regexp_extract(rest, '^[^/?#]*') as h from a),
+p as (
+  select page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+         regexp_extract(substr(rest, length(h) + 1), '^[^?#]*') as path from b),
+rules(rhost, rpath, verdict) as (
+  values ('net', '/', 'block'), ('example.net', '/en/', 'allow'),
+         ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+listed as (select host, path from p where host <> '' group by host, path having count(*) > 1),
+best as (
+  select host, path, arg_max(rhost || rpath, length(rhost || rpath)) as rule,
+         arg_max(verdict, length(rhost || rpath)) as verdict
+  from (select distinct host, path from p) d join rules
+    on (host = rhost or ends_with(host, '.' || rhost)) and starts_with(path, rpath)
+  group by host, path)
+select page_id, p.host, p.path, rule,
+       coalesce(verdict, case when l.host is not null then 'block' else 'allow' end) as verdict
+from p left join best using (host, path) left join listed l on p.host = l.host and p.path = l.path
+""")
+def op9_url_filter(spark, folder):
+    pages = table(spark, folder, "pages").select("page_id", "url")
+    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    return urls.url_verdicts(pages, rules, urls.repeated(pages))
+
+
+@query("op10_source_mixing", r"""
+with d as (
+  select doc_id, source, md5('mix:' || cast(doc_id as varchar)) as hash,
+         len(regexp_extract_all(coalesce("text", ''), '[^\x20\x09-\x0D]+')) as size
+  from documents),
+s as (
+  select source, cast(sum(size) as bigint) as source_size,
+         row_number() over (order by source nulls last) as place from d group by source),
+w as (
+  select *, case (place - 1) % 3 when 0 then 3.0::double when 1 then 1.0::double
+            else 2.0::double end as weight, source_size * 2.0::double as cap from s),
+l as (
+  select *, ((select sum(source_size) from w) * 1.5::double - coalesce(sum(cap) over (
+    order by cap / weight, place rows between unbounded preceding and 1 preceding), 0))
+    / sum(weight) over (
+    order by cap / weight, place rows between current row and unbounded following) as level
+  from w),
+f as (
+  select min_by(level, (cap / weight, place)) as level from l where level <= cap / weight),
+t as (
+  select source, source_size, least(cap, f.level * weight) as target from w, f),
+n as (
+  select *, case when source_size > 0 then floor(target / source_size) else 0 end as repeats from t),
+o as (
+  select d.*, n.source_size, n.target, n.repeats, coalesce(sum(size) over (
+    partition by d.source order by hash rows between unbounded preceding and 1 preceding), 0) as done
+  from d join n on d.source is not distinct from n.source)
+select doc_id, cast(size as bigint) as size, source_size, target,
+       cast(size * (repeats + case when done + size / 2.0::double
+         <= target - repeats * source_size then 1 else 0 end) as bigint) as taken
+from o
+""")
+def op10_source_mixing(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text", "source")
+    return mixing.mixture(docs).select(
+        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken")
+    )
