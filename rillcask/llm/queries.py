@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, langid, mixing, near, packing, topk, urls
+from . import exact, langid, mixing, mixlm, near, packing, topk, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -76,6 +76,16 @@ def op5_language_id(spark, folder):
     ).select("doc_id", "held_out", "lang_pred", "score")
 
 
+@query("op7_context_mixing")
+def op7_context_mixing(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    scored = mixlm.score_texts(docs, langid.held_out(F.col("doc_id"), 7, 2))
+    return scored.select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score",
+        (F.col("bits") * F.lit(-0.30102999566398120)).alias("score"), "bits_per_byte",
+    )
+
+
 RULES = [
     ("net", "/", "block"), ("example.net", "/en/", "allow"),
     ("example.com", "/de/", "block"), ("org", "/fr/", "allow"),
