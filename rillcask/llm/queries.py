@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, langid, mixing, mixlm, near, packing, topk, urls
+from . import exact, langid, licenses, mixing, mixlm, near, packing, tokens, topk, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -76,6 +76,11 @@ def op5_language_id(spark, folder):
     ).select("doc_id", "held_out", "lang_pred", "score")
 
 
+@query("op6_license_scan")
+def op6_license_scan(spark, folder):
+    return licenses.license_scan(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 @query("op7_context_mixing")
 def op7_context_mixing(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -86,6 +91,11 @@ def op7_context_mixing(spark, folder):
     )
 
 
+@query("op8_token_packing")
+def op8_token_packing(spark, folder):
+    return tokens.packed_tokens(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 RULES = [
     ("net", "/", "block"), ("example.net", "/en/", "allow"),
     ("example.com", "/de/", "block"), ("org", "/fr/", "allow"),
