@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored, words
@@ -91,28 +91,86 @@ def _sign(width: int, bands: int, rows: int):
     return run
 
 
-def _confirm(width: int, percent: int):
-    def shingles(text):
-        parts = words(text)
-        if len(parts) < width:
-            return {tuple(parts)}
-        return set(zip(*[parts[i:] for i in range(width)]))
+FOLDS = 4  # 64-bit words that hold a fold of a difference
+
+
+def _fold(items: np.ndarray) -> tuple[list[int], int]:
+    """Bits of a set of hashes, and how many of its items share a bit with another one."""
+    bits = np.unique(items >> np.uint64(64 - 8))
+    out = np.zeros(FOLDS, np.uint64)
+    np.bitwise_or.at(out, (bits >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bits & np.uint64(63)))
+    return out.view(np.int64).tolist(), len(items) - len(bits)
+
+
+def _shingles(text: str, width: int) -> set:
+    parts = words(text)
+    if len(parts) < width:
+        return {tuple(parts)}
+    return set(zip(*[parts[i:] for i in range(width)]))
+
 
+def _similar(left: set, right: set, percent: int) -> bool:
+    common = len(left & right)
+    return 100 * common >= percent * (len(left) + len(right) - common)
+
+
+def _compare(width: int, percent: int):
+    """Whether hub and node are linked, by their whole sets; and what sets the node apart."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, left = None, set()
+        last, left, left_hashes = None, set(), None
         for batch in batches:
-            good = []
-            for a, text_a, text_b in zip(batch["a"], batch["text_a"], batch["text_b"]):
-                if a != last:
-                    last, left = a, shingles(text_a)
-                right = shingles(text_b)
-                common = len(left & right)
-                good.append(100 * common >= percent * (len(left) + len(right) - common))
+            rows = []
+            for hub, node, low, hub_text, text in zip(
+                batch["hub"], batch["node"], batch["low"], batch["hub_text"], batch["text"]
+            ):
+                if hub_text != last:
+                    last, left = hub_text, _shingles(hub_text, width)
+                    left_hashes = shingle_hashes(words(hub_text), width)
+                right = shingle_hashes(words(text), width)
+                more = np.setdiff1d(right, left_hashes, assume_unique=True)
+                less = np.setdiff1d(left_hashes, right, assume_unique=True)
+                fold, lost = _fold(more)
+                linked = _similar(left, _shingles(text, width), percent)
+                rows.append((hub, node, low, linked, len(left_hashes), len(right), lost, fold,
+                             more.view(np.int64), less.view(np.int64)))
+            yield pd.DataFrame(rows, columns=[
+                "hub", "node", "low", "linked", "n_hub", "n", "lost", "fold", "more", "less"])
+
+    return run
+
+
+COMPARED = ("hub long, node long, low boolean, linked boolean, n_hub long, n long, lost long, "
+            "fold array<long>, more array<long>, less array<long>")
+
+
+def _confirm(width: int, percent: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            good = [_similar(_shingles(a, width), _shingles(b, width), percent)
+                    for a, b in zip(batch["text_a"], batch["text_b"])]
             yield batch.loc[good, ["a", "b"]]
 
     return run
 
 
+def _may_link(percent: int):
+    """Whether two nodes x and y of one hub h are linked, from their differences to it:
+    the shared part is h - less_x - less_y + (less_x and less_y) + (more_x and more_y).
+    Bounds that need no sets come first."""
+    need = F.expr(f"{percent} * (x.n + y.n)")
+    total = 100 + percent
+    in_hub = F.expr("least(x.n_hub - size(x.less), y.n_hub - size(y.less))")
+    folds = "+".join(f"bit_count(x.fold[{i}] & y.fold[{i}])" for i in range(FOLDS))
+    return (
+        F.expr(f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)")
+        & (total * (in_hub + F.expr("least(size(x.more), size(y.more))")) >= need)
+        & (total * (in_hub + F.expr(f"{folds} + least(x.lost, y.lost)")) >= need)
+        & (total * F.expr(
+            "x.n_hub - size(x.less) - size(y.less) + size(array_intersect(x.less, y.less))"
+            " + size(array_intersect(x.more, y.more))") >= need)
+    )
+
+
 def _possible(ids: DataFrame):
     """Filter for ids: a bitmap of fixed size, so it can be broadcast. False hits are possible
     and removed by the join behind it."""
@@ -145,11 +203,13 @@ def near_groups(
     shingles and no links. Rows with the same id are the same document; a row without id links
     only with its copies (``component_id`` null if none has an id). No cap on buckets or pairs.
 
-    Documents with the same words are one node. In each bucket the smallest node is the hub; all
-    others are compared with it, so a bucket makes as many pairs as rows. Linked documents then
-    share a label, the hub retires, and only buckets that still hold different labels go on, with
-    twice as many hubs each round, until none is left: every pair of a bucket has been confirmed,
-    refuted or joined through others. Confirmation compares the whole sets of words.
+    Documents with the same words are one node. In each bucket the smallest and the largest node
+    are hubs; every other node is compared with both, so a bucket makes two pairs per row. Nodes
+    linked with one hub are in one group, whatever the pairs among them. A node that is not linked
+    with its smallest hub is then compared with that hub's other nodes, where their labels still
+    differ, by what sets each apart from the hub: a few numbers refute nearly all, the differences
+    decide the rest. So each pair of a bucket is linked, refuted or joined through others. Links
+    are confirmed on the whole sets of words.
     """
     source = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"),
@@ -179,13 +239,17 @@ def near_groups(
 
 def _linked(source: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
     """node, label for every node with a link."""
-    buckets = nodes.select("node", "n_shingles", F.explode("bands").alias("key"))
-    crowded = stored(
+    buckets = nodes.select("node", F.explode("bands").alias("key"))
+    hubs = stored(
         buckets.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"))
-        .filter("low < high").select("key"), "crowded",
+        .filter("low < high"), "hubs",
     )
-    live = stored(buckets.join(crowded, "key"), "live-buckets").withColumn("label", F.col("node"))
-    some = live.select("node").distinct()
+    rows = buckets.join(hubs, "key").select("node", F.explode(F.array(
+        F.struct(F.col("low").alias("hub"), F.lit(True).alias("low")),
+        F.struct(F.col("high").alias("hub"), F.lit(False).alias("low")),
+    )).alias("h")).select("node", "h.*").filter("node <> hub")
+    spokes = stored(rows.groupBy("hub", "node").agg(F.max("low").alias("low")), "spokes")
+    some = spokes.select("node").unionByName(spokes.select(F.col("hub").alias("node"))).distinct()
     possible = _possible(some)
     wanted = nodes.select("node", "raw").join(some, "node", "left_semi")
     texts = stored(
@@ -193,47 +257,32 @@ def _linked(source: DataFrame, nodes: DataFrame, width: int, percent: int) -> Da
         .withColumnRenamed("doc_id", "node").join(wanted, ["node", "raw"], "left_semi")
         .dropDuplicates(["node", "raw"]).select("node", "text"), "candidate-texts",
     )
-    spark = source.sparkSession
-    tried = edges = None
-    labels = spark.createDataFrame([], "node long, label long")
-    hubs = 1
-    while not live.isEmpty():
-        order = Window.partitionBy("key").orderBy("node")
-        centre = stored(
-            live.select("key", "node", "n_shingles", "label").distinct()
-            .withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= hubs)
-            .select("key", F.col("node").alias("hub"), F.col("n_shingles").alias("hub_n"),
-                    F.col("label").alias("hub_label")), "hubs",
-        )
-        pairs = live.join(centre, "key").filter(
-            (F.col("hub_label") != F.col("label"))
-            & (100 * F.least("hub_n", "n_shingles") >= percent * F.greatest("hub_n", "n_shingles"))
-        ).select(
-            F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")
-        ).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        found = stored(
-            pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-            .join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-            .select("a", "b", "text_a", "text_b")
-            .mapInPandas(_confirm(width, percent), "a long, b long"), "links",
-        )
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        edges = found if edges is None else edges.unionByName(found)
-        labels = components(edges)
-        rest = live.drop("label").join(
-            centre.select("key", F.col("hub").alias("node")), ["key", "node"], "left_anti"
-        ).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        rest = stored(rest, "live-buckets")
-        mixed_keys = stored(
-            rest.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-            .filter("low < high").select("key"), "crowded",
-        )
-        live = stored(rest.join(mixed_keys, "key"), "live-buckets")
-        hubs *= 2
-    return labels
+    spokes = stored(
+        spokes.join(texts, "node")
+        .join(texts.select(F.col("node").alias("hub"), F.col("text").alias("hub_text")), "hub")
+        .select("hub", "node", "low", "hub_text", "text")
+        .mapInPandas(_compare(width, percent), COMPARED), "compared",
+    )
+    edges = spokes.filter("linked").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    labels = components(edges)
+    spokes = stored(
+        spokes.filter("low").join(labels, "node", "left")
+        .withColumn("label", F.coalesce("label", "node")), "labelled",
+    )
+    x, y = spokes.filter("not linked").alias("x"), spokes.alias("y")
+    pairs = x.join(
+        y, (F.col("x.hub") == F.col("y.hub")) & (F.col("x.label") != F.col("y.label"))
+        & (F.col("y.linked") | (F.col("x.node") < F.col("y.node"))) & _may_link(percent)
+    ).select(
+        F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")
+    ).distinct()
+    more = stored(
+        pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+        .join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+        .select("a", "b", "text_a", "text_b")
+        .mapInPandas(_confirm(width, percent), "a long, b long"), "links",
+    )
+    return labels if more.isEmpty() else components(edges.unionByName(more))
 
 
 def drop_near(
