@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -10,6 +12,11 @@ from .common import stored
 KEEP = {"smallest": F.min, "largest": F.max}
 
 
+def content_hash(text: Column) -> Column:
+    """128 bits of the text's bytes."""
+    return F.unhex(F.md5(text))
+
+
 def _classes(keyed: DataFrame, keep: str) -> DataFrame:
     """One row per different text. Grouping by hash and text compares the bytes of the texts
     inside a hash group; copies are folded map-side, so a hot text is one row per task."""
@@ -19,7 +26,8 @@ def _classes(keyed: DataFrame, keep: str) -> DataFrame:
 
 
 def exact_groups(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest"
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest",
+    hash_of: Callable[[Column], Column] = content_hash,
 ) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256: one row per input row.
 
@@ -34,7 +42,7 @@ def exact_groups(
     """
     keyed = docs.select(
         F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
-    ).withColumn("hash", F.unhex(F.md5("text")))
+    ).withColumn("hash", hash_of(F.col("text")))
     classes = stored(
         _classes(keyed, keep).select(
             "hash", "keep_id", "group_size", F.sha2("text", 256).alias("text_sha256")
