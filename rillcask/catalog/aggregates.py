@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rillcask.catalog import EVENTS, EVENTS_AS_OF, ORDERS_AS_OF, cents, events, query, rounded, table
-from rillcask.operators import aggregates, sets
+from rillcask.operators import aggregates, ordered, sets
 from rillcask.operators.joins import flag_in
 from rillcask.operators.rows import between_ago, recent
 
@@ -301,18 +301,28 @@ def recency_counts(spark, folder):
 
 
 @query("sort_rows", """
-    select o_orderstatus, o_orderkey, o_totalprice from orders where o_totalprice > 490000""")
+    select o_orderstatus, o_orderkey, o_totalprice, row_number() over
+      (order by o_orderstatus, o_totalprice desc, o_orderkey) as place from orders""")
 def sort_rows(spark, folder):
-    rows = table(spark, folder, "orders").where("o_totalprice > 490000")
-    return sets.sort(
-        rows.select("o_orderstatus", "o_orderkey", "o_totalprice"),
+    """The place is where a row comes out: partition by partition, and in it row by row."""
+    out = sets.sort(
+        table(spark, folder, "orders").select("o_orderstatus", "o_orderkey", "o_totalprice"),
         ["o_orderstatus", F.desc("o_totalprice"), "o_orderkey"],
-    )
+    ).withColumn("__at", F.monotonically_increasing_id())
+    return ordered.numbered(out, [], ["__at"], "place").drop("__at")
 
 
-@query("limit_rows", "select least(count(*), 100) as n from lineitem")
+@query("limit_rows", """
+    select least(count(*), 100) as n, least(count(*), 100) as known from lineitem""")
 def limit_rows(spark, folder):
-    return sets.limit(table(spark, folder, "lineitem"), 100).agg(F.count(F.lit(1)).alias("n"))
+    """Any 100 rows, each of them a row of the table."""
+    items = table(spark, folder, "lineitem")
+    keys = ["l_orderkey", "l_linenumber", "l_partkey"]
+    out = sets.limit(items.select(*keys), 100)
+    known = items.select(*keys, F.lit(1).alias("known")).distinct()
+    return out.join(known, keys, "left").agg(
+        F.count(F.lit(1)).alias("n"), F.count("known").alias("known")
+    )
 
 
 @query("top_n_per_group", """
@@ -336,13 +346,13 @@ def top_n_overall(spark, folder):
 
 @query("merge_tagged", """
     select event_id, user_id, 'shop' as origin from events where event_type = 'purchase'
-    union all select event_id, user_id, 'web' from events where event_type in ('view', 'click')""")
+    union all select event_id, user_id, 'web' from events where event_type <> 'purchase'""")
 def merge_tagged(spark, folder):
     rows = table(spark, folder, "events")
     cols = ["event_id", "user_id"]
     return sets.merge_tagged({
         "shop": rows.where("event_type = 'purchase'").select(*cols),
-        "web": rows.where("event_type in ('view', 'click')").select(*cols),
+        "web": rows.where("event_type <> 'purchase'").select(*cols),
     }, "origin")
 
 
@@ -371,14 +381,25 @@ ACTIVE = """with early as (select user_id, event_type from events where
     late as (select user_id, event_type from events where ts >= timestamp '2024-01-27') """
 
 
-@query("union_distinct", ACTIVE + "select * from early union select * from late")
+def _halves(spark, folder):
+    rows = table(spark, folder, "events").select("user_id", "event_type", "ts")
+    early = F.col("ts") < F.lit("2024-01-16").cast("timestamp_ntz")
+    columns = ["user_id", "event_type"]
+    return rows.where(early).select(*columns), rows.where(~early).select(*columns)
+
+
+HALVES = """with early as (select user_id, event_type from events where ts < timestamp '2024-01-16'),
+    late as (select user_id, event_type from events where ts >= timestamp '2024-01-16') """
+
+
+@query("union_distinct", HALVES + "select * from early union select * from late")
 def union_distinct(spark, folder):
-    return sets.set_op(*_active(spark, folder), "union")
+    return sets.set_op(*_halves(spark, folder), "union")
 
 
-@query("intersect_distinct", ACTIVE + "select * from early intersect select * from late")
+@query("intersect_distinct", HALVES + "select * from early intersect select * from late")
 def intersect_distinct(spark, folder):
-    return sets.set_op(*_active(spark, folder), "intersect")
+    return sets.set_op(*_halves(spark, folder), "intersect")
 
 
 @query("except_users", ACTIVE + "select * from early except select * from late")

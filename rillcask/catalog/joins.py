@@ -93,9 +93,9 @@ def asof_join_next(spark, folder):
 
 @query("join_tables", """
     select p_partkey, p_brand, l_orderkey, l_linenumber, l_quantity
-    from part join lineitem on l_partkey = p_partkey where p_type = 'PROMO'""")
+    from part join lineitem on l_partkey = p_partkey""")
 def join_tables(spark, folder):
-    parts = table(spark, folder, "part").where("p_type = 'PROMO'").select("p_partkey", "p_brand")
+    parts = table(spark, folder, "part").select("p_partkey", "p_brand")
     items = table(spark, folder, "lineitem").select(
         F.col("l_partkey").alias("p_partkey"), "l_orderkey", "l_linenumber", "l_quantity"
     )
@@ -160,6 +160,13 @@ def retained_users(spark, folder):
     return joins.retained(*_periods(spark, folder), "o_custkey")
 
 
+@query("retained_pairs", PERIODS + """
+    select past.o_custkey, past.o_orderdate, now.o_custkey as now_o_custkey,
+      now.o_orderdate as now_o_orderdate from past join now on past.o_custkey = now.o_custkey""")
+def retained_pairs(spark, folder):
+    return joins.retained_pairs(*_periods(spark, folder), "o_custkey")
+
+
 @query("churned_users", PERIODS + """
     select distinct o_custkey from past where o_custkey not in (select o_custkey from now)""")
 def churned_users(spark, folder):

@@ -147,6 +147,17 @@ def rolling(spark, folder):
     return _rolling(events(spark, folder))
 
 
+@query("rolling_days", f"""
+    select event_id, sum(cents) over (partition by user_id order by ts
+      range between interval 7 day preceding and current row)::bigint as total,
+      count(*) over (partition by user_id order by ts
+      range between interval 7 day preceding and current row) as n from {EVENTS}""")
+def rolling_days(spark, folder):
+    return ordered.rolling_days(events(spark, folder), BY_USER, "ts", 7, {
+        "total": F.sum("cents"), "n": F.count(F.lit(1)),
+    }).select("event_id", "total", "n")
+
+
 @query("rolling_in_blocks", f"""
     select event_id, sum(cents) over (w rows between 6 preceding and current row)::bigint as total,
       avg(cents) over (w rows between 6 preceding and current row) as mean,

@@ -55,24 +55,23 @@ def values_table(spark, folder):
 
 
 @query("create_table_as", """
-    select event_id, user_id, value from events where event_type = 'purchase'""")
+    select event_id, user_id, value, event_type = 'purchase' as bought from events""")
 def create_table_as(spark, folder):
-    bought = table(spark, folder, "events").where("event_type = 'purchase'").select(
-        "event_id", "user_id", "value"
+    rows_ = table(spark, folder, "events").select(
+        "event_id", "user_id", "value", (F.col("event_type") == "purchase").alias("bought")
     )
-    return tables.create_table_as(bought, new_folder(spark, "purchases"))
+    return tables.create_table_as(rows_, new_folder(spark, "bought"))
 
 
 @query("append_to", """
     select event_id, user_id, event_type,
-      case when event_type = 'click' then value end as value
-    from events where event_type in ('click', 'signup')""")
+      case when event_type = 'click' then value end as value from events""")
 def append_to(spark, folder):
     path = new_folder(spark, "appended")
     columns = ["event_id", "user_id", "event_type", "value"]
     rows_ = table(spark, folder, "events").select(*columns)
     out = tables.create_table_as(rows_.where("event_type = 'click'"), path)
-    tables.append_to(rows_.where("event_type = 'signup'").drop("value"), path)
+    tables.append_to(rows_.where("event_type <> 'click'").drop("value"), path)
     return spark.read.schema(out.schema).parquet(path)
 
 
@@ -102,11 +101,48 @@ def convert_documents(spark, folder):
     return out
 
 
-@query("record_metadata", "select count(*) as n, true as all_known from orders")
+@query("record_metadata", """
+    select 'orders.parquet' as source_file, 0::bigint as source_offset, count(*) as n from orders""")
 def record_metadata(spark, folder):
     rows_ = streams.with_record_metadata(table(spark, folder, "orders"))
-    known = F.col("source_file").isNotNull() & F.col("source_timestamp").isNotNull()
-    return rows_.agg(F.count(F.lit(1)).alias("n"), F.bool_and(known).alias("all_known"))
+    known = rows_.where(F.col("source_timestamp") < F.current_timestamp())
+    return known.groupBy("source_file").agg(
+        F.min("source_offset").cast("bigint").alias("source_offset"), F.count(F.lit(1)).alias("n")
+    )
+
+
+def _records(spark, folder):
+    """Events packed as records of a topic: every 17th is cut short, every 19th is a deletion."""
+    at = F.col("event_id")
+    body = F.to_json(F.struct("user_id", "event_type", "value"))
+    return table(spark, folder, "events").select(
+        at.cast("string").cast("binary").alias("key"),
+        F.when(at % 17 == 0, F.substring(body, 1, 20)).when(at % 19 == 0, F.lit(None)).otherwise(body)
+        .cast("binary").alias("value"),
+        F.lit("events").alias("topic"), (at % 4).cast("int").alias("partition"),
+        F.floor(at / 4).alias("offset"),
+    )
+
+
+RECORD = ("event_id bigint", "user_id bigint, event_type string, value double")
+
+
+@query("topic_records", """
+    select event_id, case when event_id % 19 <> 0 then user_id end as user_id,
+      case when event_id % 19 <> 0 then event_type end as event_type,
+      case when event_id % 19 <> 0 then value end as value, event_id % 19 = 0 as tombstone,
+      'events' as topic, (event_id % 4)::integer as partition, event_id // 4 as "offset"
+    from events where event_id % 17 <> 0""")
+def topic_records(spark, folder):
+    return formats.topic_records(_records(spark, folder), *RECORD)[0]
+
+
+@query("topic_rejects", """
+    select event_id, 'events' as topic, (event_id % 4)::integer as partition,
+      event_id // 4 as "offset", 'value is no json record of its schema' as error_message
+    from events where event_id % 17 = 0""")
+def topic_rejects(spark, folder):
+    return formats.topic_records(_records(spark, folder), *RECORD)[1].drop("record_b64")
 
 
 @query("snapshot", """
@@ -119,11 +155,16 @@ def snapshot(spark, folder):
     )
 
 
-@query("snapshot_limit", "select least(count(*), 25) as n from orders where o_orderstatus = 'O'")
+@query("snapshot_limit", """
+    select least(count(*), 25) as n, least(count(*), 25) as fitting from orders
+    where o_orderstatus = 'O'""")
 def snapshot_limit(spark, folder):
-    return tables.snapshot(
-        table(spark, folder, "orders"), "*", "o_orderstatus = 'O'", 25
-    ).agg(F.count(F.lit(1)).alias("n"))
+    """Any 25 rows, all of which fit the condition."""
+    out = tables.snapshot(table(spark, folder, "orders"), "*", "o_orderstatus = 'O'", 25)
+    return out.agg(
+        F.count_distinct("o_orderkey").alias("n"),
+        F.count_if(F.col("o_orderstatus") == "O").alias("fitting"),
+    )
 
 
 @query("rows_to_json", """

@@ -106,6 +106,21 @@ def session_clicks(spark, folder):
     )
 
 
+@query("session_in_blocks", """
+    select view, min(ts) as session_start, max(ts) as session_end,
+      epoch_us(max(ts)) // 1000 - epoch_us(min(ts)) // 1000 as session_length_ms,
+      count(*) as clicks, max(value) as top
+    from (select *, sum(new) over (partition by view order by ts, event_id) as s from
+      (select *, event_type = 'view' as view, case when ts - lag(ts) over (partition by
+        event_type = 'view' order by ts, event_id) <= interval 1 minute then 0 else 1 end as new
+       from events))
+    group by view, s""")
+def session_in_blocks(spark, folder):
+    """Two keys, cut into chunks of slots."""
+    rows_ = table(spark, folder, "events").withColumn("view", F.col("event_type") == "view")
+    return windows.session(rows_, "ts", "1 minute", ["view"], SESSION_AGGS, hot=100)
+
+
 @query("two_stage_windows", f"""
     select day as window_start, day + interval 1 day as window_end, max(n) as busiest,
       count(*) as hours from (select date_trunc('hour', ts) as hour,
@@ -135,27 +150,43 @@ def event_time_from_payload(spark, folder):
     )).drop("window_end")
 
 
-def stream(spark, folder, heartbeat: bool = False):
-    """The events as a stream in TIMESTAMP event time with a watermark of ten minutes.
+_FILES: dict[tuple[str, str, bool], str] = {}
+BOUNDS = ("2024-01-11", "2024-01-21")
+
 
-    With ``heartbeat`` a second source brings events of no user a month after the last
-    one, which close all windows.
+def event_files(spark, folder, heartbeat: bool = False) -> str:
+    """The events as three files in the order of time, written once per session and folder.
+
+    With ``heartbeat`` a last file brings events of no user a month later, which close all
+    windows.
     """
-    # a pattern, since a stream source takes no path of a single file
-    rows_ = read_stream(spark, f"{folder}/events[.]parquet", SCHEMA)
-    if heartbeat:
-        path = new_folder(spark, "heartbeat")
-        kinds = ("click", "purchase")
-        last = table(spark, folder, "events").agg(F.max("ts").alias("ts"))
-        beats = last.select(
-            F.lit(None).cast("bigint").alias("event_id"),
-            (F.col("ts") + F.expr("INTERVAL 30 DAY")).alias("ts"),
-            F.lit(None).cast("bigint").alias("user_id"),
-            F.explode(F.array(*[F.lit(k) for k in kinds])).alias("event_type"),
-            F.lit(None).cast("double").alias("value"), F.lit(None).cast("string").alias("props"),
-        )
-        beats.write.parquet(path)
-        rows_ = rows_.unionByName(read_stream(spark, path, SCHEMA))
+    key = (spark.sparkContext.applicationId, folder, heartbeat)
+    if key not in _FILES:
+        path, rows_ = new_folder(spark, "event-files"), table(spark, folder, "events")
+        at = F.col("ts")
+        low, high = (F.lit(b).cast("timestamp_ntz") for b in BOUNDS)
+        parts = [rows_.where(p) for p in (at < low, (at >= low) & (at < high), at >= high)]
+        if heartbeat:
+            parts.append(rows_.agg(F.max("ts").alias("ts")).select(
+                F.lit(None).cast("bigint").alias("event_id"),
+                (F.col("ts") + F.expr("INTERVAL 30 DAY")).alias("ts"),
+                F.lit(None).cast("bigint").alias("user_id"),
+                F.explode(F.array(F.lit("click"), F.lit("purchase"))).alias("event_type"),
+                F.lit(None).cast("double").alias("value"),
+                F.lit(None).cast("string").alias("props"),
+            ))
+        for part in parts:
+            part.select(*rows_.columns).coalesce(1).write.mode("append").parquet(path)
+        _FILES[key] = path
+    return _FILES[key]
+
+
+def stream(spark, folder, heartbeat: bool = False):
+    """The events as a stream of one micro-batch per file in TIMESTAMP event time, with a
+    watermark of ten minutes."""
+    rows_ = read_stream(
+        spark, event_files(spark, folder, heartbeat), SCHEMA, options={"maxFilesPerTrigger": "1"}
+    )
     timed = times.with_event_time(rows_, "ts", name="ts").withColumn("cents", cents("value"))
     return times.watermark(timed, "ts", "10 minutes")
 
@@ -235,6 +266,30 @@ def stream_latest(spark, folder):
     return sinks.run_upsert(out, ["user_id"], ["ts", "event_id"], "latest").drop("ts")
 
 
+CHANGES = """
+    select user_id, event_id, value from (select *, row_number() over
+      (partition by user_id order by ts desc, event_id desc) as rn from events)
+    where rn = 1 and event_type <> 'error'"""
+
+
+@query("stream_changelog", CHANGES)
+def stream_changelog(spark, folder):
+    """An error deletes the user's row; files and batches come in any order of time."""
+    rows_ = read_stream(spark, shuffled_files(spark, folder), SCHEMA, options={"maxFilesPerTrigger": "2"})
+    rows_ = rows_.select("user_id", "event_id", "value", "event_type", "ts")
+    out = sinks.run_upsert(
+        rows_, ["user_id"], ["ts", "event_id"], "changes", "append", F.col("event_type") == "error"
+    )
+    return out.select("user_id", "event_id", "value")
+
+
+def shuffled_files(spark, folder) -> str:
+    """The events in five files that each hold all times."""
+    path = new_folder(spark, "shuffled-events")
+    table(spark, folder, "events").repartition(5, F.hash("event_id")).write.parquet(path)
+    return path
+
+
 @query("stream_upsert", """
     select user_id, event_type, event_id, value from (select *, row_number() over
       (partition by user_id, event_type order by ts desc, event_id desc) as rn from events)
@@ -284,6 +339,21 @@ def stream_interval_left_join(spark, folder):
     return times.without_heartbeats(out, "c_event_id")
 
 
+@query("stream_ttl_join", """
+    select c.event_id as c_event_id, p.event_id as p_event_id from
+      (select * from events where event_type = 'click') c join
+      (select * from events where event_type = 'purchase') p on c.user_id = p.user_id
+      and p.ts >= c.ts - interval 1 hour and p.ts <= c.ts + interval 5 hour""")
+def stream_ttl_join(spark, folder):
+    """A click is remembered for five hours, a purchase for one."""
+    rows_ = stream(spark, folder)
+    out = joins.ttl_join(
+        _side(rows_, "click", "c_"), _side(rows_, "purchase", "p_"), [("c_user_id", "p_user_id")],
+        "c_ts", "p_ts", "5 hours", "1 hour",
+    ).select("c_event_id", "p_event_id")
+    return sinks.run_append(out, "ttl")
+
+
 @query("stream_enrich", """
     select event_id, user_id, c_name from events left join customer on user_id = c_custkey""")
 def stream_enrich(spark, folder):
@@ -309,20 +379,23 @@ def stream_routes(spark, folder):
 
 @query("stream_merge", """
     select event_id, 'shop' as origin from events where event_type = 'purchase'
-    union all select event_id, 'web' from events where event_type = 'view'""")
+    union all select event_id, 'web' from events where event_type <> 'purchase'""")
 def stream_merge(spark, folder):
     rows_ = stream(spark, folder)
     return sinks.run_append(sets.merge_tagged({
         "shop": rows_.where("event_type = 'purchase'").select("event_id"),
-        "web": rows_.where("event_type = 'view'").select("event_id"),
+        "web": rows_.where("event_type <> 'purchase'").select("event_id"),
     }, "origin"), "merged")
 
 
-@query("stream_first_rows", "select least(count(*), 500) as n from events where value > 10")
+@query("stream_first_rows", """
+    select least(count(*), 500) as n, least(count(*), 500) as fitting from events where value > 10""")
 def stream_first_rows(spark, folder):
     """A streaming query that ends after 500 rows."""
     out = stream_query(stream(spark, folder), ["event_id", "value"], "value > 10", 500)
-    return sinks.run_append(out, "first-rows").agg(F.count(F.lit(1)).alias("n"))
+    return sinks.run_append(out, "first-rows").agg(
+        F.count_distinct("event_id").alias("n"), F.count_if(F.col("value") > 10).alias("fitting")
+    )
 
 
 @query("stream_sequence_match", SEQUENCES)

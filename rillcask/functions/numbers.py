@@ -5,6 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+
+def at_least_one(rows: int) -> int:
+    """A row count as asked for by a caller; anything below 1 is a mistake."""
+    if rows < 1:
+        raise ValueError(f"cannot return {rows} rows: ask for 1 or more")
+    return rows
+
 # US dollars per unit of a currency; any other currency counts as dollars.
 USD_RATES = {"EUR": 1.1, "GBP": 1.25, "JPY": 0.0075}
 

@@ -95,9 +95,10 @@ def distinct(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 def distinct_within(df: DataFrame, columns: list[str], ts: str, ttl: str) -> DataFrame:
     """Distinct rows of a stream, remembered for ``ttl`` of event time.
 
-    Without a lifetime the state would grow for ever. A row repeated later than that
-    counts as new. A table simply keeps one row per key.
+    Without a lifetime the state would grow for ever. A row repeated later than that counts as
+    new. When that happens depends on the watermark, which a table does not have: use
+    ``distinct`` there.
     """
-    if df.isStreaming:
-        return df.withWatermark(ts, ttl).dropDuplicatesWithinWatermark(columns)
-    return df.dropDuplicates(columns)
+    if not df.isStreaming:
+        raise TypeError("a lifetime needs a stream; a table has distinct()")
+    return df.withWatermark(ts, ttl).dropDuplicatesWithinWatermark(columns)

@@ -79,9 +79,7 @@ def missing_sources(refs: DataFrame, declared: DataFrame, target: str = "target"
     )
 
 
-def run_order(
-    edges: DataFrame, child: str = "child", parent: str = "parent", max_levels: int = 1000
-) -> DataFrame:
+def run_order(edges: DataFrame, child: str = "child", parent: str = "parent") -> DataFrame:
     """Level of every table in a lineage: 0 without parents, else one above the deepest.
 
     Level by level, each round places the tables whose parents are all placed. The open
@@ -96,9 +94,9 @@ def run_order(
     children = open_edges.select(F.col("c").alias("n")).distinct()
     ready = names.join(children, "n", "left_anti").checkpoint()
     placed = [ready.withColumn("level", F.lit(0))]
-    for level in range(1, max_levels):
-        if open_edges.isEmpty():
-            break
+    level = 0
+    while not open_edges.isEmpty():
+        level += 1
         left = open_edges.join(ready.withColumnRenamed("n", "p"), "p", "left_anti").checkpoint()
         freed = open_edges.select(F.col("c").alias("n")).distinct().join(
             left.select(F.col("c").alias("n")), "n", "left_anti"
@@ -107,8 +105,6 @@ def run_order(
             raise ValueError("the lineage has a cycle")
         placed.append(freed.withColumn("level", F.lit(level)))
         open_edges, ready = left, freed
-    else:
-        raise ValueError(f"the lineage is deeper than {max_levels} levels")
     out = placed[0]
     for part in placed[1:]:
         out = out.unionByName(part)

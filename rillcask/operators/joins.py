@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from rillcask.functions.times import seconds
 from rillcask.operators.ordered import Limit, filled
+from rillcask.operators.skew import find_hot
 
 Pairs = list[tuple[str, str]]
 
@@ -117,9 +118,14 @@ def asof_join(
             F.struct(*df.columns).alias(kept), F.lit(None).cast(other_type).alias(other),
         )
 
-    # a NULL key matches nothing
+    # a NULL key matches nothing: such left rows go past the window, so they can't crowd a task
     for _, y in pairs:
         right = right.where(F.col(y).isNotNull())
+    keyed = reduce(lambda a, b: a & b, [F.col(x).isNotNull() for x, _ in pairs], F.lit(True))
+    unkeyed = left.where(~keyed).select(
+        "*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in right.schema.fields]
+    )
+    left = left.where(keyed)
     left_type = left.select(F.struct(*left.columns).alias("x")).schema["x"].dataType
     right_type = right.select(F.struct(*right.columns).alias("x")).schema["x"].dataType
     tie_type = right.schema[tiebreak].dataType
@@ -135,9 +141,10 @@ def asof_join(
     time, tie = F.col("__t"), F.col("__tie")
     order = [time.desc() if forward else time, F.col("__side"), tie.desc() if forward else tie]
     found = filled(both, keys, order, "__right", "__found", hot)
-    return found.where(F.col("__side") == left_side).select(
+    found = found.where(F.col("__side") == left_side).select(
         "__left.*", *[F.col(f"__found.{c}").alias(c) for c in right.columns]
     )
+    return found.unionAll(unkeyed) if pairs else found
 
 
 def retained(hist: DataFrame, current: DataFrame, key: str, weight: str = "matches") -> DataFrame:
@@ -150,6 +157,15 @@ def retained(hist: DataFrame, current: DataFrame, key: str, weight: str = "match
     return hist.join(counts, F.col(key) == F.col("__key")).drop("__key")
 
 
+def retained_pairs(
+    hist: DataFrame, current: DataFrame, key: str, prefix: str = "now_"
+) -> DataFrame:
+    """Rows of one period joined with all rows of another with the same key: columns of both
+    sides, the second one's prefixed. ``retained`` counts where the pairs are not needed."""
+    now = current.select(*[F.col(c).alias(f"{prefix}{c}") for c in current.columns])
+    return hist.join(now, F.col(key) == F.col(f"{prefix}{key}"))
+
+
 def semi(df: DataFrame, keys_df: DataFrame, key: str, other: str | None = None) -> DataFrame:
     """Rows whose key is IN the other table."""
     return df.join(keys_df.select(F.col(other or key).alias("__in")),
@@ -200,21 +216,29 @@ def sequence_match(
 ) -> DataFrame:
     """Rows of ``steps[0]`` followed in order by the other steps within a time limit.
 
-    Every step takes the next later row of its kind; output has a time per step.
+    Every step takes the next later row of its kind; output has a time per step. The rows of all
+    steps are read once and lie in one order, the latest first. From the last step backwards, each
+    row hands its time and those of the steps after it on to the earlier rows, so the passes share
+    one shuffle and one sort. Rows of one time don't follow each other: earlier steps come first
+    in the order and see only what lies strictly later.
     """
-    out = df.where(F.col(kind) == steps[0]).select(
-        key, tiebreak, F.col(ts).alias("step_1")
+    matching = F.array_compact(F.array(*[
+        F.when(F.col(kind) == step, F.lit(i)) for i, step in enumerate(steps, start=1)
+    ]))
+    rows = df.where(F.col(kind).isin(*steps) & F.col(key).isNotNull()).select(
+        key, tiebreak, F.col(ts).alias("__t"), F.explode(matching).alias("__step")
     )
-    for i, step in enumerate(steps[1:], start=2):
-        later = df.where(F.col(kind) == step).select(
-            F.col(key).alias("__key"), F.col(ts).alias(f"step_{i}"),
-            F.col(tiebreak).alias("__event"),
-        )
-        out = asof_join(
-            out, later, [(key, "__key")], f"step_{i - 1}", f"step_{i}", "__event",
-            forward=True, strict=True, hot=hot,
-        ).drop("__key", "__event").where(
-            F.col(f"step_{i}")
-            <= F.col("step_1") + F.expr(f"INTERVAL '{seconds(within)}' SECOND")
-        )
-    return out
+    hot = find_hot(rows, [key], hot)
+    order = [F.col("__t").desc(), F.col("__step").asc(), F.col(tiebreak).desc()]
+    for i in range(len(steps), 1, -1):
+        later = [F.col(f"__after_{i + 1}.step_{j}") for j in range(i + 1, len(steps) + 1)]
+        own = F.when(F.col("__step") == i, F.struct(F.col("__t").alias(f"step_{i}"), *later))
+        rows = filled(
+            rows.withColumn("__own", own), [key], order, "__own", f"__after_{i}", hot
+        ).drop("__own")
+    last = F.col("step_1") + F.expr(f"INTERVAL '{seconds(within)}' SECOND")
+    out = rows.where(F.col("__step") == 1).select(
+        key, tiebreak, F.col("__t").alias("step_1"),
+        *[F.col(f"__after_2.step_{j}").alias(f"step_{j}") for j in range(2, len(steps) + 1)],
+    )
+    return out if len(steps) == 1 else out.where(F.col(f"step_{len(steps)}") <= last)

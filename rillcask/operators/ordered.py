@@ -11,7 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from rillcask.operators.skew import POS, SIZE, Hot, find_hot, pinned, positions, same, split_hot
+from rillcask.operators.skew import (
+    POS, SIZE, Hot, find_hot, hot_in, pinned, positions, same, settled, split_hot,
+)
 
 Limit = Hot | int | None
 
@@ -104,7 +106,9 @@ def ranked(
         *[F.col(k).alias(f"__v{i}") for i, k in enumerate(keys)],
         *[c for c in values.columns if c.startswith("__")],
     )
-    sizes = F.broadcast(hot.groups)
+    sizes = pinned(big.groupBy(
+        *[F.col(p).alias(f"__h{i}") for i, p in enumerate(part)]
+    ).agg(F.count(F.lit(1)).alias(SIZE)))
     done = big.join(sizes, same(big, part, "__h")).join(values, same(big, keys, "__v"))
     share = F.when(F.col(SIZE) > 1, F.col("__before") / (F.col(SIZE) - 1)).otherwise(F.lit(0.0))
     made = [
@@ -145,12 +149,12 @@ def tiled(
     placed = positions(narrow, part, _columns(order), hot)
     index = F.col(POS) - 1
     opens = (index == 0) | (_tile(index, F.col(SIZE), n) != _tile(index - 1, F.col(SIZE), n))
-    # at most n rows per group
-    starts = placed.where(opens).groupBy(
+    # one row per group, with at most n starts
+    starts = pinned(placed.where(opens).groupBy(
         *[F.col(p).alias(f"__t{i}") for i, p in enumerate(part)]
-    ).agg(F.collect_list(F.struct(*order)).alias("__starts"))
+    ).agg(F.collect_list(F.struct(*order)).alias("__starts")))
     own = F.struct(*order)
-    done = big.join(F.broadcast(starts), same(big, part, "__t")).withColumn(
+    done = big.join(starts, same(big, part, "__t")).withColumn(
         name, F.size(F.filter("__starts", lambda start: start <= own))
     ).drop("__starts", *[f"__t{i}" for i in range(len(part))])
     return plain(cold).unionByName(done)
@@ -160,7 +164,13 @@ def cumulated(
     df: DataFrame, part: list[str], order: list[str | Column], value: str, name: str,
     hot: Limit = None,
 ) -> DataFrame:
-    """Sum of ``value`` over all earlier rows of the group; 0 for its first row."""
+    """Sum of ``value`` over all earlier rows of the group; 0 for its first row.
+
+    Integers and decimals only: sums of doubles depend on the order of addition, so the two
+    paths would differ. Cast doubles to a decimal first.
+    """
+    if df.schema[value].dataType.typeName() in ("double", "float"):
+        raise TypeError(f"cast {value} to a decimal: a running sum of doubles is not exact")
     hot = find_hot(df, part, hot)
     order = _columns(order)
     earlier = (Window.unboundedPreceding, -1)
@@ -295,6 +305,19 @@ def rolling(
     return windowed(df, part, order, cols, reach=n, hot=hot)
 
 
+def rolling_days(
+    df: DataFrame, part: list[str], ts: str, days: int, aggs: dict[str, Column]
+) -> DataFrame:
+    """Aggregates over the rows of the last ``days`` days up to each row's time, ties included.
+
+    The frame is a range of time, so it may hold any number of rows. Aggregates must be sums,
+    counts, minima or maxima over whole numbers, decimals or times.
+    """
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    frame = Window.partitionBy(*part).orderBy(micros).rangeBetween(-days * 86_400_000_000, 0)
+    return df.select("*", *[agg.over(frame).alias(name) for name, agg in aggs.items()])
+
+
 def rolling_ndv(
     df: DataFrame, part: list[str], order: list[str | Column], n: int, value: str, name: str,
     hot: Limit = None,
@@ -404,8 +427,8 @@ def outlier_flag(
 
 def encode_category(df: DataFrame, value: str, name: str, hot: Limit = None) -> DataFrame:
     """DENSE_RANK over the whole table: only the distinct values are ranked, then joined."""
-    values = pinned(df.select(F.col(value).alias("__value")).distinct())
-    codes = pinned(numbered(values, [], ["__value"], "__code", hot=hot))
+    values, n = settled(df.select(F.col(value).alias("__value")).distinct())
+    codes = numbered(values, [], ["__value"], "__code", hot=hot_in(n, values, [], hot))
     return df.join(codes, F.col(value).eqNullSafe(F.col("__value")), "left").withColumn(
         name, F.col("__code").cast("int")
     ).drop("__value", "__code")

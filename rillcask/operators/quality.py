@@ -88,9 +88,10 @@ def check_properties(
     """Issues of a (owner, key, value) table as (owner, key, value, issue, severity)."""
     issue = F.when(F.col(key).isin(*rules.deprecated), "deprecated")
     for name, allowed in rules.allowed.items():
-        issue = issue.when((F.col(key) == name) & ~F.col(value).isin(*allowed), "invalid_value")
+        fits = F.coalesce(F.col(value).isin(*allowed), F.lit(False))  # a NULL value never fits
+        issue = issue.when((F.col(key) == name) & ~fits, "invalid_value")
     for suffix, pattern in rules.suffix_patterns.items():
-        wrong = F.col(key).endswith(suffix) & ~F.col(value).rlike(pattern)
+        wrong = F.col(key).endswith(suffix) & ~F.coalesce(F.col(value).rlike(pattern), F.lit(False))
         issue = issue.when(wrong, "invalid_value")
     named = [F.col(owner).alias("owner"), F.col(key).alias("key"), F.col(value).alias("value")]
     found = props.select(*named, issue.alias("issue")).where("issue is not null")

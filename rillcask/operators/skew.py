@@ -10,21 +10,21 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from rillcask.session import shared_dir
+from rillcask.session import new_folder, shared_dir
 
 HOT_ROWS = 4_000_000
 HOT_ROWS_SETTING = "spark.rillcask.hotRows"
-MAX_HOT_GROUPS = 10_000
-
-# A table of at most this many rows is small enough to send to every executor.
-BROADCAST_ROWS = 100_000
 
 POS = "__pos"
 SIZE = "__size"
 
+# Hot groups found so far in this process, by input, group columns and limit. Which groups are
+# listed decides only the path their rows take, never a result, so a list may be used again.
+_FOUND: dict[tuple, DataFrame | None] = {}
+
 
 class Hot:
     """The groups above the limit, or none of them; see ``find_hot``."""
@@ -50,51 +50,60 @@ def same(df: DataFrame, names: list[str], other_prefix: str) -> Column:
     )
 
 
+def pinned(df: DataFrame) -> DataFrame:
+    """Write a table to the shared folder and read it back.
+
+    Spark then knows its size in bytes and broadcasts it only if that is below
+    ``spark.sql.autoBroadcastJoinThreshold``; a larger one is joined by a shuffle.
+    """
+    return settled(df)[0]
+
+
+def settled(df: DataFrame) -> tuple[DataFrame, int]:
+    """A pinned table and its number of rows, in one job."""
+    folder, seen = new_folder(df.sparkSession, "pinned"), Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder), seen.get["n"]
+
+
+def hot_in(rows: int, df: DataFrame, part: list[str], hot: Hot | int | None = None) -> Hot:
+    """``find_hot`` for a table of ``rows`` rows: one that fits a task has no hot group."""
+    limit = hot if isinstance(hot, int) else hot_rows_limit(df)
+    return Hot(None, limit) if rows <= limit else find_hot(df, part, hot)
+
+
 def hot_groups(df: DataFrame, part: list[str], limit: int) -> DataFrame | None:
-    """Groups of ``part`` with more than ``limit`` rows as (__h0.., __size), or None.
+    """All groups of ``part`` with more than ``limit`` rows as (__h0.., __size), or None.
 
-    The list holds the largest groups, at most MAX_HOT_GROUPS, so it is small enough to
-    broadcast. A group beyond that rank has less than 1/MAX_HOT_GROUPS of all rows and
-    stays on the plain window path, which is exact as well.
+    One job counts the groups and writes the list; it stays a table, however long it is.
     """
     named = [F.col(n).alias(f"__h{i}") for i, n in enumerate(part)]
-    counts = (
-        df.groupBy(*named).agg(F.count(F.lit(1)).alias(SIZE)).where(F.col(SIZE) > limit)
-        .orderBy(F.desc(SIZE)).limit(MAX_HOT_GROUPS)
-    )
-    rows = counts.collect()
-    return df.sparkSession.createDataFrame(rows, counts.schema) if rows else None
+    counts = df.groupBy(*named).agg(F.count(F.lit(1)).alias(SIZE)).where(F.col(SIZE) > limit)
+    kept, found = settled(counts)
+    return kept if found else None
 
 
 def find_hot(df: DataFrame, part: list[str], hot: Hot | int | None = None) -> Hot:
-    """Count the groups, unless the caller has done so. A number replaces the limit.
+    """Count the groups, unless that has been done. A number replaces the limit.
 
-    Only the group columns are read. A caller with several windows over the same groups
-    counts once and passes the result on.
+    Only the group columns are read. The same input, groups and limit are counted once.
     """
     if isinstance(hot, Hot):
         return hot
     limit = hot or hot_rows_limit(df)
-    return Hot(hot_groups(df, part, limit), limit)
-
-
-def pinned(df: DataFrame) -> DataFrame:
-    """Write an aggregate to the shared folder once; broadcast it if it proved small.
-
-    Without this a join with it would shuffle the large side by its few distinct keys.
-    """
-    shared_dir(df.sparkSession)
-    kept = df.checkpoint()
-    return F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept
+    narrow = df.select(*part)
+    key = (df.sparkSession.sparkContext.applicationId, narrow.semanticHash(), tuple(part), limit)
+    if key not in _FOUND:
+        _FOUND[key] = hot_groups(df, part, limit)
+    return Hot(_FOUND[key], limit)
 
 
 def split_hot(df: DataFrame, part: list[str], hot: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows of other groups, rows of hot groups)."""
-    match = same(df, part, "__h")
-    small = F.broadcast(hot.drop(SIZE)) if part else None
-    if small is None:
+    if not part:
         return df.where(F.lit(False)), df
-    return df.join(small, match, "left_anti"), df.join(small, match, "left_semi")
+    match, listed = same(df, part, "__h"), hot.drop(SIZE)
+    return df.join(listed, match, "left_anti"), df.join(listed, match, "left_semi")
 
 
 def positions(df: DataFrame, part: list[str], order: list[Column], hot: Hot) -> DataFrame:
@@ -120,8 +129,8 @@ def positions(df: DataFrame, part: list[str], order: list[Column], hot: Hot) ->
     before = Window.partitionBy(*groups).orderBy("__p_b").rowsBetween(
         Window.unboundedPreceding, -1
     )
-    # one row per block and group in it: at most blocks + MAX_HOT_GROUPS rows
-    spans = (
+    # one row per block and group in it: at most blocks + hot groups
+    spans = pinned(
         laid.groupBy(*named, F.col("__p_block").alias("__p_b"))
         .agg(F.min("__p_id").alias("__p_first"), F.count(F.lit(1)).alias("__p_rows"))
         .withColumn("__p_offset", F.coalesce(F.sum("__p_rows").over(before), F.lit(0)))
@@ -129,7 +138,7 @@ def positions(df: DataFrame, part: list[str], order: list[Column], hot: Hot) ->
     )
     match = same(laid, part, "__p_g") & (F.col("__p_block") == F.col("__p_b"))
     return (
-        laid.join(F.broadcast(spans), match)
+        laid.join(spans, match)
         .withColumn(POS, F.col("__p_id") - F.col("__p_first") + F.col("__p_offset") + 1)
         .drop("__p_id", "__p_block", "__p_b", "__p_first", "__p_rows", "__p_offset", *groups)
     )

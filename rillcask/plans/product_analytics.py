@@ -16,7 +16,7 @@ def product_analytics(
     """Recency rank, previous and rolling revenue, rank in category and time features."""
     product, ts = ["product_id"], "event_timestamp"
     rows = recent(events, ts, as_of, 30).where(F.col("revenue") > 0)
-    by_product = find_hot(rows, product, hot)
+    by_product, by_category = find_hot(rows, product, hot), find_hot(rows, ["category"], hot)
     rows = numbered(
         rows, product, [F.col(ts).desc(), F.col(tiebreak).desc()], "latest_event_rank",
         hot=by_product,
@@ -27,7 +27,7 @@ def product_analytics(
     }, reach=6, hot=by_product)
     rows = ranked(
         rows, ["category"], "revenue", descending=True, rank="revenue_rank_in_category",
-        hot=hot,
+        hot=by_category,
     )
     hour = F.hour(ts)
     return rows.withColumns({

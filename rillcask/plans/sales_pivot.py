@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rillcask.operators.aggregates import growth_pct, pivot_periods, trend_label
 from rillcask.operators.ordered import Limit, ranked
 from rillcask.operators.rows import label_rules
-from rillcask.operators.skew import find_hot
+from rillcask.operators.skew import hot_in, settled
 
 
 def pivoted_sales(sales: DataFrame, as_of: str) -> DataFrame:
@@ -30,7 +30,8 @@ def sales_pivot(sales: DataFrame, as_of: str, hot: Limit = None) -> DataFrame:
     """Growth, trend and rank of categories and regions with sales last month."""
     # the base table keeps sales from the same day a year ago, so that month is partial
     start = F.add_months(F.lit(as_of).cast("date"), -12).cast("timestamp_ntz")
-    rows = pivoted_sales(sales.where(F.col("sale_date") >= start), as_of)
+    # few rows, made once: they are ranked and counted from here
+    rows, n = settled(pivoted_sales(sales.where(F.col("sale_date") >= start), as_of))
     last, two, three = (
         F.col(f"{n}_revenue") for n in ("last_month", "two_months_ago", "three_months_ago")
     )
@@ -43,11 +44,7 @@ def sales_pivot(sales: DataFrame, as_of: str, hot: Limit = None) -> DataFrame:
         "revenue_trend": trend_label(last, two, three),
     })
     category, value = ["product_category"], "last_month_revenue"
-    # regions of a category: counted over the pairs themselves, not over the sales
-    counted = find_hot(
-        sales.where(F.col("sale_date") >= start).select(*category, "region").distinct(),
-        category, hot,
-    )
+    counted = hot_in(n, rows, category, hot)
     rows = ranked(
         rows, category, value, descending=True, rank="revenue_rank_in_category", hot=counted
     )

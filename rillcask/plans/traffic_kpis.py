@@ -10,10 +10,11 @@ from rillcask.operators.aggregates import (
     avg_where, count_where, distinct_count, max_where, sum_where,
 )
 from rillcask.operators.ordered import Limit, anomaly_flag
-from rillcask.operators.skew import find_hot, same
+from rillcask.operators.skew import hot_in, same, settled
 from rillcask.streaming.windows import tumbling
 
 GROUPS = ["user_segment", "event_type", "source_system"]
+# Names of the anomaly classes.
 LABELS = ("HIGH_TRAFFIC_SPIKE", "LOW_TRAFFIC_DROP", "NORMAL")
 
 
@@ -80,16 +81,20 @@ def window_kpis(
 
 def traffic_kpis(
     events: DataFrame, size: str = "5 minutes", ts: str = "event_timestamp",
-    approx: bool = False, hot: Limit = None,
+    approx: bool = False, hot: Limit = None, as_of: str | None = None, hours: int = 24,
 ) -> DataFrame:
     """``window_kpis`` with a flag that compares a group with its own last 11 windows.
 
     Several groups share a window, so a frame ordered by window alone has no fixed
-    order; per group it has one and needs no whole-table sort. The windows per group are
-    counted without computing the indicators.
+    order; per group it has one and needs no whole-table sort. The indicators are made once,
+    and the windows of a group are counted on them. ``as_of`` keeps the ``hours`` before it.
     """
-    kpis = window_kpis(events, size, ts, approx)
-    counted = find_hot(tumbling(events, ts, size, GROUPS, {"n": F.count(F.lit(1))}), GROUPS, hot)
+    if as_of is not None:
+        events = events.where(F.col(ts) >= F.lit(as_of).cast("timestamp") - F.expr(
+            f"INTERVAL '{hours}' HOUR"
+        ))
+    kpis, n = settled(window_kpis(events, size, ts, approx))
+    counted = hot_in(n, kpis, GROUPS, hot)
     return anomaly_flag(
         kpis, GROUPS, ["window_start"], "event_count", 11, 2, 0.5,
         "traffic_anomaly_indicator", LABELS, counted,

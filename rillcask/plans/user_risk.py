@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from rillcask.functions.numbers import log10_plus_one, power, safe_ratio, square_root, to_usd
-from rillcask.functions.strings import json_field
+from rillcask.functions.strings import json_fields
 from rillcask.functions.times import is_late_night
 from rillcask.operators.aggregates import count_where
 from rillcask.operators.ordered import (
@@ -21,19 +21,26 @@ TS, ID = "transaction_timestamp", "transaction_id"
 AMOUNT_BUCKETS = [(10, "micro"), (100, "small"), (1000, "medium"), (10000, "large")]
 
 
+METADATA = (
+    "device struct<fingerprint: string>, location struct<ip_address: string>, "
+    "risk_scores struct<fraud_score: string>, tags string"
+)
+
+
 def enriched(
     transactions: DataFrame, as_of: str, days: int = 30, ranks: bool = True,
     hot: Limit = None,
 ) -> DataFrame:
     """Parsed metadata, dollars, risk class and amount transforms of recent rows."""
-    meta, amount = F.col("transaction_metadata"), F.col("amount")
-    score = json_field(meta, "$.risk_scores.fraud_score", "double")
-    rows = recent(transactions, TS, as_of, days).withColumns({
-        "device_fingerprint": json_field(meta, "$.device.fingerprint"),
-        "ip_address": json_field(meta, "$.location.ip_address"),
-        "fraud_score": json_field(meta, "$.risk_scores.fraud_score"),
+    meta, amount = F.col("__meta"), F.col("amount")
+    score = meta["risk_scores"]["fraud_score"].try_cast("double")
+    parsed = json_fields(F.col("transaction_metadata"), METADATA)
+    rows = recent(transactions, TS, as_of, days).withColumn("__meta", parsed).withColumns({
+        "device_fingerprint": meta["device"]["fingerprint"],
+        "ip_address": meta["location"]["ip_address"],
+        "fraud_score": meta["risk_scores"]["fraud_score"],
         "clean_merchant_category": F.regexp_replace("merchant_category", "[^a-zA-Z0-9]", "_"),
-        "transaction_tags": F.split(json_field(meta, "$.tags"), ","),
+        "transaction_tags": F.split(meta["tags"], ","),
         "unix_timestamp": F.unix_timestamp(TS),
         "formatted_timestamp": F.date_format(TS, "yyyy-MM-dd HH:mm:ss"),
         "week_number": F.weekofyear(TS),
@@ -44,7 +51,7 @@ def enriched(
         "log_amount": log10_plus_one(amount),
         "sqrt_amount": square_root(amount),
         "power_transform": power(amount, 0.5),
-    })
+    }).drop("__meta")
     if not ranks:
         return rows
     tile_limit = hot.limit if isinstance(hot, Hot) else hot
@@ -105,6 +112,7 @@ def risk_features(features: DataFrame) -> DataFrame:
         "amount_velocity_interaction": amount * F.col("transactions_last_7"),
         "amount_per_day_gap": safe_ratio(amount, days, 1, 0.0),
         "amount_bucket": bucketize(amount, AMOUNT_BUCKETS, "very_large"),
+        # The names of the classes here and below.
         "composite_risk_category": label_rules([
             ((risk == "high_risk") & (F.col("is_late_night") == 1), "high_risk_night"),
             ((risk == "high_risk") & (F.col("is_weekend") == 1), "high_risk_weekend"),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rillcask.operators.aggregates import cohort_by_month, pct_of_total, segment_summary
 from rillcask.operators.joins import anti, flag_in, not_in, retained, semi
 from rillcask.operators.rows import between_ago, recent
+from rillcask.operators.skew import pinned
 
 COLUMNS = ["user_id", "email", "registration_date", "last_activity_date"]
 
@@ -22,6 +23,7 @@ def user_groups(
     periods do not share a date.
     """
     day = "last_activity_date"
+    acts = acts.select(*COLUMNS).distinct()
     current = recent(acts, day, as_of, near).select(*COLUMNS).distinct()
     past = between_ago(acts, day, as_of, far, near).select(*COLUMNS).distinct()
     older = acts.where(F.col(day) < F.lit(as_of).cast("timestamp_ntz") - F.expr(
@@ -46,6 +48,8 @@ def user_segments(
     months: int = 12,
 ) -> DataFrame:
     """Size, age and share of each segment, then the retention of each cohort."""
+    # the activity table is read once; every segment and cohort uses its distinct narrow rows
+    acts = pinned(acts.select(*COLUMNS).distinct())
     groups = user_groups(acts, as_of, near, middle, far)
     current = groups.pop("current")
     segments = pct_of_total(

@@ -9,15 +9,22 @@ from pyspark.sql import types as T
 CORRUPT = "__corrupt"
 
 
-# Text with line breaks, quotes or outer blanks survives a CSV file with these options.
+# Text with quotes or outer blanks survives a CSV file with these options.
 CSV_OPTIONS = {
-    "header": "true", "multiLine": "true", "escape": '"',
+    "header": "true", "escape": '"',
     "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
 }
+# A file whose values hold line breaks cannot be split, so it must stay small.
+CSV_ROWS_PER_FILE = 1_000_000
 
 
-def _options(fmt: str) -> dict[str, str]:
-    return CSV_OPTIONS if fmt == "csv" else {}
+def _options(fmt: str, schema: T.StructType) -> dict[str, str]:
+    if fmt != "csv":
+        return {}
+    text = any(isinstance(f.dataType, T.StringType) for f in schema.fields)
+    return {
+        **CSV_OPTIONS, "multiLine": str(text).lower(), "maxRecordsPerFile": str(CSV_ROWS_PER_FILE),
+    }
 
 
 def convert_format(
@@ -28,11 +35,16 @@ def convert_format(
 
     Avro and Protobuf need their Spark package on the class path.
     """
+    if isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
+
     def read(path: str, fmt: str) -> DataFrame:
-        return spark.read.format(fmt).schema(schema).options(**_options(fmt)).load(path)
+        return spark.read.format(fmt).schema(schema).options(**_options(fmt, schema)).load(path)
 
     rows = read(source, source_format)
-    rows.write.format(target_format).mode(mode).options(**_options(target_format)).save(target)
+    rows.write.format(target_format).mode(mode).options(
+        **_options(target_format, schema)
+    ).save(target)
     return read(target, target_format)
 
 
@@ -74,6 +86,45 @@ def changelog_to_json(df: DataFrame, op: str = "op", name: str = "line") -> Data
     )
 
 
+def topic_records(
+    records: DataFrame, key: str | T.StructType, value: str | T.StructType, fmt: str = "json"
+) -> tuple[DataFrame, DataFrame]:
+    """(decoded rows, dead letters) of topic records: key, value, topic, partition, offset, timestamp.
+
+    Works on the columns of a Kafka source as on a table of that shape. The key is decoded like
+    the value, or cast if its schema has one field; ``fmt`` is json or csv. Rows keep the position
+    of their record. A record whose value does not decode keeps its key, position, reason and
+    value in base64. A missing value is a deletion: a row of NULLs, marked ``tombstone``.
+    """
+    key, value = (T.StructType.fromDDL(s) if isinstance(s, str) else s for s in (key, value))
+    place = [c for c in ("topic", "partition", "offset", "timestamp") if c in records.columns]
+    text = F.col("key").cast("string")
+    keys = (
+        [text.try_cast(key[0].dataType).alias(key[0].name)] if len(key) == 1
+        else [F.from_json(text, key).getField(f).alias(f) for f in key.names]
+    )
+    body = F.col("value").cast("string")
+    full = T.StructType([*value.fields, T.StructField(CORRUPT, T.StringType())])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    record = (
+        F.from_json(body, full, options) if fmt == "json"
+        else F.from_csv(body, full.toDDL(), {**options, "escape": '"'})
+    )
+    rows = records.select(*keys, *place, body.alias("__body"), record.alias("__record"))
+    failed = F.col("__body").isNotNull() & (
+        F.col("__record").isNull() | F.col(f"__record.{CORRUPT}").isNotNull()
+    )
+    good = rows.where(~failed).select(
+        *key.names, *[F.col(f"__record.{f}").alias(f) for f in value.names],
+        F.col("__body").isNull().alias("tombstone"), *place,
+    )
+    bad = rows.where(failed).select(
+        *key.names, *place, F.lit(f"value is no {fmt} record of its schema").alias("error_message"),
+        F.base64(F.col("__body").cast("binary")).alias("record_b64"),
+    )
+    return good, bad
+
+
 def _decoded(df: DataFrame, raw: str, schema: T.StructType) -> DataFrame:
     full = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}

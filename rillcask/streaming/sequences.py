@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,29 +20,34 @@ def write_sequences(
 ) -> StreamingQuery:
     """Keep the matches of ``sequence_match`` up to date; read them with ``read_sequences``.
 
-    Each micro-batch stores its rows by day and matches again only from ``within`` before
-    its oldest row. A late row can move the steps of a match to earlier times but never
-    undo a match, so matches are upserted by their first event. A repeated batch replaces
-    its own folders.
+    Each micro-batch stores its rows by day. A match with one of them starts at most ``within``
+    before the batch's oldest row and ends at most ``within`` after its newest, so only the days
+    of that span are listed and matched again: the work follows the span of the batch, not the
+    age of the stream. A late row
+    can move the steps of a match to earlier times but never undo a match, so matches are upserted
+    by their first event. A repeated batch replaces its own folders.
     """
     rows = df.where(F.col(kind).isin(*steps)).select(key, ts, kind, tiebreak)
     schema = T.StructType([
         *rows.schema.fields, T.StructField("day", T.DateType()), T.StructField(BATCH, T.LongType()),
     ])
-    store = f"{path}/rows"
+    store, reach = f"{path}/rows", F.expr(f"INTERVAL '{seconds(within)}' SECOND")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch.withColumn("day", F.to_date(ts)).write.mode("overwrite").partitionBy("day").parquet(
-            f"{store}/{BATCH}={batch_id}"
-        )
-        known = spark.read.schema(schema).option("basePath", store).parquet(store)
-        oldest = known.where(F.col(BATCH) == batch_id).agg(F.min(ts)).first()[0]
-        if oldest is None:
+        batch.withColumn("day", F.to_date(ts)).withColumn(BATCH, F.lit(batch_id)).write.mode(
+            "overwrite"
+        ).option("partitionOverwriteMode", "dynamic").partitionBy("day", BATCH).parquet(store)
+        begin, end = F.min(ts) - reach, F.max(ts) + reach
+        low, high, first, last = batch.agg(
+            *[F.unix_micros(t.cast("timestamp")) for t in (begin, end)], F.to_date(begin), F.to_date(end)
+        ).first()
+        if low is None:
             return
-        since = F.lit(oldest) - F.expr(f"INTERVAL '{seconds(within)}' SECOND")
-        reach = known.where((F.col("day") >= F.to_date(since)) & (F.col(ts) >= since))
-        matches = sequence_match(reach.drop("day", BATCH), key, ts, kind, steps, within, tiebreak)
+        days = ",".join(str(first + timedelta(days=n)) for n in range((last - first).days + 1))
+        known = spark.read.schema(schema).option("basePath", store).parquet(f"{store}/day={{{days}}}")
+        known = known.where(F.unix_micros(F.col(ts).cast("timestamp")).between(low, high))
+        matches = sequence_match(known.drop("day", BATCH), key, ts, kind, steps, within, tiebreak)
         matches.write.mode("overwrite").parquet(f"{path}/matches/{BATCH}={batch_id}")
 
     writer = rows.writeStream.outputMode("append").option(
@@ -56,4 +63,4 @@ def read_sequences(
     """Current matches; ``df`` is the stream or any table of its shape."""
     times = [T.StructField(f"step_{i + 1}", df.schema[ts].dataType) for i in range(len(steps))]
     schema = T.StructType([df.schema[key], df.schema[tiebreak], *times])
-    return read_upsert(spark, f"{path}/matches", [tiebreak], schema)
+    return read_upsert(spark, f"{path}/matches", [tiebreak], schema, [tiebreak])

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from rillcask.operators.dedup import latest_by_key
 from rillcask.session import new_folder
@@ -50,15 +52,27 @@ def write_upsert(
     return start(writer, every)
 
 
-def read_upsert(spark: SparkSession, path: str, keys: list[str], schema) -> DataFrame:
-    """Current rows of an upsert table: per key the row of its last batch."""
-    rows = spark.read.schema(schema.add(BATCH, "long")).option("basePath", path).parquet(path)
-    return latest_by_key(rows, keys, [BATCH]).drop(BATCH)
+def read_upsert(
+    spark: SparkSession, path: str, keys: list[str], schema, order: list[str],
+    deleted: Column | None = None,
+) -> DataFrame:
+    """Current rows of an upsert table: per key the row that is last by ``order``.
+
+    The batch decides only between rows of equal order, so the result does not depend on how
+    the input was cut into batches. Where ``order`` is the key alone, as for aggregates in update
+    mode, the last batch has the word. Keys whose last row is ``deleted`` are gone.
+    """
+    stored = T.StructType([*schema.fields, T.StructField(BATCH, T.LongType())])
+    rows = spark.read.schema(stored).option("basePath", path).parquet(path)
+    rows = latest_by_key(rows, keys, [*order, BATCH]).drop(BATCH)
+    return rows if deleted is None else rows.where(~F.coalesce(deleted, F.lit(False)))
 
 
-def fold_upsert(spark: SparkSession, path: str, keys: list[str], schema, target: str) -> None:
-    """Write the current rows as one batch of a new table, to keep reads short."""
-    read_upsert(spark, path, keys, schema).write.mode("errorifexists").parquet(
+def fold_upsert(
+    spark: SparkSession, path: str, keys: list[str], schema, order: list[str], target: str
+) -> None:
+    """Write the last rows, deletions included, as one batch of a new table: reads get short."""
+    read_upsert(spark, path, keys, schema, order).write.mode("errorifexists").parquet(
         f"{target}/{BATCH}=-1"
     )
 
@@ -72,19 +86,37 @@ def run_append(df: DataFrame, label: str) -> DataFrame:
 
 
 def run_upsert(
-    df: DataFrame, keys: list[str], order: list[str], label: str, mode: str = "update"
+    df: DataFrame, keys: list[str], order: list[str], label: str, mode: str = "update",
+    deleted: Column | None = None,
 ) -> DataFrame:
-    """Run a stream over the available input and return its current rows."""
+    """Run a stream over the available input and return its current rows, folded once."""
     spark = df.sparkSession
     path, checkpoint = new_folder(spark, label), new_folder(spark, f"{label}-state")
     write_upsert(df, keys, order, path, checkpoint, mode=mode).awaitTermination()
-    return read_upsert(spark, path, keys, df.schema)
+    folded = new_folder(spark, f"{label}-folded")
+    fold_upsert(spark, path, keys, df.schema, order, folded)
+    return read_upsert(spark, folded, keys, df.schema, order, deleted)
 
 
-def late_rows_dropped(query: StreamingQuery) -> int:
-    """Rows the query's windows refused as too late."""
-    return sum(
-        op.get("numRowsDroppedByWatermark", 0)
-        for progress in query.recentProgress
-        for op in progress["stateOperators"]
-    )
+class LateRows(StreamingQueryListener):
+    """Counts the rows that windows refused as too late, over every batch of every query.
+
+    Register it before the query starts: ``spark.streams.addListener(LateRows())``.
+    """
+
+    def __init__(self) -> None:
+        self.dropped: dict[str, int] = {}
+
+    def onQueryStarted(self, event) -> None:
+        self.dropped.setdefault(str(event.id), 0)
+
+    def onQueryProgress(self, event) -> None:
+        query = str(event.progress.id)
+        late = sum(op.numRowsDroppedByWatermark for op in event.progress.stateOperators)
+        self.dropped[query] = self.dropped.get(query, 0) + late
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass

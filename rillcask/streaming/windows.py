@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillcask.functions.times import seconds
+from rillcask.operators.ordered import Limit, cumulated, lagged
+from rillcask.operators.skew import find_hot
 
 
 def _flat(df: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
@@ -64,14 +66,14 @@ def _session_columns(df: DataFrame, keys: list[str], aggs: SessionAggs) -> DataF
 
 
 def session(
-    df: DataFrame, ts: str, gap: str, keys: list[str], aggs: SessionAggs
+    df: DataFrame, ts: str, gap: str, keys: list[str], aggs: SessionAggs, hot: Limit = None
 ) -> DataFrame:
     """Sessions per key: rows no further apart than ``gap``. The end is the last event.
 
     ``aggs`` maps a name to (count | sum | min | max, column). A stream uses Spark's
     session window in append mode. A table is first reduced to one row per key and
     slot of ``gap`` length, map-side: rows of one slot always share a session. Only
-    these slot rows are sorted per key, so a hot key costs at most span / gap rows.
+    these slot rows are sorted per key, and a key with many of them is cut into chunks.
     """
     if df.isStreaming:
         grouped = df.groupBy(F.session_window(ts, gap), *keys).agg(
@@ -85,14 +87,16 @@ def session(
         F.min(ts).alias("__first"), F.max(ts).alias("__last"),
         *[_partial(fn, c).alias(n) for n, (fn, c) in aggs.items()],
     )
-    order = Window.partitionBy(*keys).orderBy("__slot")
+    # Both windows go through ``ordered``: a key with many slots is cut into chunks.
+    hot = find_hot(slots, keys, hot)
+    before = lagged(slots, keys, ["__slot"], "__last", 1, "__before", hot)
     pause = F.unix_micros(F.col("__first").cast("timestamp")) - F.unix_micros(
-        F.lag("__last").over(order).cast("timestamp")
+        F.col("__before").cast("timestamp")
     )
-    opens = slots.withColumn("__new", F.when(pause <= micros, 0).otherwise(1))
-    running = order.rowsBetween(Window.unboundedPreceding, 0)
+    opens = before.withColumn("__new", F.when(pause <= micros, 0).otherwise(1))
     grouped = (
-        opens.withColumn("__session", F.sum("__new").over(running))
+        cumulated(opens, keys, ["__slot"], "__new", "__earlier", hot)
+        .withColumn("__session", F.col("__earlier") + F.col("__new"))
         .groupBy(*keys, "__session")
         .agg(
             F.min("__first").alias("session_start"), F.max("__last").alias("session_end"),

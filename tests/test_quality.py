@@ -109,5 +109,3 @@ def test_run_order(spark, rows):
         ("enriched", 1), ("items", 0), ("orders", 0), ("report", 2)]
     with pytest.raises(ValueError):
         incremental.run_order(edges.union(make(spark, [("orders", "report")], edges.schema)))
-    with pytest.raises(ValueError):
-        incremental.run_order(edges, max_levels=2)

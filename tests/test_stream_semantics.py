@@ -1,5 +1,7 @@
 """Streams fed by several files, compared with the batch result of the same rows."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -26,7 +28,7 @@ def write_files(spark, files, schema=SCHEMA):
 
 
 def open_stream(spark, files=FILES, one_by_one=True):
-    options = {"maxFilesPerTrigger": "1"} if one_by_one else {}
+    options = {"maxFilesPerTrigger": str(int(one_by_one))} if one_by_one else {}
     rows_ = read_stream(spark, write_files(spark, files), SCHEMA, "json", options=options)
     return times.watermark(times.with_event_time(rows_, "at", PATTERN), "event_time", "5 seconds")
 
@@ -79,10 +81,17 @@ def test_row_behind_the_watermark_is_dropped(spark, rows):
         open_stream(spark, files), "event_time", "5 minutes", [], {"n": F.count(F.lit(1))}
     )
     path, state = new_folder(spark, "late"), new_folder(spark, "late-state")
+    late = sinks.LateRows()
+    spark.streams.addListener(late)
     query = sinks.write_append(stream, path, state)
     query.awaitTermination()
     assert rows(spark.read.parquet(path), "n") == [(1,), (1,), (1,)]
-    assert sinks.late_rows_dropped(query) == 1
+    for _ in range(50):
+        if late.dropped.get(str(query.id)):
+            break
+        time.sleep(0.1)
+    spark.streams.removeListener(late)
+    assert late.dropped[str(query.id)] == 1
 
 
 def test_first_row_per_window_equals_batch(spark, rows):
@@ -107,13 +116,28 @@ def test_upsert_batch_can_be_repeated_and_folded(spark, rows):
     path = new_folder(spark, "repeat")
     df = open_stream(spark).select("k", "id", "event_time")
     sinks.write_upsert(df, ["k"], ["event_time"], path, new_folder(spark, "s1")).awaitTermination()
-    first = rows(sinks.read_upsert(spark, path, ["k"], df.schema))
+    first = rows(sinks.read_upsert(spark, path, ["k"], df.schema, ["event_time"]))
     again = open_stream(spark).select("k", "id", "event_time")
     sinks.write_upsert(again, ["k"], ["event_time"], path, new_folder(spark, "s2")).awaitTermination()
-    assert rows(sinks.read_upsert(spark, path, ["k"], df.schema)) == first
+    assert rows(sinks.read_upsert(spark, path, ["k"], df.schema, ["event_time"])) == first
     target = new_folder(spark, "folded")
-    sinks.fold_upsert(spark, path, ["k"], df.schema, target)
-    assert rows(sinks.read_upsert(spark, target, ["k"], df.schema)) == first
+    sinks.fold_upsert(spark, path, ["k"], df.schema, ["event_time"], target)
+    assert "batch_id" not in df.schema.names  # the caller's schema stays as it was
+    assert rows(sinks.read_upsert(spark, target, ["k"], df.schema, ["event_time"])) == first
+
+
+@pytest.mark.parametrize("files_per_batch", [1, 2])
+def test_upsert_does_not_depend_on_the_batches(spark, rows, files_per_batch):
+    """A newer row that arrives first stays, and a deletion that is last by time wins."""
+    files = [
+        [(1, "a", "2024-05-01 00:00:10", 1)], [(2, "a", "2024-05-01 00:00:05", 1)],
+        [(3, "b", "2024-05-01 00:00:01", 1)], [(4, "b", "2024-05-01 00:00:09", 0)],
+        [(5, "b", "2024-05-01 00:00:03", 1)],
+    ]
+    df = open_stream(spark, files, files_per_batch)
+    order = ["event_time", "id"]
+    out = sinks.run_upsert(df, ["k"], order, "shuffled", deleted=F.col("v") == 0, mode="append")
+    assert rows(out, "k", "id") == [("a", 1)]
 
 
 def test_append_restart_reads_only_new_files(spark):
@@ -238,7 +262,9 @@ def test_distinct_rows_with_a_lifetime(spark, rows):
     timed = times.with_event_time(source, "at", PATTERN)
     out = sinks.run_append(dedup.distinct_within(timed, ["k"], "event_time", "1 hour"), "seen")
     assert rows(out, "id") == [(1,), (3,), (5,)]
-    assert dedup.distinct_within(as_table(spark, files), ["k"], "event_time", "1 hour").count() == 2
+    assert dedup.distinct(as_table(spark, files), ["k"]).count() == 2
+    with pytest.raises(TypeError):
+        dedup.distinct_within(as_table(spark, files), ["k"], "event_time", "1 hour")
 
 
 def test_event_time_sources(spark, rows):
