@@ -69,15 +69,28 @@ def exact_groups(
 def drop_exact(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest"
 ) -> DataFrame:
-    """The rows of ``docs`` that ``exact_groups`` keeps, all columns; one row per text and id."""
-    kept = (
-        exact_groups(docs, id_col, text_col, keep).filter("kept")
-        .select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
+    """One row of ``docs`` per text, all columns: the row ``exact_groups`` keeps.
+
+    The same grouping by hash and bytes, which here carries the other columns along, so the texts
+    are shuffled once and joined with nothing. Of rows that repeat an id and a text one stays; a
+    null id loses against any other.
+    """
+    rest = [c for c in docs.columns if c != text_col]
+    one = F.col(id_col)
+    pick, order = (
+        (F.min_by, F.struct(one.isNull(), one)) if keep == "smallest"
+        else (F.max_by, F.struct(one.isNotNull(), one))
+    )
+    row = F.struct(
+        F.col(text_col).isNull().alias("none"),
+        F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest"),
     )
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    rows = docs.select(
-        F.col(id_col).alias("__id"),
-        F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("__sha"), row.alias("__row"),
+    found = docs.select(
+        F.coalesce(F.col(text_col), F.lit("")).alias("text"), order.alias("order"), row.alias("row")
+    ).withColumn("hash", content_hash(F.col("text"))).groupBy("hash", "text").agg(
+        pick("row", "order").alias("row")
     )
-    first = rows.join(kept, rows["__id"].eqNullSafe(kept["__id"]) & (rows["__sha"] == kept["__sha"]), "left_semi")
-    return first.dropDuplicates(["__id", "__sha"]).select("__row.*")
+    text = F.when(~F.col("row.none"), F.col("text")).alias(text_col)
+    return found.select(*[
+        text if c == text_col else F.col(f"row.rest.`{c}`") for c in docs.columns
+    ])

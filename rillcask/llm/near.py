@@ -211,6 +211,11 @@ def near_groups(
     decide the rest. So each pair of a bucket is linked, refuted or joined through others. Links
     are confirmed on the whole sets of words.
     """
+    return _members(docs, id_col, text_col, width, percent, bands, rows).drop("raw")
+
+
+def _members(docs, id_col, text_col, width, percent, bands=BANDS, rows=ROWS) -> DataFrame:
+    """``near_groups`` and the hash of each row's text."""
     source = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"),
         F.unhex(F.md5(F.col(text_col))).alias("raw"),
@@ -231,9 +236,9 @@ def near_groups(
     labels = _linked(source, nodes, width, percent)
     members = signed.join(classes, "digest", "left").withColumn(
         "node", F.when(F.col("n_shingles") > 0, F.col("node")).otherwise(F.col("doc_id"))
-    ).select("doc_id", "n_shingles", "node")
+    ).select("doc_id", "n_shingles", "node", "raw")
     return members.join(labels, "node", "left").select(
-        "doc_id", "n_shingles", F.coalesce("label", "node").alias("component_id"),
+        "doc_id", "n_shingles", "raw", F.coalesce("label", "node").alias("component_id"),
     ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
@@ -289,12 +294,22 @@ def drop_near(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5,
     percent: int = 80,
 ) -> DataFrame:
-    """The rows of ``docs`` that stay: one document per group, all columns. Rows without an id
-    stay unless a copy with an id does."""
-    kept = (
-        near_groups(docs, id_col, text_col, width, percent).filter("kept and doc_id is not null")
-        .select(F.col("doc_id").alias("__id")).distinct()
+    """The rows of ``docs`` that stay, all columns: one document per group.
+
+    Of rows without an id one stays per text, unless a copy with an id does.
+    """
+    kept = stored(
+        _members(docs, id_col, text_col, width, percent).filter("kept").select("doc_id", "raw"),
+        "kept",
+    )
+    rows = docs.select(
+        F.col(id_col).cast("long").alias("id"), F.unhex(F.md5(F.col(text_col))).alias("raw"),
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+    )
+    ids = kept.filter("doc_id is not null").select(F.col("doc_id").alias("id")).distinct()
+    texts = kept.filter("doc_id is null").select("raw").distinct()
+    nameless = rows.filter("id is null")
+    nameless = nameless.join(texts, nameless["raw"].eqNullSafe(texts["raw"]), "left_semi")
+    return rows.join(ids, "id", "left_semi").select("row.*").unionByName(
+        nameless.dropDuplicates(["raw"]).select("row.*")
     )
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    rows = docs.select(F.col(id_col).cast("long").alias("__id"), row.alias("__row"))
-    return rows.join(kept, "__id", "left_semi").select("__row.*")

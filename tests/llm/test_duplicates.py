@@ -57,6 +57,10 @@ def test_drop_exact_keeps_all_columns_and_one_row_each(spark):
     assert got.columns == docs.columns
     assert sorted(got.collect()) == [(1, "a", 7, "p"), (3, None, 9, "r")]
     assert exact.drop_exact(docs.limit(0)).collect() == []
+    odd = spark.createDataFrame([(None, "", 1, "x"), (4, None, 2, "y"), (None, "b", 3, "z")], docs.schema)
+    for keep in ("smallest", "largest"):
+        assert sorted(exact.drop_exact(odd, keep=keep).collect(), key=str) == sorted(
+            [(4, None, 2, "y"), (None, "b", 3, "z")], key=str)
 
 
 def words_of(rng, n):
@@ -120,6 +124,10 @@ def test_drop_near_keeps_columns_and_clean_documents(spark):
     got = near.drop_near(docs)
     assert got.columns == docs.columns
     assert sorted(r.doc_id for r in got.collect()) == [1, 3, 4]
+    more = docs.union(spark.createDataFrame(
+        [(None, "a b c d e f", 5, "o"), (None, "u n n a m e d", 6, "p"), (None, "u n n a m e d", 6, "p"),
+         (None, None, 7, "q"), (None, None, 7, "q")], docs.schema))
+    assert sorted(r.label for r in near.drop_near(more).collect()) == [1, 3, 4, 6, 7]
     assert near.drop_near(docs.limit(0)).collect() == []
 
 
