@@ -14,7 +14,7 @@ from rillcask.operators.rows import prefix_columns
 from rillcask.session import new_folder
 from rillcask.sources.streams import read_stream, stream_query
 from rillcask.streaming import events as times
-from rillcask.streaming import sequences, sinks, windows
+from rillcask.streaming import sequences, sinks, temporal, windows
 
 SCHEMA = (
     "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, "
@@ -354,6 +354,28 @@ def stream_ttl_join(spark, folder):
     return sinks.run_append(out, "ttl")
 
 
+@query("stream_asof_join", """
+    select p.event_id as p_event_id, v.event_id as v_event_id, v.ts as v_ts from
+      (select * from events where event_type = 'purchase') p asof left join
+      (select * from events where event_type = 'view') v
+      on p.user_id = v.user_id and p.ts >= v.ts""")
+def stream_asof_join(spark, folder):
+    """Purchases as they arrive, with the view that was the latest at their time."""
+    def views(session):
+        rows_ = times.with_event_time(table(session, folder, "events"), "ts", name="ts")
+        return _side(rows_, "view", "v_")
+
+    path = new_folder(spark, "asof")
+    facts = _side(stream(spark, folder), "purchase", "p_")
+    temporal.write_asof(
+        facts, views, [("p_user_id", "v_user_id")], "p_ts", "v_ts", "v_event_id", path,
+        new_folder(spark, "asof-state"),
+    ).awaitTermination()
+    return plain_times(
+        spark.read.parquet(path).select("p_event_id", "v_event_id", "v_ts"), "v_ts"
+    )
+
+
 @query("stream_enrich", """
     select event_id, user_id, c_name from events left join customer on user_id = c_custkey""")
 def stream_enrich(spark, folder):

@@ -39,7 +39,7 @@ def join_tables(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
 def interval_join(
     left: DataFrame, right: DataFrame, pairs: Pairs, left_ts: str, right_ts: str,
     before: str, after: str, grace: str | None = None, how: str = "inner",
-    spread: str = "right",
+    spread: str | None = "right",
 ) -> DataFrame:
     """Rows with equal keys where the right time lies in [left - before, left + after].
 
@@ -47,8 +47,9 @@ def interval_join(
     one slice, a row of the other to the one or two it can reach, and the slice joins the
     equality key: a hot key spreads over its slices and no key compares all its pairs.
     ``spread`` names the side whose rows are repeated; it should be the smaller one, and
-    may be the left only for inner joins. The same body runs on streams, where ``grace``
-    is the watermark delay of both sides.
+    may be the left only for inner joins. None leaves the slices out: for keys with few rows
+    each, such as an order id, they would only double the rows. The same body runs on streams,
+    where ``grace`` is the watermark delay of both sides.
     """
     if spread == "left" and how != "inner":
         raise ValueError("only an inner join may repeat its left rows")
@@ -59,6 +60,13 @@ def interval_join(
     if grace and right.isStreaming:
         right = right.withWatermark(right_ts, grace)
 
+    bounds = (
+        (F.col(right_ts) >= F.col(left_ts) - F.expr(f"INTERVAL '{back}' SECOND"))
+        & (F.col(right_ts) <= F.col(left_ts) + F.expr(f"INTERVAL '{ahead}' SECOND"))
+    )
+    if spread is None:
+        return left.join(right, _equal(pairs) & bounds, how)
+
     def micros(ts: str) -> Column:
         return F.unix_micros(F.col(ts).cast("timestamp"))
 
@@ -73,10 +81,6 @@ def interval_join(
     else:
         sliced_left = left.withColumn("__slice", F.floor(micros(left_ts) / width))
         sliced_right = right.withColumn("__slice_r", slices(right_ts, ahead, back))
-    bounds = (
-        (F.col(right_ts) >= F.col(left_ts) - F.expr(f"INTERVAL '{back}' SECOND"))
-        & (F.col(right_ts) <= F.col(left_ts) + F.expr(f"INTERVAL '{ahead}' SECOND"))
-    )
     match = _equal(pairs) & (F.col("__slice") == F.col("__slice_r")) & bounds
     return sliced_left.join(sliced_right, match, how).drop("__slice", "__slice_r")
 

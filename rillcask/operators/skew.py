@@ -23,6 +23,7 @@ SIZE = "__size"
 
 # Hot groups found so far in this process, by input, group columns and limit. Which groups are
 # listed decides only the path their rows take, never a result, so a list may be used again.
+FOUND_LISTS = 1000
 _FOUND: dict[tuple, DataFrame | None] = {}
 
 
@@ -94,6 +95,8 @@ def find_hot(df: DataFrame, part: list[str], hot: Hot | int | None = None) -> Ho
     narrow = df.select(*part)
     key = (df.sparkSession.sparkContext.applicationId, narrow.semanticHash(), tuple(part), limit)
     if key not in _FOUND:
+        if len(_FOUND) >= FOUND_LISTS:
+            _FOUND.clear()
         _FOUND[key] = hot_groups(df, part, limit)
     return Hot(_FOUND[key], limit)
 

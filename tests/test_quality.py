@@ -38,6 +38,14 @@ def test_property_rules(spark, rows):
         ("t2", "key.schema-context", "invalid_value", "error")]
 
 
+def test_a_missing_value_of_a_restricted_key_is_an_issue(spark, rows):
+    df = make(spark, [("t", "changelog.mode", None), ("t", "key.schema-context", None)],
+              "owner string, key string, value string")
+    out = quality.check_properties(df, quality.STREAM_TABLE_RULES)
+    assert rows(out, "key", "issue") == [
+        ("changelog.mode", "invalid_value"), ("key.schema-context", "invalid_value")]
+
+
 @pytest.fixture
 def ref(spark):
     return make(spark, [(i, f"v{i}", "x") for i in range(5)], "id int, v string, fmt string")

@@ -174,3 +174,86 @@ def test_any_rows(spark, data):
     expected = df.withColumn("s", F.sum("v").over(w.rowsBetween(-3, 0)))
     got = ordered.rolling(df, KEYS, ORDER, 3, {"s": F.sum("v")}, 4)
     same_rows(expected, got)
+
+
+def test_any_number_of_hot_groups(spark):
+    """The list of hot groups has no bound: here every one of 12,000 groups is above the limit."""
+    rows = spark.range(36_000).select("id", (F.col("id") % 12_000).alias("k"))
+    hot = find_hot(rows, ["k"], 2)
+    assert hot.groups.count() == 12_000
+    few = rows.where("k < 20")
+    w = Window.partitionBy("k").orderBy("id")
+    same_rows(few.withColumn("p", F.lag("id").over(w)), ordered.lagged(few, ["k"], ["id"], "id", 1, "p", 2))
+
+
+def test_wide_values_are_not_broadcast_by_their_number(spark):
+    """Whether a table is sent to all tasks follows from its bytes, not its rows."""
+    wide = spark.range(3000).select(F.concat(F.col("id").cast("string"), F.repeat(F.sha2(F.col("id").cast("string"), 256), F.lit(100))).alias("v"))
+    text = ordered.encode_category(wide, "v", "code")._jdf.queryExecution().analyzed().toString()
+    assert "ResolvedHint" not in text and "UnresolvedHint" not in text
+
+
+def test_running_sums_of_doubles_are_refused(skewed):
+    rows = skewed.withColumn("d", F.col("v").cast("double"))
+    with pytest.raises(TypeError):
+        ordered.cumulated(rows, KEYS, ORDER, "d", "c")
+    exact = rows.withColumn("d", F.col("d").cast("decimal(20,4)"))
+    same_rows(ordered.cumulated(exact, KEYS, ORDER, "d", "c"), ordered.cumulated(exact, KEYS, ORDER, "d", "c", LIMIT))
+
+
+def test_frames_over_doubles_agree_on_both_paths(skewed):
+    """Sums, means and deviations of bounded frames add the same rows in the same order."""
+    rows = skewed.withColumn("d", F.col("v") / 7.0 + F.col("id") * 0.1)
+    aggs = {"s": F.sum("d"), "m": F.avg("d"), "n": F.count("d")}
+    same_rows(ordered.rolling(rows, KEYS, ORDER, 5, aggs), ordered.rolling(rows, KEYS, ORDER, 5, aggs, LIMIT))
+    same_rows(ordered.rolling_zscore(rows, KEYS, ORDER, 5, "d", "z"),
+              ordered.rolling_zscore(rows, KEYS, ORDER, 5, "d", "z", LIMIT))
+    same_rows(ordered.filled(rows, KEYS, ORDER, "d", "f"), ordered.filled(rows, KEYS, ORDER, "d", "f", LIMIT))
+
+
+def test_groups_of_one_input_are_counted_once(spark, skewed):
+    rows = skewed.where("id < 1100")
+    tracker = spark.sparkContext.statusTracker()
+
+    def jobs(name, run):
+        spark.sparkContext.setJobGroup(name, "")
+        run()
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return len(tracker.getJobIdsForGroup(name))
+
+    assert jobs("first", lambda: ordered.lagged(rows, KEYS, ORDER, "v", 1, "p")) > 0
+    assert jobs("second", lambda: ordered.rolling(rows, KEYS, ORDER, 3, {"s": F.sum("v")})) == 0
+    assert jobs("third", lambda: ordered.numbered(rows, KEYS, ORDER, "n")) == 0
+
+
+def test_sequences_equal_chained_searches(skewed):
+    """One pass against three nested searches, with ties in time and a step that comes twice."""
+    rows = skewed.select(
+        "id", "k", (F.col("t") * 60).cast("timestamp").alias("at"),
+        F.element_at(F.array(F.lit("a"), F.lit("b"), F.lit("c")), (F.col("v") % 3 + 1).cast("int")).alias("kind"),
+    )
+    data = [r for r in rows.collect() if r.k is not None]
+    for steps in (["a", "b", "c"], ["a", "b", "a"]):
+        want = []
+        for r in data:
+            times = [r["at"]]
+            if r.kind != steps[0]:
+                continue
+            for step in steps[1:]:
+                later = [x["at"] for x in data if x.k == r.k and x.kind == step and x["at"] > times[-1]]
+                if not later:
+                    break
+                times.append(min(later))
+            if len(times) == 3 and (times[-1] - times[0]).total_seconds() <= 1200:
+                want.append((r.k, r.id, *times))
+        for hot in (None, LIMIT):
+            got = joins.sequence_match(rows, "k", "at", "kind", steps, "20 minutes", "id", hot)
+            assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_null_keys_go_past_the_asof_window(spark):
+    left = spark.createDataFrame([(1, None, 5), (2, None, 6), (3, "a", 7)], "id int, k string, t int")
+    right = spark.createDataFrame([("a", 6, 9), (None, 5, 8)], "rk string, rt int, v int")
+    got = joins.asof_join(left, right, [("k", "rk")], "t", "rt", "v")
+    assert sorted(map(tuple, got.collect())) == [
+        (1, None, 5, None, None, None), (2, None, 6, None, None, None), (3, "a", 7, "a", 6, 9)]
