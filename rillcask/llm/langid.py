@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import stored
+
 LENGTHS = (2, 3, 4)  # the blended spectrum, in characters
 SLOTS = 1 << 15  # hashed n-grams
 SAMPLE_ROWS = 2048  # labelled rows the classifier is fitted on, spread over the languages
@@ -47,7 +49,7 @@ def _presence(texts: list[str]) -> np.ndarray:
 
 
 def fit(rows: np.ndarray, langs: list[str]) -> tuple[list[str], np.ndarray]:
-    """Languages and one weight column per language.
+    """Languages and one weight column per language, from rows of 0 and 1.
 
     Kernel: shared n-grams over the root of both counts. Nyström: the kernel to the landmarks
     stands for the whole kernel, and the ridge regressions, one language against the rest, are
@@ -57,9 +59,15 @@ def fit(rows: np.ndarray, langs: list[str]) -> tuple[list[str], np.ndarray]:
     names = sorted(set(langs))
     if not names:
         return [], np.zeros((SLOTS, 0), np.float32)
-    unit = rows / np.sqrt(np.maximum(rows.sum(1, keepdims=True), 1))
-    marks = unit[:LANDMARKS]
-    to_marks, among = (unit @ marks.T).astype(float), (marks @ marks.T).astype(float)
+    def unit(part: np.ndarray) -> np.ndarray:
+        part = part.astype(np.float32)
+        return part / np.sqrt(np.maximum(part.sum(1, keepdims=True), 1))
+
+    marks = unit(rows[:LANDMARKS])
+    to_marks = np.concatenate([
+        unit(rows[at : at + BATCH]) @ marks.T for at in range(0, len(rows), BATCH)
+    ]).astype(float)
+    among = to_marks[: len(marks)]
     goal = np.where(np.array(langs)[:, None] == np.array(names)[None, :], 1.0, -1.0)
     left = to_marks.T @ to_marks + RIDGE * len(rows) * among / max(1, len(marks))
     left += 1e-6 * np.eye(len(marks)) * max(1.0, np.trace(left) / len(marks))
@@ -74,12 +82,17 @@ def score(texts: list[str], weights: np.ndarray) -> np.ndarray:
 
 def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, rows: int) -> DataFrame:
     """At most ``rows`` labelled rows: the first of each language in hash order, then the second,
-    and so on. Spark keeps ``rows`` rows a language and task before the shuffle."""
+    and so on. Languages are counted first, and only the part of a language's hash range that
+    holds about twice ``rows`` of its rows is ranked, however many it has."""
     order = Window.partitionBy("lang").orderBy("place", "doc_id")
-    chosen = docs.filter(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).select(
+    labelled = docs.filter(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).select(
         F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"),
         F.xxhash64(F.col(id_col), F.lit("sample")).alias("place"),
-    ).withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= rows)
+    )
+    counts = stored(labelled.groupBy("lang").count(), "languages")
+    share = F.shiftrightunsigned("place", 1) / F.lit(2.0**63)
+    chosen = labelled.join(counts, "lang").filter(share * F.col("count") <= 2 * rows).drop("count")
+    chosen = chosen.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= rows)
     chosen = chosen.orderBy("nth", "place", "lang").limit(rows)
     texts = docs.select(
         F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")
@@ -104,7 +117,7 @@ def learn(
     got = sample(docs, id_col, text_col, lang_col, sample_rows).mapInPandas(
         _marked, "lang string, nth int, place long, bits binary"
     ).toPandas().sort_values(["nth", "place", "lang"], kind="stable")
-    rows = np.zeros((len(got), SLOTS), np.float32)
+    rows = np.zeros((len(got), SLOTS), np.uint8)
     for row, bits in zip(rows, got["bits"]):
         row[:] = np.unpackbits(np.frombuffer(bits, np.uint8))
     return fit(rows, got["lang"].tolist())
