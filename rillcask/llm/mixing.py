@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import n_words, stored
 
-BIN_DIGITS = 4  # leading hex digits of the order hash: 65,536 bins a source
+BIN_DIGITS = 3  # leading hex digits of the order hash: 4,096 bins a source
 AFTER_ALL = "g"  # sorts after every hex hash
 
 
