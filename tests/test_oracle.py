@@ -5,11 +5,13 @@ import os
 import pytest
 
 import __spark_entry__ as entries
+from rillcask import catalog
 from tests.oracle import compare, connect
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="driver tables absent")
-SQL = entries.oracle_sql()
+catalog.load()
+SQL = catalog.SQL
 
 
 @pytest.fixture(scope="module")
@@ -17,9 +19,9 @@ def db():
     return connect(FOLDER)
 
 
-@pytest.mark.parametrize("name", sorted(entries.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query_matches_sql(spark, db, name):
-    got = compare(spark, db, FOLDER, entries.queries()[name], SQL.get(name))
+    got = compare(spark, db, FOLDER, catalog.QUERIES[name], SQL.get(name))
     assert got["match"] is True, got
 
 
