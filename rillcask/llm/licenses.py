@@ -37,7 +37,6 @@ TEMPLATES = [
 ]
 CUES = r"(?i)licen[sc]|rights reserved|permission is hereby|redistribut|creative commons|free software"
 AROUND = 40  # words of a block before and after a cue
-SAVED = 0.25  # least share of a template's own size that it must save
 LOST = 0.1  # greatest share of a template's words that may differ
 _WORD = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
 _CUE = re.compile(CUES)
@@ -55,13 +54,12 @@ class Scanner:
         self.names = [name for name, _ in templates]
         self.words = [[w for w, _, _ in word_list(text)] for _, text in templates]
         self.plain = zstandard.ZstdCompressor(level=3, write_content_size=False)
-        self.primed, self.own = [], []
+        self.primed = []
         for words in self.words:
             raw = " ".join(words).encode()
             primer = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             self.primed.append(zstandard.ZstdCompressor(
                 level=3, dict_data=primer, write_content_size=False, write_dict_id=False))
-            self.own.append(len(self.plain.compress(raw)))
 
     def blocks(self, words: list[tuple[str, int, int]], text: str) -> list[tuple[int, int]]:
         """Spans of words around the cues; spans that touch are one."""
@@ -118,8 +116,6 @@ class Scanner:
             ranked = sorted(range(len(saved)), key=lambda i: (-saved[i], i))
             taken: list[tuple[int, int]] = []
             for i in ranked:
-                if saved[i] < SAVED * self.own[i]:
-                    continue
                 for a, b, edits in self.confirm(self.words[i], block):
                     if any(a < y and x < b for x, y in taken):
                         continue
@@ -153,9 +149,9 @@ def license_scan(
 
     ``notices`` holds license, start and end (characters), bytes saved and differing words. Blocks
     of the whole text around words that hint at a license are compressed alone and with each
-    template as raw dictionary. Templates are tried in order of the bytes they save; one that saves
-    a quarter of its own size or more must then be found word by word, with one word in ten
-    differing at most and no number or negation. Notices don't overlap. A null or empty text, and
+    template as raw dictionary. Every template is looked for word by word, with one word in ten
+    differing at most and no number or negation; where two notices overlap, the one whose template
+    saves more bytes stays. Notices don't overlap. A null or empty text, and
     one without a hint, has none. Only texts with a hint leave the JVM; nothing is shuffled.
     """
     hinted = F.when(F.col(text_col).rlike(CUES), F.col(text_col))

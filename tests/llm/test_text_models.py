@@ -86,6 +86,18 @@ def test_licenses(spark):
     assert got[10].notices[0].edits == 1 and got[7].n_blocks == 0
 
 
+def test_every_license_template_is_found_verbatim():
+    """In short, repetitive and crowded texts too, where a template saves few bytes."""
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    crowd = " ".join(text for _, text in licenses.TEMPLATES)
+    for name, text in licenses.TEMPLATES:
+        for given in (text, f"{text} " * 3, f"{crowd} {text}", f"the words of it the words {text}"):
+            found = scanner.scan(given)[1]
+            ends = {given[m["start"] : m["end"]] for m in found if m["license"] == name and not m["edits"]}
+            assert any(text.startswith(e) and len(e) > len(text) - 2 for e in ends), (given, found)
+    assert sorted({m["license"] for m in scanner.scan(crowd)[1]}) == sorted({n for n, _ in licenses.TEMPLATES})
+
+
 def plain_base(rows):
     """Counts over learned texts and the log10 probability of each text, word by word."""
     parts = [(i, (t or "").encode().lower().split() + [b"\n"]) for i, t in rows]
