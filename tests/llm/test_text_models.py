@@ -98,6 +98,30 @@ def test_every_license_template_is_found_verbatim():
     assert sorted({m["license"] for m in scanner.scan(crowd)[1]}) == sorted({n for n, _ in licenses.TEMPLATES})
 
 
+def test_one_word_in_ten_of_a_notice_may_differ(spark):
+    """Wherever the words are, first and cue words included, and however long the template is."""
+    rng = random.Random(3)
+    own = " ".join(f"clause{i}" if i % 9 else "of the" for i in range(300))
+    templates = [*licenses.TEMPLATES, ("Own", own), ("Ünique", "ünïque wörds")]
+    filler = " ".join(f"word{i}" for i in range(90))
+    mit = licenses.TEMPLATES[3][1]
+    rows = [(0, "MIT", mit.replace("sublicense, ", "")), (1, "MIT", mit.replace("Permission", "Permissions")),
+            (2, "Own", own), (3, "Ünique", "ÜNÏQUE WÖRDS")]
+    for name, text in templates * 3:
+        parts = text.split()
+        known = [licenses.word_list(w) for w in parts]
+        loose = [i for i, w in enumerate(known) if len(w) == 1 and not licenses._fixed(w[0][0])]
+        for i in rng.sample(loose, len(licenses.word_list(text)) // 10):
+            parts[i] = rng.choice(["", "other", f"{parts[i]} more"])
+        rows.append((len(rows), name, " ".join(parts)))
+    df = spark.createDataFrame([(i, f"{filler} {t} {filler}") for i, _, t in rows], "doc_id long, text string")
+    got = {r.doc_id: r.licenses for r in licenses.license_scan(df, templates=templates).collect()}
+    assert [(i, name) for i, name, _ in rows if name not in got[i]] == []
+    text = mit.replace("Permission is", "Permissions was").replace("free of charge", "at charge")
+    found = licenses.Scanner(templates).scan(text.replace("Software", "Work"))[1]
+    assert found == []  # more words differ than may
+
+
 def plain_base(rows):
     """Counts over learned texts and the log10 probability of each text, word by word."""
     parts = [(i, (t or "").encode().lower().split() + [b"\n"]) for i, t in rows]
