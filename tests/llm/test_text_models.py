@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -174,6 +175,20 @@ def test_language_model_is_a_distribution():
     assert abs((2.0 ** -cost).sum() - 1) < 1e-6
 
 
+def test_whole_word_predictors_learn_every_count():
+    """A word seen twice in each of eight topics counts 16 times without the topic, twice with it."""
+    keys = [bytes((65 + t,)) + b"zebra" for t in range(8)]
+    rows = pd.DataFrame({"words": [mixlm._pressed(keys)], "counts": [mixlm._thin(np.full(8, 2))]})
+    table = np.zeros(mixlm.OFFSETS[-1] * 2, np.int64)
+    for piece in mixlm._fill(iter([rows])):
+        some = mixlm._wide(piece["counts"][0], np.int64)
+        table[piece["piece"][0] :][: len(some)] = some
+    slots, bits, *_ = mixlm.events(*mixlm.laid_out(keys))
+    for (size, by_topic), own in zip(mixlm.CONTEXTS, slots):
+        if size is None:
+            assert table[own * 2 + bits].min() == (2 if by_topic else 16)
+
+
 def test_language_model_of_nothing(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert mixlm.score_texts(df, F.lit(False)).collect() == []
