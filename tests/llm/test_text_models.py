@@ -189,6 +189,19 @@ def test_whole_word_predictors_learn_every_count():
             assert table[own * 2 + bits].min() == (2 if by_topic else 16)
 
 
+def test_topics_are_fitted_on_all_learned_texts(spark, monkeypatch):
+    """A word that only texts outside the start have gets its share of all words."""
+    monkeypatch.setattr(mixlm, "TOPIC_TEXTS", 20)
+    ids = spark.range(200).select("id", F.lit(False).alias("held_out"))
+    first = {r.id for r in ids.orderBy(F.xxhash64("id", F.lit("topics"))).limit(20).collect()}
+    rows = [(i, f"{'river' if i % 2 else 'stone'} " * 9 + ("moon" if i in first else "zebra"), False) for i in range(200)]
+    rows += [(900, "yak " * 5000, True), (901, None, False), (902, "", False)]
+    model = mixlm.topic_model(spark.createDataFrame(rows, "doc_id long, text string, held_out boolean"))
+    share = np.exp(model[mixlm.topic_slot(b"zebra")] + model[-1]).sum()
+    assert 0.03 < share < 0.1 and abs(np.exp(model[-1]).sum() - 1) < 1e-5
+    assert np.exp(model[mixlm.topic_slot(b"yak")]).max() < 1e-3
+
+
 def test_language_model_of_nothing(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert mixlm.score_texts(df, F.lit(False)).collect() == []
