@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, langid, licenses, mixing, mixlm, near, packing, tokens, topk, urls
+from . import exact, langid, licenses, mixing, mixlm, near, packing, repeats, tokens, topk, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -169,3 +169,38 @@ def op10_source_mixing(spark, folder):
     return mixing.mixture(docs).select(
         "doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken")
     )
+
+
+@query("op13_suffix_dedup", """
+with t as (select doc_id, hex(encode(coalesce("text", ''))) as hx from documents),
+w as (
+  select doc_id, p, substr(hx, cast(2 * p + 1 as bigint), 200) as s
+  from (select doc_id, hx, unnest(generate_series(0, len(hx) // 2 - 100)) as p from t)),
+f as (select s, min(doc_id) as d, arg_min(p, (doc_id, p)) as p from w group by s having count(*) > 1),
+r as (select w.doc_id, w.p from w join f on w.s = f.s where w.doc_id <> f.d or w.p <> f.p),
+e as (
+  select *, sum(fresh) over (partition by doc_id order by p) as run
+  from (select *, case when p - lag(p) over (partition by doc_id order by p) <= 100 then 0 else 1
+        end as fresh from r)),
+spans as (
+  select doc_id, min(p) as low, max(p) + 100 as high from e group by doc_id, run),
+pieces as (
+  select doc_id, low, high, coalesce(lag(high) over (partition by doc_id order by low), 0) as back
+  from spans),
+cuts as (
+  select doc_id, count(*) as n_spans, sum(high - low) as n_removed, max(high) as last,
+    string_agg(substr(hx, cast(2 * back + 1 as bigint), cast(2 * (low - back) as bigint)), ''
+      order by low) as front
+  from pieces join t using (doc_id) group by doc_id)
+select doc_id, cast(len(hx) // 2 as bigint) as n_bytes,
+  cast(coalesce(n_removed, 0) as bigint) as n_removed, cast(coalesce(n_spans, 0) as bigint) as n_spans,
+  sha256(unhex(coalesce(front, '') || substr(hx, cast(2 * coalesce(last, 0) + 1 as bigint)))) as kept_sha256
+from t left join cuts using (doc_id)
+""")
+def op13_suffix_dedup(spark, folder):
+    found = repeats.find_repeats(table(spark, folder, "documents").select("doc_id", "text"))
+    gone = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["begin"])
+    return found.select(
+        "doc_id", "n_bytes", gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
