@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, langid, licenses, mixing, mixlm, near, packing, repeats, tokens, topk, urls
+from . import exact, langid, licenses, mixing, mixlm, near, packing, repeats, spelling, tokens, topk, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -171,6 +171,12 @@ def op10_source_mixing(spark, folder):
     )
 
 
+@query("op12_spelling_variants")
+def op12_spelling_variants(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return spelling.spelling_variants(spelling.word_counts(docs, slip=97))
+
+
 @query("op13_suffix_dedup", """
 with t as (select doc_id, hex(encode(coalesce("text", ''))) as hx from documents),
 w as (
