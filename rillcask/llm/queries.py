@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, langid, licenses, mixing, mixlm, near, packing, repeats, spelling, tokens, topk, urls
+from . import (
+    alignment, exact, langid, licenses, mixing, mixlm, near, packing, repeats, spelling, tokens, topk, urls,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -171,6 +173,12 @@ def op10_source_mixing(spark, folder):
     )
 
 
+@query("op11_token_alignment")
+def op11_token_alignment(spark, folder):
+    documents, _ = alignment.align_tokens(table(spark, folder, "documents").select("doc_id", "text"))
+    return documents
+
+
 @query("op12_spelling_variants")
 def op12_spelling_variants(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
