@@ -1,8 +1,8 @@
-"""Shared helpers: stored intermediate tables, word splitting, packed rows."""
+"""Shared helpers: stored intermediate tables, word splitting."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillcask.session import new_folder
@@ -12,6 +12,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage, survives lost executors."""
     folder = new_folder(df.sparkSession, label)
@@ -19,6 +22,35 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+class Scratch:
+    """Tables of a job of many steps, in one shared folder, each there for as long as it is needed.
+
+    The shuffle files of a step go as soon as its table is written. Else they would stay until the
+    driver collects its garbage, and disk would grow with the number of steps.
+    """
+
+    def __init__(self, spark: SparkSession, label: str) -> None:
+        self.spark, self.folder = spark, new_folder(spark, label)
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """Write a table and read it back."""
+        conf, path = self.spark.conf, f"{self.folder}/{name}"
+        before = conf.get(CLEANUP)
+        conf.set(CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            conf.set(CLEANUP, before)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        """Remove tables that nothing reads any more."""
+        context = self.spark.sparkContext
+        for name in names:
+            path = context._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def words(text: str | None) -> list[bytes]:
     """Lower-case A-Z and split on ASCII white space, exactly as ``WORD`` does.
 
@@ -31,10 +63,3 @@ def n_words(text: Column) -> Column:
     """Number of words of a text, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
-
-def packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id``, ``text`` and the whole row as ``row``: no other name can clash."""
-    return docs.select(
-        F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"),
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
-    )

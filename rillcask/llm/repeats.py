@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import Scratch
 
 GRAM = 32  # bytes of the first buckets
 STEPS = (16, 4, 1)  # offsets that share a row in each later round
@@ -193,23 +193,24 @@ def _ranges(length: int) -> list[Column]:
             (F.col("pos") + F.col("n") - 1 + length).alias("end")]
 
 
-def _first_round(docs: DataFrame, id_type: str, length: int, gram: int):
+def _first_round(docs: DataFrame, id_type: str, length: int, gram: int, scratch: Scratch):
     """(ranges to remove, strings that stay undecided) from whole sets of windows."""
     counts = docs.select("bytes").mapInArrow(_emit(length, gram, True), "h long").groupBy("h").agg(
         F.count(F.lit(1)).alias("members")
     )
-    shared = stored(counts.where("members > 1").select(F.col("h").alias("gram")), "repeats-grams")
+    shared = scratch.keep(counts.where("members > 1").select(F.col("h").alias("gram")), "grams")
     rows = docs.mapInArrow(
         _emit(length, gram, False),
         f"id {id_type}, fp long, h long, s1 long, s2 long, pos int, n int, off int",
     )
-    found = stored(rows.join(shared, F.col("h") == F.col("gram"), "left").where(
+    found = scratch.keep(rows.join(shared, F.col("h") == F.col("gram"), "left").where(
         "h is null or gram is not null"
-    ).drop("gram"), "repeats-anchors")
+    ).drop("gram"), "anchors")
     again = found.where("h is null").select(*_ranges(length))
     rows = found.where("h is not null")
-    classes = stored(rows.groupBy("h", "s1", "s2").agg(F.min(_owner("pos", "n", "off")).alias("first")),
-                     "repeats-classes")
+    classes = scratch.keep(
+        rows.groupBy("h", "s1", "s2").agg(F.min(_owner("pos", "n", "off")).alias("first")), "classes"
+    )
     key = [F.col(c).alias(f"k_{c}") for c in ("h", "s1", "s2")]
     later = rows.join(
         classes.select(*key, "first"),
@@ -217,10 +218,13 @@ def _first_round(docs: DataFrame, id_type: str, length: int, gram: int):
     ).where(~_owner("pos", "n", "off").eqNullSafe(F.col("first")))
     mixed = classes.groupBy(F.col("h").alias("gram")).agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
     undecided = classes.join(mixed, F.col("h") == F.col("gram"), "left_semi").select("h", "first.*").drop("none")
-    return stored(again.unionByName(later.select(*_ranges(length))), "repeats-ranges"), undecided
+    out = [scratch.keep(again.unionByName(later.select(*_ranges(length))), "ranges"),
+           scratch.keep(undecided, "undecided")]
+    scratch.drop("grams", "anchors", "classes")
+    return out
 
 
-def _next_round(rows: DataFrame, step: int, length: int) -> tuple[DataFrame, DataFrame]:
+def _next_round(rows: DataFrame, step: int, length: int, scratch: Scratch) -> list[DataFrame]:
     """One refinement of rows (h, id, fp, pos, n, off, bytes): ranges to remove, and what is left.
 
     The windows of a row are cut into aligned blocks of ``step`` offsets to the anchor; ``off`` is
@@ -247,11 +251,11 @@ def _next_round(rows: DataFrame, step: int, length: int) -> tuple[DataFrame, Dat
             ":", *where, F.col("low").cast("string"), F.col("high").cast("string")
         ).cast("binary"), part))).alias("whole"),
     )
-    cut = stored(cut, "repeats-blocks")
-    classes = stored(cut.groupBy("whole").agg(
+    cut = scratch.keep(cut, f"blocks-{step}")
+    classes = scratch.keep(cut.groupBy("whole").agg(
         F.min(_owner("pos", "n", "off")).alias("first"), F.any_value("h").alias("h"),
         F.any_value("core").alias("core"), F.any_value("bytes").alias("bytes"),
-    ), "repeats-classes")
+    ), f"classes-{step}")
     later = cut.select("whole", "id", "fp", "pos", "n", "off").join(
         classes.select(F.col("whole").alias("k_whole"), "first"), F.col("whole") == F.col("k_whole")
     ).where(~_owner("pos", "n", "off").eqNullSafe(F.col("first"))).select(*_ranges(length))
@@ -259,7 +263,9 @@ def _next_round(rows: DataFrame, step: int, length: int) -> tuple[DataFrame, Dat
     left = classes.join(
         mixed.where("kinds > 1"), F.col("core") == F.col("k_core"), "left_semi"
     ).select("h", "first.*", "bytes").drop("none")
-    return later, left
+    out = [scratch.keep(later, f"ranges-{step}"), scratch.keep(left, f"left-{step}")]
+    scratch.drop(f"blocks-{step}", f"classes-{step}")
+    return out
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,14 +318,15 @@ def find_repeats(
         F.coalesce(text, F.lit("")).cast("binary").alias("bytes"),
     )
     id_type = docs.schema["id"].dataType.simpleString()
-    ranges, undecided = _first_round(docs, id_type, length, gram)
+    scratch = Scratch(docs.sparkSession, "repeats")
+    ranges, undecided = _first_round(docs, id_type, length, gram, scratch)
     wanted = undecided.select("h", *[F.col(c).alias(f"w_{c}") for c in ("id", "fp", "pos", "n", "off")])
     rows = docs.join(wanted, _same_doc("w_")).select(
         "h", "id", "fp", F.col("w_pos").alias("pos"), F.col("w_n").alias("n"), F.col("w_off").alias("off"),
         F.substring("bytes", F.col("w_pos") + 1, F.col("w_n") - 1 + length).alias("bytes"),
     )
     for step in STEPS:
-        later, rows = _next_round(rows, step, length)
+        later, rows = _next_round(rows, step, length, scratch)
         ranges = ranges.unionByName(later)
     lists = ranges.groupBy(F.col("id").alias("r_id"), F.col("fp").alias("r_fp")).agg(
         F.collect_list(F.struct("begin", "end")).alias("ranges")
