@@ -25,7 +25,8 @@ from .bytebpe import ByteBpe, ranks_of
 from .common import stored
 
 VOCABULARIES = ("/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model")
-BLOCK = 6 << 20  # bytes of text aligned together
+CHUNK = 1 << 19  # letters of text aligned together
+BLOCK = 6 << 20  # letters of text whose pairs are counted together
 LINKS = 2_000_000  # links made by one join
 WIDE = 4096  # links of a group from which its tokens are counted before they are paired
 
@@ -54,6 +55,9 @@ class Sides:
             names[i] = token
         self.names = [pa.array(names, pa.binary()), pa.array(_piece_bytes(self.pieces), pa.binary())]
         self.sizes = [pc.binary_length(n) for n in self.names]
+        self.widths = [len(n) for n in self.names]
+        marks = ((self.widths[0], ",|"), (self.widths[1], ",;"))
+        self.lines = pa.array([f"{i}{m}" for n, two in marks for m in two for i in range(n)])
 
     def lists(self, texts: list[str | None]) -> list[pa.ListArray]:
         """Ids per text on both sides; none where a side does not give the text back."""
@@ -147,13 +151,32 @@ def _links(groups: list[np.ndarray], ids: list[np.ndarray], doc: np.ndarray) ->
     return whole
 
 
-def _written(ids: pa.ListArray, group: np.ndarray, doc: np.ndarray) -> list[list[str]]:
-    """Per document, the ids of each of its groups, joined by commas."""
-    text = pc.list_flatten(ids).cast(pa.string())
-    bounds = np.searchsorted(group, np.arange(len(doc) + 1))
-    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), text), ",").to_pylist()
-    cuts = np.searchsorted(doc, np.arange(len(ids) + 1))
-    return [joined[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+def _digests(
+    lines: pa.StringArray, widths: list[int], ids: list[np.ndarray], groups: list[np.ndarray], doc: np.ndarray,
+    n_docs: int,
+) -> list[str]:
+    """sha256 of each document's groups, written as a1,a2|b1;a3|b2,b3.
+
+    ``lines`` holds each id four times, as the strings "id," and "id|" of side A and "id," and "id;"
+    of side B; the tokens are laid out group by group, and the strings they name stand in one buffer.
+    """
+    before = [np.searchsorted(g, np.arange(len(doc) + 1)) for g in groups]
+    index = np.empty(len(ids[0]) + len(ids[1]), np.int64)
+    for side, (own, group, at, base) in enumerate(
+        zip(ids, groups, (before[1][:-1], before[0][1:]), (0, 2 * widths[0]))
+    ):
+        last = np.zeros(len(own), np.int64)
+        last[before[side][1:] - 1] = 1
+        index[np.arange(len(own)) + at[group]] = base + last * widths[side] + own
+    text = lines.take(pa.array(index))
+    offsets = np.frombuffer(text.buffers()[1], np.int32, len(text) + 1, text.offset * 4)
+    data = memoryview(text.buffers()[2] or b"")
+    cuts = offsets[(before[0] + before[1])[np.searchsorted(doc, np.arange(n_docs + 1))]]
+    # the last separator does not count
+    return [
+        hashlib.sha256(data[low : high - 1]).hexdigest() if high > low else ""
+        for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist())
+    ]
 
 
 _DOC = [("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("n_links", pa.int64()),
@@ -165,11 +188,9 @@ def _aligned(sides: Sides, texts: list[str | None]) -> tuple[dict[str, pa.Array]
     lists = sides.lists(texts)
     tables, flats = zip(*[_ends(ids, sizes) for ids, sizes in zip(lists, sides.sizes)])
     groups, doc = _groups(list(tables))
-    links = _links(groups, [np.asarray(f) for f in flats], doc)
-    digests = []
-    for a, b in zip(*[_written(ids, g, doc) for ids, g in zip(lists, groups)]):
-        line = ";".join(f"{x}|{y}" for x, y in zip(a, b))
-        digests.append(hashlib.sha256(line.encode()).hexdigest() if line else "")
+    flats = [np.asarray(f) for f in flats]
+    links = _links(groups, flats, doc)
+    digests = _digests(sides.lines, sides.widths, flats, groups, doc, len(texts))
     sizes = [np.bincount(g, minlength=len(doc)) for g in groups]
     made = np.zeros(len(texts), np.int64)
     np.add.at(made, doc, sizes[0] * sizes[1])
@@ -195,8 +216,13 @@ def _unsqueezed(data: bytes, kind: str) -> np.ndarray:
 def _block_rows(models):
     """A row per block with its documents and links, and a row per block and pair with the number
     of documents that hold it."""
-    def rows(sides: Sides, block: int, ids: pa.Array, texts: list) -> Iterator[pa.RecordBatch]:
-        columns, links = _aligned(sides, texts)
+    def rows(block: int, parts: list[tuple]) -> Iterator[pa.RecordBatch]:
+        columns = {n: pa.concat_arrays([c[n] for _, c, _ in parts]) for n, _ in _DOC}
+        ids = pa.concat_arrays([i for i, _, _ in parts])
+        base = np.cumsum([0, *[len(i) for i, _, _ in parts]])
+        links = pa.concat_tables([
+            t.set_column(0, "doc", pc.add(t["doc"], int(b))) for (_, _, t), b in zip(parts, base)
+        ])
         order = pc.sort_indices(links, [("doc", "ascending"), ("pair", "ascending")])
         doc, pair, n = (np.asarray(links[c].take(order)) for c in ("doc", "pair", "n"))
         held = pa.table({"pair": pair}).group_by("pair", use_threads=False).aggregate([([], "count_all")]).sort_by("pair")
@@ -204,9 +230,9 @@ def _block_rows(models):
         # distances to the number before, from 0 on in each document
         step, new = np.diff(number, prepend=0), np.flatnonzero(np.diff(doc, prepend=-1))
         step[new] = number[new]
-        per_doc = np.bincount(doc, minlength=len(texts))
+        per_doc = np.bincount(doc, minlength=len(ids))
         documents = pa.StructArray.from_arrays([ids, *columns.values()], names=["id", *columns])
-        packed = pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), documents)
+        packed = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), documents)
         nothing = pa.nulls(1, pa.int64())
         yield pa.record_batch([
             pa.array([block]), packed, pa.array([_squeezed(per_doc)]), pa.array([_squeezed(step)]),
@@ -224,23 +250,31 @@ def _block_rows(models):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sides, block = Sides(*models.value), TaskContext.get().partitionId() << 32
-        ids, texts, size = [], [], 0
+        parts, size = [], 0
         for batch in batches:
-            own, at = batch.column("id"), 0
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                texts.append(text)
-                size += len(text or "")
+            for own, texts, letters in _chunks(batch):
+                parts.append((own, *_aligned(sides, texts)))
+                size += letters
                 if size >= BLOCK:
-                    ids.append(own.slice(at, i + 1 - at))
-                    yield from rows(sides, block, pa.concat_arrays(ids), texts)
-                    block, at, ids, texts, size = block + 1, i + 1, [], [], 0
-            ids.append(own.slice(at))
-        if texts:
-            yield from rows(sides, block, pa.concat_arrays(ids), texts)
+                    yield from rows(block, parts)
+                    block, parts, size = block + 1, [], 0
+        if parts:
+            yield from rows(block, parts)
 
     return run
 
 
+def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, list, int]]:
+    """(ids, texts, letters) of neighbouring rows; a longer text is a chunk of its own."""
+    ids, at, texts, size = batch.column("id"), 0, [], 0
+    for i, text in enumerate(batch.column("text")):
+        texts.append(text.as_py())
+        size += len(texts[-1] or "")
+        if size >= CHUNK or i + 1 == batch.num_rows:
+            yield ids.slice(at, i + 1 - at), texts, size
+            at, texts, size = i + 1, [], 0
+
+
 _BLOCK = ["block", "documents", "per_doc", "step", "times", "number", "pair", "docs"]
 
 
