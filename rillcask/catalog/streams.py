@@ -14,7 +14,7 @@ from rillcask.operators.rows import prefix_columns
 from rillcask.session import new_folder
 from rillcask.sources.streams import read_stream, stream_query
 from rillcask.streaming import events as times
-from rillcask.streaming import sequences, sinks, temporal, windows
+from rillcask.streaming import lifetimes, ranking, sequences, sinks, temporal, upsert, windows
 
 SCHEMA = (
     "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, "
@@ -301,6 +301,54 @@ def stream_upsert(spark, folder):
     return sinks.run_upsert(rows_, keys, ["ts", "event_id"], "upsert").drop("ts")
 
 
+@query("stream_upsert_compacted", CHANGES)
+def stream_upsert_compacted(spark, folder):
+    """Five batches in any order of time; key ranges are rewritten between them."""
+    rows_ = read_stream(spark, shuffled_files(spark, folder), SCHEMA, options={"maxFilesPerTrigger": "1"})
+    rows_ = rows_.select("user_id", "event_id", "value", "event_type", "ts")
+    target = upsert.UpsertTable(
+        spark, new_folder(spark, "upsert"), ["user_id"], rows_.schema, ["ts", "event_id"], ranges=4, max_files=2
+    )
+    upsert.write_table(rows_, target, new_folder(spark, "upsert-state"), mode="append").awaitTermination()
+    return target.read(F.col("event_type") == "error").select("user_id", "event_id", "value")
+
+
+TOP = """
+    select event_type, user_id, event_id, value from (select *, row_number() over
+      (partition by event_type, user_id order by value desc, event_id) as rn from events) where rn <= 3"""
+
+
+@query("stream_top_n", TOP)
+def stream_top_n(spark, folder):
+    """The first rows of each group, folded from the changes that the batches made."""
+    rows_ = read_stream(spark, shuffled_files(spark, folder), SCHEMA, options={"maxFilesPerTrigger": "2"})
+    rows_ = rows_.select("event_type", "user_id", "event_id", "value")
+    path = new_folder(spark, "top")
+    ranking.write_top_n(
+        rows_, ["event_type", "user_id"], "event_id", [F.desc("value"), F.asc("event_id")], 3, path,
+        new_folder(spark, "top-state"),
+    ).awaitTermination()
+    return ranking.folded(ranking.read_changes(spark, rows_.schema, path), "event_id")
+
+
+@query("stream_lasting_join", """
+    with v as (select * from events where event_type = 'view'),
+      p as (select * from events where event_type = 'purchase')
+    select p.user_id, v.event_id as v_event_id, p.event_id as p_event_id, p.ts as at
+    from p asof join v on p.user_id = v.user_id and p.ts >= v.ts where p.ts - v.ts <= interval 12 hour
+    union all select p.user_id, v.event_id, p.event_id, v.ts from p join v
+      on p.user_id = v.user_id and v.ts > p.ts and v.ts <= p.ts + interval 2 hour""")
+def stream_lasting_join(spark, folder):
+    """A user's last view lives for twelve hours and is renewed by the next, a purchase for two."""
+    rows_ = stream(spark, folder)
+    out = lifetimes.lasting_join(
+        _side(rows_, "view", "v_"), _side(rows_, "purchase", "p_"), [("v_user_id", "p_user_id")],
+        "v_user_id", "p_event_id", "v_ts", "p_ts", "12 hours", "2 hours",
+    )
+    done = sinks.run_append(out, "lasting")
+    return plain_times(done.select(F.col("p_user_id").alias("user_id"), "v_event_id", "p_event_id", "at"), "at")
+
+
 @query("stream_count", "select count(*) as n from events")
 def stream_count(spark, folder):
     """Global count in complete mode."""
