@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rillcask.catalog import EVENTS, EVENTS_AS_OF, ORDERS_AS_OF, cents, events, query, rounded, table
-from rillcask.operators import aggregates, ordered, sets
+from rillcask.catalog import EVENTS, EVENTS_AS_OF, ORDERS_AS_OF, SQL, cents, events, query, rounded, table
+from rillcask.operators import aggregates, cohorts, ordered, sets, sketches
 from rillcask.operators.joins import flag_in
 from rillcask.operators.rows import between_ago, recent
+from rillcask.operators.skew import pinned
+from rillcask.session import new_folder
 
 
 @query("count_all", "select count(*) as n from lineitem")
@@ -110,6 +112,79 @@ def percentiles(spark, folder):
     )
 
 
+PS = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+
+
+def _close(df, ps, limit):
+    """Estimates whose rank misses by at most ``limit`` of the rows."""
+    return df.withColumns({f"{n}_close": F.col(f"{n}_error") <= limit for n in ps}).drop(
+        *ps, *[f"{n}_error" for n in ps]
+    )
+
+
+@query("merged_percentiles", """
+    select year(l_shipdate)::integer as year, count(*) as rows, true as p50_close, true as p95_close,
+      true as p99_close from lineitem group by 1""")
+def merged_percentiles(spark, folder):
+    """Years from stored months; ranks miss by at most 1 % of the rows, measured on all of them."""
+    rows = table(spark, folder, "lineitem").select("l_shipdate", cents("l_extendedprice").alias("price"))
+    months = pinned(sketches.quantile_sketches(rows, [F.date_trunc("month", "l_shipdate").alias("month")], "price"))
+    years = pinned(sketches.merged_quantiles(months, [F.year("month").alias("year")], PS))
+    rows = rows.withColumn("year", F.year("l_shipdate"))
+    return _close(sketches.rank_errors(rows, ["year"], "price", years, PS), PS, 0.01)
+
+
+@query("days_from_hours", """
+    select event_type, ts::date as day, count(*) as rows, true as p50_close, true as p95_close,
+      true as p99_close from events group by 1, 2""")
+def days_from_hours(spark, folder):
+    """Windows of a day from stored windows of an hour."""
+    rows = table(spark, folder, "events").select("event_type", "ts", cents("value").alias("price"))
+    keys = ["event_type", F.date_trunc("hour", "ts").alias("hour")]
+    hours = pinned(sketches.quantile_sketches(rows, keys, "price"))
+    days = pinned(sketches.merged_quantiles(hours, ["event_type", F.to_date("hour").alias("day")], PS))
+    rows = rows.withColumn("day", F.to_date("ts"))
+    return _close(sketches.rank_errors(rows, ["event_type", "day"], "price", days, PS), PS, 0.01)
+
+
+@query("distinct_from_months", """
+    select year(l_shipdate)::integer as year, count(distinct l_orderkey) as orders, true as close
+    from lineitem group by 1""")
+def distinct_from_months(spark, folder):
+    """Distinct orders per year from monthly sketches, within four standard errors of the count."""
+    rows = table(spark, folder, "lineitem").select("l_shipdate", "l_orderkey")
+    keys = [F.date_trunc("month", "l_shipdate").alias("month")]
+    months = pinned(sketches.distinct_sketches(rows, keys, "l_orderkey", 10))
+    years = sketches.merged_distinct(months, [F.year("month").alias("year")], "guess", 10)
+    exact = rows.groupBy(F.year("l_shipdate").alias("__y")).agg(F.count_distinct("l_orderkey").alias("orders"))
+    off = F.abs(F.col("guess") - F.col("orders")) / F.col("orders")
+    return years.join(exact, F.col("year") == F.col("__y")).select(
+        "year", "orders", (off <= 4 / 2 ** 5).alias("close")
+    )
+
+
+@query("kept_and_lost", """
+    with seen as (select distinct date_trunc('quarter', o_orderdate)::date as period, o_custkey from orders),
+      p as (select distinct period from seen)
+    select n.period, (select count(*) from seen s where s.period = n.period) as total,
+      (select count(*) from seen s join seen b on s.o_custkey = b.o_custkey
+        and b.period = n.period - interval 3 month where s.period = n.period) as kept,
+      (select count(*) from seen b where b.period = n.period - interval 3 month and not exists
+        (select 1 from seen s where s.period = n.period and s.o_custkey = b.o_custkey)) as lost,
+      (select count(*) from seen s where s.period = n.period and not exists
+        (select 1 from seen b where b.period = n.period - interval 3 month
+          and s.o_custkey = b.o_custkey)) as new
+    from p n join p b on b.period = n.period - interval 3 month""")
+def kept_and_lost(spark, folder):
+    """Customers of a quarter and the one before, from monthly sketches; these few count exactly."""
+    rows = table(spark, folder, "orders").select("o_orderdate", "o_custkey")
+    keys = [F.to_date(F.date_trunc("month", "o_orderdate")).alias("month")]
+    months = pinned(sketches.distinct_sketches(rows, keys, "o_custkey"))
+    quarter = F.to_date(F.date_trunc("quarter", "month")).alias("period")
+    quarters = pinned(sketches.merged_distinct(months, [quarter]).select("period", "sketch"))
+    return sketches.kept_and_lost(quarters, "period", F.add_months("period", 3))
+
+
 @query("pivot_periods", """
     select o_orderpriority, sum(case when m = date '2001-07-01' then c else 0 end)::bigint as last_month,
       sum(case when m = date '2001-06-01' then c else 0 end)::bigint as two_months_ago,
@@ -231,6 +306,17 @@ def cohort_retention_weekly(spark, folder):
     return out.withColumn("cohort", F.date_format("cohort", "yyyy-MM-dd"))
 
 
+@query("cohort_bitmaps", SQL["cohort_retention_weekly"])
+def cohort_bitmaps(spark, folder):
+    """The same cohorts, week after week added to stored bitmaps."""
+    rows = table(spark, folder, "events").withColumn("week", F.to_date(F.date_trunc("week", "ts")))
+    path = new_folder(spark, "cohorts")
+    for week in sorted(r.week for r in rows.select("week").distinct().collect()):
+        cohorts.add_period(spark, path, rows.where(F.col("week") == F.lit(week)), "user_id", str(week))
+    out = cohorts.retention(spark, path, 7)
+    return out.withColumn("cohort", F.date_format("cohort", "yyyy-MM-dd"))
+
+
 @query("feature_adoption", """
     with usage as (select distinct event_type as feature, user_id from events),
       acts as (select distinct user_id, event_type as used from events where ts >= timestamp '2024-01-24'),

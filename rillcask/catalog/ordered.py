@@ -158,6 +158,18 @@ def rolling_days(spark, folder):
     }).select("event_id", "total", "n")
 
 
+@query("rolling_days_in_slices", f"""
+    select event_id, (sum(cents) over w)::bigint as total, min(cents) over w as least, count(*) over w as n
+    from {EVENTS} window w as (partition by event_type = 'view' order by ts
+      range between interval 2 day preceding and current row)""")
+def rolling_days_in_slices(spark, folder):
+    """Two groups that hold the whole table, cut into slices of time."""
+    rows = events(spark, folder).withColumn("view", F.col("event_type") == "view")
+    return ordered.rolling_days(rows, ["view"], "ts", 2, {
+        "total": F.sum("cents"), "least": F.min("cents"), "n": F.count(F.lit(1)),
+    }, hot=100).select("event_id", "total", "least", "n")
+
+
 @query("rolling_in_blocks", f"""
     select event_id, sum(cents) over (w rows between 6 preceding and current row)::bigint as total,
       avg(cents) over (w rows between 6 preceding and current row) as mean,

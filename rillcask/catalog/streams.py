@@ -8,7 +8,7 @@ from rillcask.catalog import EVENTS, cents, events, query, table
 from rillcask.catalog.joins import SEQUENCES
 from rillcask.functions.numbers import safe_ratio
 from rillcask.functions.times import to_epoch
-from rillcask.operators import dedup, joins, rows, sets
+from rillcask.operators import dedup, joins, rows, sets, sketches
 from rillcask.operators.aggregates import count_where, int_average
 from rillcask.operators.rows import prefix_columns
 from rillcask.session import new_folder
@@ -349,6 +349,22 @@ def stream_lasting_join(spark, folder):
     return plain_times(done.select(F.col("p_user_id").alias("user_id"), "v_event_id", "p_event_id", "at"), "at")
 
 
+@query("stream_distinct_users", """
+    select ts::date as day, count(distinct user_id) as users, true as close from events group by 1""")
+def stream_distinct_users(spark, folder):
+    """Sketches of six hours from the stream, added up to days and held against the exact counts."""
+    made = windows.tumbling(
+        stream(spark, folder), "ts", "6 hours", [], {sketches.SKETCH: F.hll_sketch_agg("user_id", 14)}
+    )
+    kept = sinks.run_upsert(made, ["window_start"], ["window_start"], "users")
+    days = sketches.merged_users(kept, [F.to_date("window_start").alias("day")], "guess")
+    exact = table(spark, folder, "events").groupBy(F.to_date("ts").alias("__day")).agg(
+        F.count_distinct("user_id").alias("users")
+    )
+    off = F.abs(F.col("guess") - F.col("users")) / F.col("users")
+    return days.join(exact, F.col("day") == F.col("__day")).select("day", "users", (off <= 0.03).alias("close"))
+
+
 @query("stream_count", "select count(*) as n from events")
 def stream_count(spark, folder):
     """Global count in complete mode."""

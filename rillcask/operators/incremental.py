@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillcask.operators.dedup import latest_by_key
-from rillcask.session import shared_dir
+from rillcask.operators.skew import pinned
 
 # States that still need work.
 OPEN_STATES = ("pending", "failed", "interrupted", "in_progress")
@@ -82,30 +82,32 @@ def missing_sources(refs: DataFrame, declared: DataFrame, target: str = "target"
 def run_order(edges: DataFrame, child: str = "child", parent: str = "parent") -> DataFrame:
     """Level of every table in a lineage: 0 without parents, else one above the deepest.
 
-    Level by level, each round places the tables whose parents are all placed. The open
-    edges shrink every round and are checkpointed, so the plan does not grow with the
-    depth. A cycle is an error. Run levels upward to build, downward to drop.
+    Each table looks up its parents; every round it looks up what those have looked up, so it sees
+    twice as far. A row (n, up, steps) leads ``steps`` tables up; where that is a table without
+    parents ``up`` is NULL, and of those only the longest way counts. The rounds are the logarithm
+    of the depth and each writes one table. Ways that never end are a cycle, which is an error. Run
+    levels upward to build, downward to drop.
     """
-    shared_dir(edges.sparkSession)
-    open_edges = edges.select(
-        F.col(child).alias("c"), F.col(parent).alias("p")
-    ).distinct().checkpoint()
-    names = open_edges.select(F.explode(F.array("c", "p")).alias("n")).distinct()
-    children = open_edges.select(F.col("c").alias("n")).distinct()
-    ready = names.join(children, "n", "left_anti").checkpoint()
-    placed = [ready.withColumn("level", F.lit(0))]
-    level = 0
-    while not open_edges.isEmpty():
-        level += 1
-        left = open_edges.join(ready.withColumnRenamed("n", "p"), "p", "left_anti").checkpoint()
-        freed = open_edges.select(F.col("c").alias("n")).distinct().join(
-            left.select(F.col("c").alias("n")), "n", "left_anti"
-        ).checkpoint()
-        if freed.isEmpty():
+    links = pinned(edges.select(F.col(child).alias("n"), F.col(parent).alias("p")).distinct())
+    names = pinned(links.select(F.explode(F.array("n", "p")).alias("n")).distinct())
+    inner = links.select(F.col("n").alias("inner")).distinct()
+    ways = pinned(
+        links.join(inner, F.col("p") == F.col("inner"), "left")
+        .select("n", F.col("inner").alias("up"), F.lit(1).cast("long").alias("steps")).distinct()
+    )
+    rounds, most = 0, names.count().bit_length() + 1
+    while not ways.where("up is not null").isEmpty():
+        rounds += 1
+        if rounds > most:
             raise ValueError("the lineage has a cycle")
-        placed.append(freed.withColumn("level", F.lit(level)))
-        open_edges, ready = left, freed
-    out = placed[0]
-    for part in placed[1:]:
-        out = out.unionByName(part)
-    return out.withColumnRenamed("n", "name")
+        further = ways.select(F.col("n").alias("at"), F.col("up").alias("next"), F.col("steps").alias("more"))
+        doubled = ways.where("up is not null").join(further, F.col("up") == F.col("at")).select(
+            "n", F.col("next").alias("up"), (F.col("steps") + F.col("more")).alias("steps")
+        )
+        ways = pinned(
+            doubled.unionByName(ways.where("up is null")).groupBy("n", "up").agg(F.max("steps").alias("steps"))
+        )
+    levels = ways.select(F.col("n").alias("name"), F.col("steps").alias("level"))
+    return names.withColumnRenamed("n", "name").join(levels, "name", "left").select(
+        "name", F.coalesce("level", F.lit(0)).cast("int").alias("level")
+    )

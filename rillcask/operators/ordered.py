@@ -306,16 +306,32 @@ def rolling(
 
 
 def rolling_days(
-    df: DataFrame, part: list[str], ts: str, days: int, aggs: dict[str, Column]
+    df: DataFrame, part: list[str], ts: str, days: int, aggs: dict[str, Column], hot: Limit = None,
 ) -> DataFrame:
     """Aggregates over the rows of the last ``days`` days up to each row's time, ties included.
 
     The frame is a range of time, so it may hold any number of rows. Aggregates must be sums,
-    counts, minima or maxima over whole numbers, decimals or times.
+    counts, minima or maxima over whole numbers, decimals or times. A hot group is cut into slices
+    as long as the frame: a frame reaches into its own slice and the one before, so each row also
+    goes to the next slice, and slices are windows of their own.
     """
+    hot = find_hot(df, part, hot)
+    width = days * 86_400_000_000
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    frame = Window.partitionBy(*part).orderBy(micros).rangeBetween(-days * 86_400_000_000, 0)
-    return df.select("*", *[agg.over(frame).alias(name) for name, agg in aggs.items()])
+
+    def add(rows: DataFrame, groups: list[str]) -> DataFrame:
+        frame = Window.partitionBy(*groups).orderBy(micros).rangeBetween(-width, 0)
+        return rows.select("*", *[agg.over(frame).alias(name) for name, agg in aggs.items()])
+
+    if not hot:
+        return add(df, part)
+    cold, big = split_hot(df, part, hot.groups)
+    own = F.floor(micros / width)
+    spread = big.withColumn("__own", own).withColumn(
+        "__slice", F.explode(F.when(own.isNull(), F.array(own)).otherwise(F.array(own, own + 1)))
+    )
+    done = add(spread, [*part, "__slice"]).where(F.col("__own").eqNullSafe(F.col("__slice")))
+    return add(cold, part).unionByName(done.drop("__own", "__slice"))
 
 
 def rolling_ndv(
