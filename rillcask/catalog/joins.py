@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from rillcask.catalog import EVENTS_AS_OF, ORDERS_AS_OF, query, rounded, table
 from rillcask.functions.numbers import geo_distance
-from rillcask.operators import joins
+from rillcask.operators import joins, patterns
 from rillcask.operators.rows import between_ago, prefix_columns, recent
 
 
@@ -279,3 +279,48 @@ def sequence_match(spark, folder):
         table(spark, folder, "events"), "user_id", "ts", "event_type",
         ["view", "click", "purchase"], "12 hours", "event_id",
     )
+
+
+STRICT = """
+    with o as (select *, row_number() over (partition by {0} order by ts, event_id) as i from events),
+      s as (select {0}, string_agg(substr(event_type, 1, 1), '' order by i) as line from o group by 1),
+      m as (select o.{0}, event_id, ts, i, len(regexp_extract(substr(line, i), '^vc+e?(p|s)')) as n
+        from o join s using ({0}) where event_type = 'view')
+    select m.{0}, m.event_id, m.ts as start, o.event_id as end_id, o.ts as "end"
+    from m join o on o.{0} = m.{0} and o.i = m.i + m.n - 1 and m.n > 0 where o.ts <= m.ts + interval {1}"""
+BUYING = [
+    patterns.step("view"), patterns.step("click", repeated=True), patterns.step("error", optional=True),
+    patterns.step("purchase", "signup"),
+]
+
+
+@query("pattern_strict", STRICT.format("user_id", "5 day"))
+def pattern_strict(spark, folder):
+    """A view, clicks, perhaps an error, then a purchase or signup, and nothing between them."""
+    return patterns.match_pattern(
+        table(spark, folder, "events"), ["user_id"], "ts", "event_type", BUYING, "5 days", "event_id", "none"
+    )
+
+
+@query("pattern_in_chunks", STRICT.format("half", "5 hour").replace(
+    "from events)", "from (select *, user_id % 2 as half from events))"))
+def pattern_in_chunks(spark, folder):
+    """Two keys that hold all rows, cut into many chunks."""
+    rows = table(spark, folder, "events").withColumn("half", F.col("user_id") % 2)
+    return patterns.match_pattern(
+        rows, ["half"], "ts", "event_type", BUYING, "5 hours", "event_id", "none", hot=50
+    )
+
+
+@query("pattern_relaxed", """
+    with v as (select event_id, user_id, ts from events where event_type = 'view'),
+      c as (select v.event_id, v.user_id, v.ts, min(e.ts) as clicked from v join events e on e.user_id = v.user_id
+        and e.event_type = 'click' and e.ts > v.ts group by 1, 2, 3),
+      p as (select c.event_id, c.user_id, c.ts as start, arg_min(e.event_id, e.ts) as end_id, min(e.ts) as "end"
+        from c join events e on e.user_id = c.user_id and e.event_type in ('purchase', 'signup')
+        and e.ts > clicked group by 1, 2, 3)
+    select * from p where "end" <= start + interval 12 hour""")
+def pattern_relaxed(spark, folder):
+    return patterns.match_pattern(
+        table(spark, folder, "events"), ["user_id"], "ts", "event_type", BUYING, "12 hours", "event_id"
+    )

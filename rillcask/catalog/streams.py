@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rillcask.catalog import EVENTS, cents, events, query, table
-from rillcask.catalog.joins import SEQUENCES
+from rillcask.catalog.joins import BUYING, SEQUENCES, STRICT
 from rillcask.functions.numbers import safe_ratio
 from rillcask.functions.times import to_epoch
 from rillcask.operators import dedup, joins, rows, sets, sketches
@@ -496,6 +496,18 @@ def stream_sequence_match(spark, folder):
     return plain_times(out, "step_1", "step_2", "step_3")
 
 
+@query("stream_patterns", STRICT.format("user_id", "5 day"))
+def stream_patterns(spark, folder):
+    """The strict pattern from five batches that each hold all times: late rows end and undo matches."""
+    rows_ = read_stream(spark, shuffled_files(spark, folder), SCHEMA, options={"maxFilesPerTrigger": "1"})
+    path = new_folder(spark, "patterns")
+    sequences.write_patterns(
+        rows_, ["user_id"], "ts", "event_type", BUYING, "5 days", "event_id", path,
+        new_folder(spark, "patterns-state"), "none",
+    ).awaitTermination()
+    return sequences.read_patterns(spark, rows_, ["user_id"], "ts", "event_id", path)
+
+
 def table_stream(spark, folder, name):
     """Any driver table as a stream."""
     schema = table(spark, folder, name).schema
