@@ -51,6 +51,12 @@ class Scratch:
             path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def id_text(column: str) -> Column:
+    """A whole-number id as text: pandas makes floating-point numbers of a column with a null, and
+    ids above 2^53 would change. Cast it back to long behind the Python code."""
+    return F.col(column).cast("long").cast("string")
+
+
 def words(text: str | None) -> list[bytes]:
     """Lower-case A-Z and split on ASCII white space, exactly as ``WORD`` does.
 

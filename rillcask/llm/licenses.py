@@ -11,6 +11,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import id_text
+
 # The customary wording of public license notices. Several may share a license.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -217,7 +219,7 @@ def license_scan(
     else:
         hint = F.lit(True)  # other letters are not lower-cased alike everywhere
     hinted = F.when(hint, F.col(text_col))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), hinted.alias("text")).mapInPandas(
-        _scan(templates), "doc_id long, n_blocks int, licenses array<string>, "
+    return docs.select(id_text(id_col).alias("doc_id"), hinted.alias("text")).mapInPandas(
+        _scan(templates), "doc_id string, n_blocks int, licenses array<string>, "
         "notices array<struct<license:string,start:int,end:int,saved:int,edits:int>>",
-    )
+    ).withColumn("doc_id", F.col("doc_id").cast("long"))

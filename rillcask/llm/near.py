@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, words
+from .common import id_text, stored, words
 from .graph import components
 
 BANDS, ROWS = 42, 6  # at a similarity of 0.85 a pair misses every band once in 4e8
@@ -220,10 +220,10 @@ def _members(docs, id_col, text_col, width, percent, bands=BANDS, rows=ROWS) ->
         F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"),
         F.unhex(F.md5(F.col(text_col))).alias("raw"),
     )
-    signed = stored(source.mapInPandas(
+    signed = stored(source.withColumn("doc_id", id_text("doc_id")).mapInPandas(
         _sign(width, bands, rows),
-        "doc_id long, raw binary, digest binary, n_shingles long, bands array<long>",
-    ), "signatures")
+        "doc_id string, raw binary, digest binary, n_shingles long, bands array<long>",
+    ).withColumn("doc_id", F.col("doc_id").cast("long")), "signatures")
     classes = stored(
         signed.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("node")),
         "word-classes",

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import n_words, stored
+from .common import id_text, n_words, stored
 
 SHARD_ITEMS = 4096  # pieces packed together by one task
 BINS = 1 << 24  # bin numbers set aside for each shard
@@ -47,8 +47,9 @@ def best_fit(sizes: list[int], masks: list[int], capacity: int) -> list[int]:
 
 def _pack(capacity: int):
     def run(items: pd.DataFrame) -> pd.DataFrame:
-        items = items.sort_values(
-            ["size", "doc_id", "copy", "piece", "cluster"], ascending=[False, True, True, True, True],
+        number = [None if pd.isna(i) else int(i) for i in items["doc_id"]]
+        items = items.assign(number=pd.Series(number, items.index, object)).sort_values(
+            ["size", "number", "copy", "piece", "cluster"], ascending=[False, True, True, True, True],
             na_position="last", kind="stable",
         )
         sources, clusters = _bits(items["source"]), _bits(items["cluster"])
@@ -95,8 +96,9 @@ def pack(
     ), "pieces")
     shards = max(1, -(-items.count() // shard_items))
     place = F.pmod(F.xxhash64("doc_id", "copy", "piece", "source", "cluster"), F.lit(shards))
-    return items.withColumn("shard", place).groupBy("shard").applyInPandas(
+    items = items.withColumn("shard", place).withColumn("doc_id", id_text("doc_id"))
+    return items.groupBy("shard").applyInPandas(
         _pack(capacity),
-        "doc_id long, copy long, piece long, start long, size long, source string, "
+        "doc_id string, copy long, piece long, start long, size long, source string, "
         "cluster string, bin long",
-    )
+    ).withColumn("doc_id", F.col("doc_id").cast("long"))

@@ -7,14 +7,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bytebpe import ByteBpe
+from .common import id_text
+
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-# Fixed value: how the vocabulary's makers split text before merging.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SHARD_TOKENS = 1 << 22  # tokens packed together by one task
 
 
@@ -91,16 +91,14 @@ def _pack(ranks, width: int, end: int, kind: str, shard: int):
         )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokenizer = tiktoken.Encoding(
-            "given", pat_str=PATTERN, mergeable_ranks=ranks.value, special_tokens={}
-        )
+        tokenizer = ByteBpe(ranks.value)
         number = TaskContext.get().partitionId() << 32
         pieces: list[tuple] = []
         total = 0
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"].astype("Int64"), batch["text"]):
-                ids = np.array([*tokenizer.encode_ordinary(text or ""), end], kind)
-                own = None if doc_id is pd.NA else int(doc_id)
+            for doc_id, text in zip(batch["doc_id"], batch["text"]):
+                ids = np.append(tokenizer.ids(text or ""), np.uint32(end)).astype(kind)
+                own = None if doc_id is None else int(doc_id)
                 for at in range(0, len(ids), width):
                     pieces.append((own, at, ids[at : at + width]))
                 total += len(ids)
@@ -134,7 +132,7 @@ def packed_tokens(
     kind = "<u2" if max(end, max(vocabulary.values())) < 1 << 16 else "<u4"
     ranks = docs.sparkSession.sparkContext.broadcast(vocabulary)
     return docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")
+        id_text(id_col).alias("doc_id"), F.col(text_col).alias("text")
     ).mapInPandas(
         _pack(ranks, width, end, kind, shard_tokens),
         "pack long, n_tokens int, cu_seqlens array<int>, resets array<int>, "
