@@ -216,8 +216,13 @@ def sales_pivot(spark, folder):
 
 
 def _traffic(spark, folder):
+    return traffic_columns(events(spark, folder))
+
+
+def traffic_columns(rows):
+    """Events, from a table or a stream, in the shape of web traffic."""
     k, kind = F.col("k"), F.col("event_type")
-    return events(spark, folder).select(
+    return rows.select(
         F.col("ts").alias("event_timestamp"),
         F.when(k < 30, "new").otherwise("known").alias("user_segment"),
         F.when(kind == "view", "page_view").when(kind == "click", "add_to_cart").otherwise(

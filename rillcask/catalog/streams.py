@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rillcask.catalog import EVENTS, cents, events, query, table
+from rillcask.catalog import EVENTS, cents, events, plans, query, table
 from rillcask.catalog.joins import BUYING, SEQUENCES, STRICT
 from rillcask.functions.numbers import safe_ratio
 from rillcask.functions.times import to_epoch
 from rillcask.operators import dedup, joins, rows, sets, sketches
 from rillcask.operators.aggregates import count_where, int_average
 from rillcask.operators.rows import prefix_columns
+from rillcask.plans import traffic_kpis as traffic
 from rillcask.session import new_folder
 from rillcask.sources.streams import read_stream, stream_query
 from rillcask.streaming import events as times
@@ -496,6 +497,24 @@ def stream_sequence_match(spark, folder):
     return plain_times(out, "step_1", "step_2", "step_3")
 
 
+COUNTED = [
+    "unique_users", "unique_sessions", "unique_countries", "unique_cities", "unique_traffic_sources",
+]
+
+
+@query("stream_traffic_kpis", f"select * exclude ({', '.join(COUNTED)}) from ({plans.TRAFFIC})")
+def stream_traffic_kpis(spark, folder):
+    """Open windows are upserted batch by batch; the spike flag compares a group's windows so far.
+
+    Distinct counts are sketches on a stream and are left out of the comparison.
+    """
+    rows_ = stream(spark, folder).withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    kpis = traffic.window_kpis(plans.traffic_columns(rows_), "6 hours", approx=True)
+    keys = ["window_start", "window_end", *traffic.GROUPS]
+    kept = sinks.run_upsert(kpis, keys, keys, "traffic")
+    return plain_times(traffic.with_spikes(kept)).drop(*COUNTED)
+
+
 @query("stream_patterns", STRICT.format("user_id", "5 day"))
 def stream_patterns(spark, folder):
     """The strict pattern from five batches that each hold all times: late rows end and undo matches."""

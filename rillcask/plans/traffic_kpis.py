@@ -94,8 +94,12 @@ def traffic_kpis(
             f"INTERVAL '{hours}' HOUR"
         ))
     kpis, n = settled(window_kpis(events, size, ts, approx))
-    counted = hot_in(n, kpis, GROUPS, hot)
+    return with_spikes(kpis, hot_in(n, kpis, GROUPS, hot))
+
+
+def with_spikes(kpis: DataFrame, hot: Limit = None) -> DataFrame:
+    """Indicators, as made by ``window_kpis`` on a table or kept by a stream, with the flag."""
     return anomaly_flag(
         kpis, GROUPS, ["window_start"], "event_count", 11, 2, 0.5,
-        "traffic_anomaly_indicator", LABELS, counted,
+        "traffic_anomaly_indicator", LABELS, hot,
     )
