@@ -19,6 +19,7 @@ LANDMARKS = 512  # of them
 RIDGE = 1e-2
 BATCH = 256
 UNKNOWN = "und"
+FOREIGN = 100  # distinct n-grams from which on a text is told to be of no learned language
 _GAP = re.compile(r"[\W\d_]+")
 _FACTORS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
 
@@ -74,10 +75,11 @@ def fit(rows: np.ndarray, langs: list[str]) -> tuple[list[str], np.ndarray]:
     return names, (marks.T @ np.linalg.solve(left, to_marks.T @ goal)).astype(np.float32)
 
 
-def score(texts: list[str], weights: np.ndarray) -> np.ndarray:
-    """Values of the regressions, (texts, languages)."""
+def score(texts: list[str], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values of the regressions, (texts, languages), and the distinct n-grams of each text."""
     rows = _presence(texts)
-    return rows @ weights / np.sqrt(np.maximum(rows.sum(1, keepdims=True), 1))
+    sizes = rows.sum(1, keepdims=True)
+    return rows @ weights / np.sqrt(np.maximum(sizes, 1)), sizes[:, 0].astype(int)
 
 
 def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, rows: int) -> DataFrame:
@@ -124,25 +126,28 @@ def learn(
 
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
-    """Adds ``lang_pred`` and ``score`` (0 to 1) to a table whose column ``text`` is the text.
+    """Adds ``lang_pred``, ``score`` (0 to 1) and ``foreign`` to a table whose column ``text`` is
+    the text.
 
+    ``foreign``: each regression, one language against the rest, puts the text with the rest (a score
+    below 0.5), and the text has ``FOREIGN`` n-grams, enough to tell.
     A text that is null, empty or without a letter, or a model without languages, gives ``und``
-    with score 0. Ties go to the first language in order. Texts are taken whole.
+    with score 0, not foreign. Ties go to the first language in order. Texts are taken whole.
     """
     names, weights = model
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double, foreign boolean")
     def guess(texts: pd.Series) -> pd.DataFrame:
-        pred, best = [UNKNOWN] * len(texts), [0.0] * len(texts)
+        pred, best, foreign = [UNKNOWN] * len(texts), [0.0] * len(texts), [False] * len(texts)
         told = [i for i, t in enumerate(texts) if has_letter(t)] if names else []
         for at in range(0, len(told), BATCH):
             part = told[at : at + BATCH]
-            values = score([texts.iloc[i] for i in part], shared.value)
-            for i, line in zip(part, values):
+            for i, line, size in zip(part, *score([texts.iloc[i] for i in part], shared.value)):
                 top = int(line.argmax())
                 pred[i], best[i] = names[top], float(min(1.0, max(0.0, (line[top] + 1) / 2)))
-        return pd.DataFrame({"lang_pred": pred, "score": best})
+                foreign[i] = bool(line[top] < 0 and size >= FOREIGN)
+        return pd.DataFrame({"lang_pred": pred, "score": best, "foreign": foreign})
 
     rest = [F.col(f"`{c}`") for c in docs.columns]
     return docs.select(*rest, guess("text").alias("__guess")).select(*rest, "__guess.*")

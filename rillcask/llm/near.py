@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +15,8 @@ from pyspark.sql import functions as F
 from .common import id_text, stored, words
 from .graph import components
 
-BANDS, ROWS = 42, 6  # at a similarity of 0.85 a pair misses every band once in 4e8
+MISSED = 2.5e-9  # how often a pair at the threshold may miss every band
+MOST_ROWS, MANY_BANDS = 6, 128
 FILTER_BITS = 1 << 24  # of the filter that names candidate documents, 2 MB
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -71,6 +73,17 @@ def signatures(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
     return mixed(keys + np.arange(1, bands + 1, dtype=np.uint64) * _FACTORS[rows]).view(np.int64)
 
 
+def banding(percent: int) -> tuple[int, int]:
+    """Bands and rows a band for a threshold: as many rows as still need few bands."""
+    if percent >= 100:
+        return 1, MOST_ROWS
+    for rows in range(MOST_ROWS, 0, -1):
+        bands = math.ceil(math.log(MISSED) / math.log1p(-((max(percent, 1) / 100) ** rows)))
+        if bands <= MANY_BANDS:
+            break
+    return bands, rows
+
+
 def _sign(width: int, bands: int, rows: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -192,30 +205,121 @@ def _possible(ids: DataFrame):
     return lambda column: hit(F.pmod(F.xxhash64(column), F.lit(FILTER_BITS)))
 
 
+def _shared_rarities(spokes: DataFrame, percent: int) -> DataFrame:
+    """hub, item, node and sizes: spokes of a hub that may be linked share one of these rows' items.
+
+    With D(x) for what x and its hub do not share, x and y differ in exactly what D(x) and D(y) do
+    not share. So a link needs an overlap: 2 t |D(x) & D(y)| >= G(x) + G(y), where t = 100 + percent
+    and G(x) = t |D(x)| - (100 - percent) n(x). It is at least 1 where one of them is not linked
+    with the hub. Two sets with an overlap of c share an item of their first |D| - c + 1, in any
+    common order; here the rarest of the hub's items come first. The least G of the possible
+    partners gives a c that holds for all of them.
+    """
+    total = 100 + percent
+    sized = spokes.select(
+        "hub", "node", "label", "linked", "n", "n_hub", F.size("more").alias("n_more"),
+        F.size("less").alias("n_less"), F.concat("more", "less").alias("items"),
+    ).withColumn("gap", F.expr(f"{total}L * (n_more + n_less) - {100 - percent} * n"))
+    least = sized.groupBy("hub").agg(
+        F.min("gap").alias("any_gap"), F.min(F.expr("if(linked, null, gap)")).alias("open_gap")
+    ).filter("open_gap is not null")
+    sized = sized.join(least, "hub").withColumn("need", F.expr(
+        f"greatest(1, ceil((gap + if(linked, open_gap, any_gap)) / {2 * total}))"
+    )).withColumn("first", F.expr("n_more + n_less - need + 1")).filter("first > 0")
+    items = sized.select("hub", "node", F.explode("items").alias("item"))
+    often = items.groupBy("hub", "item").count().filter("count > 1")
+    chosen = items.join(often, ["hub", "item"]).groupBy("hub", "node").agg(
+        F.array_sort(F.collect_list(F.struct("count", "item"))).alias("order")
+    )
+    # Items that no other spoke has come first of all; they fill the first places, but join nothing.
+    return (
+        sized.drop("items").join(chosen, ["hub", "node"])
+        .withColumn("places", F.expr("cast(first - (n_more + n_less - size(order)) as int)"))
+        .filter("places > 0")
+        .select("hub", "node", "linked", "n", "n_hub", "n_more", "n_less",
+                F.explode(F.slice("order", F.lit(1), F.col("places"))).alias("o"))
+        .withColumn("item", F.col("o.item")).drop("o")
+    )
+
+
+def _pairs(rare: DataFrame, labels: DataFrame, percent: int, star: bool) -> DataFrame:
+    """hub, x, y: pairs with an item in common whose labels differ and whose sizes allow a link.
+
+    As a star, each item's nodes meet the smallest of them only. Else, nodes of another label than
+    the smallest meet all nodes: of two labels in an item one is not the smallest's.
+    """
+    rows = rare.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    by_item = rows.groupBy("hub", "item").agg(
+        F.min("node").alias("centre"), F.min_by("label", "node").alias("main"),
+        F.min("label").alias("lowest"), F.max("label").alias("highest"),
+    ).filter("lowest < highest").drop("lowest", "highest")
+    rows = rows.join(by_item, ["hub", "item"])
+    x, y = rows.filter("label <> main").alias("x"), rows.alias("y")
+    if star:
+        y = rows.filter("node = centre").alias("y")
+        once = F.lit(True)
+    else:
+        once = F.expr("y.label = y.main or x.node < y.node")
+    fits = (
+        F.expr("not (x.linked and y.linked)")
+        & F.expr(f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)")
+        & F.expr(f"{100 + percent} * (least(x.n_hub - x.n_less, y.n_hub - y.n_less)"
+                 f" + least(x.n_more, y.n_more)) >= {percent} * (x.n + y.n)")
+    )
+    return x.join(
+        y, (F.col("x.hub") == F.col("y.hub")) & (F.col("x.item") == F.col("y.item"))
+        & (F.col("x.label") != F.col("y.label")) & once & fits
+    ).select("x.hub", F.col("x.node").alias("x"), F.col("y.node").alias("y")).distinct()
+
+
+def _new_links(pairs, spokes, texts, width, percent) -> DataFrame:
+    """a, b of the pairs that are linked: by their differences to the hub, then by their texts."""
+    sides = spokes.select("hub", "node", "n_hub", "n", "lost", "fold", "more", "less")
+    x, y, p = sides.alias("x"), sides.alias("y"), pairs.alias("p")
+    likely = (
+        p.join(x, (F.col("p.hub") == F.col("x.hub")) & (F.col("p.x") == F.col("x.node")))
+        .join(y, (F.col("p.hub") == F.col("y.hub")) & (F.col("p.y") == F.col("y.node")))
+        .filter(_may_link(percent))
+        .select(F.least("p.x", "p.y").alias("a"), F.greatest("p.x", "p.y").alias("b")).distinct()
+    )
+    return (
+        likely.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+        .join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+        .select("a", "b", "text_a", "text_b")
+        .mapInPandas(_confirm(width, percent), "a long, b long")
+    )
+
+
 def near_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5,
-    percent: int = 80, bands: int = BANDS, rows: int = ROWS,
+    percent: int = 80, bands: int | None = None, rows: int | None = None,
 ) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per input row.
 
     Links documents whose sets of ``width``-word shingles share at least ``percent`` of their
-    union. ``component_id`` is the smallest id reachable over links. A null or blank text has no
-    shingles and no links. Rows with the same id are the same document; a row without id links
-    only with its copies (``component_id`` null if none has an id). No cap on buckets or pairs.
+    union. ``component_id`` is the smallest id reachable over links, null where no linked row has
+    one. A null or blank text has no shingles and no links. Rows with the same id are the same
+    document; a row without id is linked by its text like any other, and is kept where its group
+    has no id. ``bands`` and ``rows`` follow from ``percent`` (``banding``). No cap on buckets or
+    pairs.
 
     Documents with the same words are one node. In each bucket the smallest and the largest node
     are hubs; every other node is compared with both, so a bucket makes two pairs per row. Nodes
-    linked with one hub are in one group, whatever the pairs among them. A node that is not linked
-    with its smallest hub is then compared with that hub's other nodes, where their labels still
-    differ, by what sets each apart from the hub: a few numbers refute nearly all, the differences
-    decide the rest. So each pair of a bucket is linked, refuted or joined through others. Links
-    are confirmed on the whole sets of words.
+    linked with one hub are in one group, whatever the pairs among them. Nodes that their smallest
+    hub does not explain are compared with its other nodes where they share rare differences from
+    it: first in stars, then, where labels still differ, pair by pair. So each pair of a bucket is
+    linked, refuted or joined through others. Links are confirmed on the whole sets of words.
     """
-    return _members(docs, id_col, text_col, width, percent, bands, rows).drop("raw")
+    return _members(docs, id_col, text_col, width, percent, bands, rows).drop("raw", "group")
 
 
-def _members(docs, id_col, text_col, width, percent, bands=BANDS, rows=ROWS) -> DataFrame:
-    """``near_groups`` and the hash of each row's text."""
+def _members(docs, id_col, text_col, width, percent, bands=None, rows=None) -> DataFrame:
+    """``near_groups``, the hash of each row's text, and a number of its group that is never null
+    where the text has words."""
+    if bands is None or rows is None:
+        bands, rows = banding(percent)
+    # Stands for the id of a row without one.
+    own = F.coalesce(F.col("doc_id"), F.xxhash64("raw"))
     source = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"),
         F.unhex(F.md5(F.col(text_col))).alias("raw"),
@@ -223,22 +327,31 @@ def _members(docs, id_col, text_col, width, percent, bands=BANDS, rows=ROWS) ->
     signed = stored(source.withColumn("doc_id", id_text("doc_id")).mapInPandas(
         _sign(width, bands, rows),
         "doc_id string, raw binary, digest binary, n_shingles long, bands array<long>",
-    ).withColumn("doc_id", F.col("doc_id").cast("long")), "signatures")
+    ).withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("own", own), "signatures")
+    some = signed.filter("n_shingles > 0")
     classes = stored(
-        signed.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("node")),
-        "word-classes",
+        some.groupBy("digest").agg(
+            F.coalesce(F.min("doc_id"), F.min("own")).alias("node"),
+            F.min("doc_id").isNotNull().alias("named"),
+        ), "word-classes",
     )
-    nodes = (
-        signed.filter("doc_id is not null and n_shingles > 0").join(
-            classes.withColumnRenamed("node", "doc_id"), ["digest", "doc_id"]
-        ).dropDuplicates(["doc_id", "digest"]).withColumnRenamed("doc_id", "node")
+    nodes = some.join(
+        classes.select("digest", F.col("node").alias("own")), ["digest", "own"]
+    ).dropDuplicates(["own", "digest"]).withColumnRenamed("own", "node")
+    labels = _linked(source.withColumn("node", own), nodes, width, percent)
+    labels = labels.withColumn("first", F.col("label"))
+    if not classes.filter("not named").isEmpty():
+        names = labels.join(classes.filter("named").select("node").distinct(), "node").groupBy(
+            "label").agg(F.min("node").alias("first"))
+        labels = labels.drop("first").join(names, "label", "left")
+    members = signed.join(classes, "digest", "left").select(
+        "doc_id", "n_shingles", "raw", "named",
+        F.when(F.col("n_shingles") > 0, F.col("node")).otherwise(F.col("doc_id")).alias("node"),
     )
-    labels = _linked(source, nodes, width, percent)
-    members = signed.join(classes, "digest", "left").withColumn(
-        "node", F.when(F.col("n_shingles") > 0, F.col("node")).otherwise(F.col("doc_id"))
-    ).select("doc_id", "n_shingles", "node", "raw")
+    alone = F.expr("if(coalesce(named, true), node, null)")
     return members.join(labels, "node", "left").select(
-        "doc_id", "n_shingles", "raw", F.coalesce("label", "node").alias("component_id"),
+        "doc_id", "n_shingles", "raw", F.coalesce("label", "node").alias("group"),
+        F.when(F.col("label").isNull(), alone).otherwise(F.col("first")).alias("component_id"),
     ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
@@ -258,8 +371,7 @@ def _linked(source: DataFrame, nodes: DataFrame, width: int, percent: int) -> Da
     possible = _possible(some)
     wanted = nodes.select("node", "raw").join(some, "node", "left_semi")
     texts = stored(
-        source.filter("doc_id is not null").filter(possible(F.col("doc_id")))
-        .withColumnRenamed("doc_id", "node").join(wanted, ["node", "raw"], "left_semi")
+        source.filter(possible(F.col("node"))).join(wanted, ["node", "raw"], "left_semi")
         .dropDuplicates(["node", "raw"]).select("node", "text"), "candidate-texts",
     )
     spokes = stored(
@@ -270,24 +382,18 @@ def _linked(source: DataFrame, nodes: DataFrame, width: int, percent: int) -> Da
     )
     edges = spokes.filter("linked").select(F.col("hub").alias("a"), F.col("node").alias("b"))
     labels = components(edges)
-    spokes = stored(
-        spokes.filter("low").join(labels, "node", "left")
-        .withColumn("label", F.coalesce("label", "node")), "labelled",
-    )
-    x, y = spokes.filter("not linked").alias("x"), spokes.alias("y")
-    pairs = x.join(
-        y, (F.col("x.hub") == F.col("y.hub")) & (F.col("x.label") != F.col("y.label"))
-        & (F.col("y.linked") | (F.col("x.node") < F.col("y.node"))) & _may_link(percent)
-    ).select(
-        F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")
-    ).distinct()
-    more = stored(
-        pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-        .join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-        .select("a", "b", "text_a", "text_b")
-        .mapInPandas(_confirm(width, percent), "a long, b long"), "links",
-    )
-    return labels if more.isEmpty() else components(edges.unionByName(more))
+    spokes = spokes.filter("low").drop("low")
+    spokes = spokes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    rare = stored(_shared_rarities(spokes, percent), "rarities")
+    if rare.isEmpty():
+        return labels
+    for star in (True, False):
+        pairs = _pairs(rare, labels, percent, star)
+        more = stored(_new_links(pairs, spokes, texts, width, percent), "links")
+        if not more.isEmpty():
+            edges = edges.unionByName(more)
+            labels = components(edges)
+    return labels
 
 
 def drop_near(
@@ -296,20 +402,22 @@ def drop_near(
 ) -> DataFrame:
     """The rows of ``docs`` that stay, all columns: one document per group.
 
-    Of rows without an id one stays per text, unless a copy with an id does.
+    Of a group without any id one row stays.
     """
-    kept = stored(
-        _members(docs, id_col, text_col, width, percent).filter("kept").select("doc_id", "raw"),
-        "kept",
+    members = stored(
+        _members(docs, id_col, text_col, width, percent).filter("kept")
+        .select("doc_id", "raw", "group"), "kept",
     )
     rows = docs.select(
         F.col(id_col).cast("long").alias("id"), F.unhex(F.md5(F.col(text_col))).alias("raw"),
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
     )
-    ids = kept.filter("doc_id is not null").select(F.col("doc_id").alias("id")).distinct()
-    texts = kept.filter("doc_id is null").select("raw").distinct()
-    nameless = rows.filter("id is null")
-    nameless = nameless.join(texts, nameless["raw"].eqNullSafe(texts["raw"]), "left_semi")
+    ids = members.filter("doc_id is not null").select(F.col("doc_id").alias("id")).distinct()
+    nameless = members.filter("doc_id is null")
+    texts = nameless.filter("group is not null").groupBy("group").agg(F.min("raw").alias("raw")).select(
+        "raw").unionByName(nameless.filter("group is null").select("raw").distinct())
+    others = rows.filter("id is null")
+    others = others.join(texts, others["raw"].eqNullSafe(texts["raw"]), "left_semi")
     return rows.join(ids, "id", "left_semi").select("row.*").unionByName(
-        nameless.dropDuplicates(["raw"]).select("row.*")
+        others.dropDuplicates(["raw"]).select("row.*")
     )

@@ -117,6 +117,67 @@ def test_near_groups_with_null_and_repeated_ids(spark):
                           (None, None, True), (9, 9, True)], key=str)
 
 
+def test_near_groups_link_rows_without_id(spark):
+    """Near copies without an id follow the smallest id of their group; a group without any id
+    has none, and one of its rows stays."""
+    rng = random.Random(8)
+    texts = [" ".join(words_of(rng, 60)) for _ in range(2)]
+    near_copy = [t + " end" for t in texts]
+    docs = spark.createDataFrame(
+        [(7, texts[0]), (None, near_copy[0]), (9, near_copy[0] + " more"),
+         (None, texts[1]), (None, near_copy[1]), (None, near_copy[1])], SCHEMA)
+    got = sorted(((r.doc_id, r.component_id, r.kept) for r in near.near_groups(docs).collect()), key=str)
+    assert got == sorted([(7, 7, True), (None, 7, False), (9, 7, False)] + [(None, None, True)] * 3, key=str)
+    left = near.drop_near(docs).collect()
+    assert len(left) == 2 and {r.doc_id for r in left} == {7, None}
+
+
+def spokes_of(spark, hub, texts):
+    rows = [(0, i, True, hub, t) for i, t in enumerate(texts, 1)]
+    return spark.createDataFrame(
+        rows, "hub long, node long, low boolean, hub_text string, text string").coalesce(1).mapInPandas(
+        near._compare(3, 85), near.COMPARED).drop("low").withColumn("label", F.col("node"))
+
+
+def test_shared_rarities_find_every_link_around_a_hub(spark):
+    """Families around one hub, from near to far: no linked pair that the hub leaves open is missed."""
+    rng = random.Random(11)
+    base = words_of(rng, 70)
+    texts = []
+    for edits in (1, 4, 7, 12):
+        centre = edited(rng, base, edits)
+        texts += [" ".join(edited(rng, centre, rng.randrange(4))) for _ in range(12)]
+    spokes = spokes_of(spark, " ".join(base), texts)
+    linked = {r.node for r in spokes.filter("linked").collect()}
+    rare = near._shared_rarities(spokes, 85)
+    none = spark.createDataFrame([], "node long, label long")
+    got = {tuple(sorted((r.x, r.y))) for r in near._pairs(rare, none, 85, star=False).collect()}
+    sets = [shingles(t, 3) for t in texts]
+    want = set()
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if {i + 1, j + 1} - linked and sets[i] != sets[j] and 100 * both >= 85 * (
+                    len(sets[i]) + len(sets[j]) - both):
+                want.add((j + 1, i + 1))
+    assert want and linked and want <= got
+
+
+def test_a_family_of_similar_pages_makes_no_pairs(spark):
+    """Pages of one template with words of their own, at a similarity of 0.74: no candidates."""
+    texts = [" ".join([f"t{k}" for k in range(100)] + [f"o{i}x{k}" for k in range(17)]) for i in range(300)]
+    rare = near._shared_rarities(spokes_of(spark, texts[0], texts[1:]), 85)
+    assert rare.isEmpty()
+
+
+def test_bands_follow_the_threshold():
+    assert near.banding(85) == (42, 6) and near.banding(80) == (66, 6)
+    for percent in (30, 50, 70, 80, 85, 90, 99):
+        bands, rows = near.banding(percent)
+        assert (1 - (percent / 100) ** rows) ** bands <= near.MISSED
+    assert near.banding(100) == (1, 6)
+
+
 def test_drop_near_keeps_columns_and_clean_documents(spark):
     docs = spark.createDataFrame(
         [(1, "a b c d e f", 1, "k"), (2, "a b c d e f", 2, "l"), (3, "p q r s t u", 3, "m"), (4, None, 4, "n")],

@@ -60,6 +60,27 @@ def test_folded_weights_equal_the_kernel_sum():
     unit = rows / np.sqrt(rows.sum(1, keepdims=True))
     values = unit @ weights
     assert names == ["a", "b"] and (values.argmax(1) == np.repeat([0, 1], 20)).all()
+    sets = [set(np.flatnonzero(line)) for line in rows]
+    kernel = np.array([[len(x & y) / np.sqrt(len(x) * len(y)) for y in sets] for x in sets])
+    left = kernel.T @ kernel + langid.RIDGE * kernel
+    left += 1e-6 * np.eye(40) * max(1.0, np.trace(left) / 40)
+    goal = np.array([[1.0, -1.0]] * 20 + [[-1.0, 1.0]] * 20)
+    expansion = kernel @ np.linalg.solve(left, kernel.T @ goal)
+    assert np.abs(values - expansion).max() < 1e-3
+
+
+def test_foreign_texts_are_told_from_learned_languages(spark):
+    """Long texts of other alphabets are foreign; learned languages and short texts are not."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text", "lang")
+    model = langid.learn(docs)
+    got = langid.predict(docs, model)
+    assert got.filter("foreign").count() == 0
+    russian = "Это проверочный текст на русском языке, он написан чтобы посмотреть на оценку. " * 3
+    code = "7f3a 99c0 b1de 04aa e5f6 " * 2 + "".join(f"{i * 7919:x} " for i in range(1, 200))
+    rows = [(1, russian), (2, code), (3, "Это"), (4, None), (5, "")]
+    told = {r.doc_id: r.foreign for r in langid.predict(
+        spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert told == {1: True, 2: True, 3: False, 4: False, 5: False}
 
 
 def test_licenses(spark):

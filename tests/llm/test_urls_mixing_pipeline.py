@@ -1,6 +1,7 @@
 """URL verdicts, source mixing and the corpus pipeline."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from rillcask.llm import mixing, queries, urls
@@ -93,6 +94,17 @@ def test_mixing_with_repeated_and_null_ids_and_of_nothing(spark):
     assert {r.size * r.times for r in mixing.mixture(blank).collect()} == {0}
 
 
+def test_language_stage_rejects_what_the_classifier_puts_outside(spark):
+    """Long texts of no learned language go although they have letters; all clean ones stay."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    strange = "Αυτό είναι ένα κείμενο στα ελληνικά για να δούμε την βαθμολογία του ταξινομητή. "
+    more = docs.limit(1).withColumn("doc_id", F.lit(10**6).cast("long")).withColumn(
+        "text", F.lit(strange * 4)).withColumn("lang", F.lit(None).cast("string"))
+    got = {r.doc_id for r in corpus_pipeline.language(spark, docs.unionByName(more), FOLDER).collect()}
+    clean = {r.doc_id for r in docs.collect() if r.text and any(c.isalpha() for c in r.text)}
+    assert got == clean
+
+
 def test_pipeline_equals_its_steps_in_plain_python(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{FOLDER}/documents.parquet").select(
         "doc_id", "text", "source").collect()]
