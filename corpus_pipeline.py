@@ -13,10 +13,12 @@ CAPACITY = 2048  # words of a bin
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; those of no language (null, no letter) go."""
+    """Documents of a learned language; those without a letter go, and those that the classifier puts
+    outside every language it has learned (short ones, which it can't tell, stay)."""
     model = langid.learn(docs.filter(~langid.held_out(F.col("doc_id"), 4, 2)))
     rows = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    return langid.predict(rows, model).filter(F.col("lang_pred") != langid.UNKNOWN).select("row.*")
+    told = langid.predict(rows, model)
+    return told.filter((F.col("lang_pred") != langid.UNKNOWN) & ~F.col("foreign")).select("row.*")
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
