@@ -105,6 +105,7 @@ def _sign(width: int, bands: int, rows: int):
 
 
 FOLDS = 4  # 64-bit words that hold a fold of a difference
+FOLDED = "+".join(f"bit_count(x.fold[{i}] & y.fold[{i}])" for i in range(FOLDS))
 
 
 def _fold(items: np.ndarray) -> tuple[list[int], int]:
@@ -173,11 +174,10 @@ def _may_link(percent: int):
     need = F.expr(f"{percent} * (x.n + y.n)")
     total = 100 + percent
     in_hub = F.expr("least(x.n_hub - size(x.less), y.n_hub - size(y.less))")
-    folds = "+".join(f"bit_count(x.fold[{i}] & y.fold[{i}])" for i in range(FOLDS))
     return (
         F.expr(f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)")
         & (total * (in_hub + F.expr("least(size(x.more), size(y.more))")) >= need)
-        & (total * (in_hub + F.expr(f"{folds} + least(x.lost, y.lost)")) >= need)
+        & (total * (in_hub + F.expr(f"{FOLDED} + least(x.lost, y.lost)")) >= need)
         & (total * F.expr(
             "x.n_hub - size(x.less) - size(y.less) + size(array_intersect(x.less, y.less))"
             " + size(array_intersect(x.more, y.more))") >= need)
@@ -213,11 +213,12 @@ def _shared_rarities(spokes: DataFrame, percent: int) -> DataFrame:
     and G(x) = t |D(x)| - (100 - percent) n(x). It is at least 1 where one of them is not linked
     with the hub. Two sets with an overlap of c share an item of their first |D| - c + 1, in any
     common order; here the rarest of the hub's items come first. The least G of the possible
-    partners gives a c that holds for all of them.
+    partners gives a c that holds for all of them. ``rest`` counts the items from this one on that
+    another spoke has too: two sets whose first common item it is share no more.
     """
     total = 100 + percent
     sized = spokes.select(
-        "hub", "node", "label", "linked", "n", "n_hub", F.size("more").alias("n_more"),
+        "hub", "node", "linked", "n", "n_hub", "fold", "lost", F.size("more").alias("n_more"),
         F.size("less").alias("n_less"), F.concat("more", "less").alias("items"),
     ).withColumn("gap", F.expr(f"{total}L * (n_more + n_less) - {100 - percent} * n"))
     least = sized.groupBy("hub").agg(
@@ -236,14 +237,16 @@ def _shared_rarities(spokes: DataFrame, percent: int) -> DataFrame:
         sized.drop("items").join(chosen, ["hub", "node"])
         .withColumn("places", F.expr("cast(first - (n_more + n_less - size(order)) as int)"))
         .filter("places > 0")
-        .select("hub", "node", "linked", "n", "n_hub", "n_more", "n_less",
-                F.explode(F.slice("order", F.lit(1), F.col("places"))).alias("o"))
-        .withColumn("item", F.col("o.item")).drop("o")
+        .select("hub", "node", "linked", "n", "n_hub", "n_more", "n_less", "gap", "fold", "lost",
+                F.size("order").alias("shared"),
+                F.posexplode(F.slice("order", F.lit(1), F.col("places"))).alias("at", "o"))
+        .withColumn("item", F.col("o.item")).withColumn("rest", F.expr("shared - at"))
+        .drop("o", "at", "shared")
     )
 
 
 def _pairs(rare: DataFrame, labels: DataFrame, percent: int, star: bool) -> DataFrame:
-    """hub, x, y: pairs with an item in common whose labels differ and whose sizes allow a link.
+    """hub, x, y: pairs with an item in common whose labels differ and whose numbers allow a link.
 
     As a star, each item's nodes meet the smallest of them only. Else, nodes of another label than
     the smallest meet all nodes: of two labels in an item one is not the smallest's.
@@ -265,6 +268,9 @@ def _pairs(rare: DataFrame, labels: DataFrame, percent: int, star: bool) -> Data
         & F.expr(f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)")
         & F.expr(f"{100 + percent} * (least(x.n_hub - x.n_less, y.n_hub - y.n_less)"
                  f" + least(x.n_more, y.n_more)) >= {percent} * (x.n + y.n)")
+        & F.expr(f"{2 * (100 + percent)}L * least(x.rest, y.rest) >= x.gap + y.gap")
+        & F.expr(f"{100 + percent} * (least(x.n_hub - x.n_less, y.n_hub - y.n_less)"
+                 f" + {FOLDED} + least(x.lost, y.lost)) >= {percent} * (x.n + y.n)")
     )
     return x.join(
         y, (F.col("x.hub") == F.col("y.hub")) & (F.col("x.item") == F.col("y.item"))
