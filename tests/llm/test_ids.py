@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from rillcask.llm import alignment, licenses, near, packing, repeats, tokens
+from rillcask.llm import alignment, licenses, mixlm, near, packing, repeats, tokens
 
 BIG = 2**60 + 1
 DOCS = [(BIG, "one two three four five six seven"), (BIG - 1, "eight nine ten eleven twelve thirteen"),
@@ -27,6 +27,7 @@ def test_each_operator_returns_the_ids(docs):
     assert ids(near.near_groups(docs)) == WANTED
     assert ids(licenses.license_scan(docs)) == WANTED
     assert ids(packing.pack(docs, 100)) == WANTED
+    assert ids(mixlm.score_texts(docs, F.lit(False))) == WANTED
     assert ids(repeats.find_repeats(docs)) == WANTED
     assert ids(alignment.align_tokens(docs)[0]) == WANTED
     packed = tokens.packed_tokens(docs).select(F.explode("segments").alias("s")).select("s.doc_id")

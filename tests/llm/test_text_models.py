@@ -197,17 +197,50 @@ def test_language_model_is_a_distribution():
 
 
 def test_whole_word_predictors_learn_every_count():
-    """A word seen twice in each of eight topics counts 16 times without the topic, twice with it."""
+    """A word seen twice in each of eight topics counts 16 times without the topic, twice with it:
+    short contexts in the shared tables, longer ones in the group's own."""
     keys = [bytes((65 + t,)) + b"zebra" for t in range(8)]
     rows = pd.DataFrame({"words": [mixlm._pressed(keys)], "counts": [mixlm._thin(np.full(8, 2))]})
     table = np.zeros(mixlm.OFFSETS[-1] * 2, np.int64)
     for piece in mixlm._fill(iter([rows])):
         some = mixlm._wide(piece["counts"][0], np.int64)
         table[piece["piece"][0] :][: len(some)] = some
-    slots, bits, *_ = mixlm.events(*mixlm.laid_out(keys))
-    for (size, by_topic), own in zip(mixlm.CONTEXTS, slots):
+    (numbers, depths), = mixlm.grouped(keys)
+    assert numbers.tolist() == list(range(8)) and set(depths) == {mixlm.DEPTH}
+    slots, bits, _, place, _ = mixlm.events(*mixlm.laid_out(keys), depths)
+    own = mixlm.own_counts(slots, bits, np.full(len(bits), 2)).reshape(-1)
+    table = np.r_[table, own]
+    for (size, by_topic), at in zip(mixlm.CONTEXTS, slots):
         if size is None:
-            assert table[own * 2 + bits].min() == (2 if by_topic else 16)
+            assert ((at >= mixlm.OFFSETS[-1]) == (place - 2 >= mixlm.DEPTH)).all()
+            assert set(table[at * 2 + bits]) == {2 if by_topic else 16}
+
+
+def test_contexts_of_a_group_occur_in_no_other():
+    """Words that begin alike, more of them than a group holds, are cut at greater depths."""
+    rng = random.Random(5)
+    words = {"http" + "".join(rng.choice("abc") for _ in range(rng.randrange(12))) for _ in range(900)}
+    words |= {"".join(rng.choice("xyz") for _ in range(rng.randrange(1, 9))) for _ in range(300)} | {""}
+    keys = sorted((b"A" + w.encode() for w in words), key=zlib.crc32)
+    groups = list(mixlm.grouped(keys, 64))
+    assert sorted(i for numbers, _ in groups for i in numbers) == list(range(len(keys)))
+    seen: dict = {}
+    for g, (numbers, depths) in enumerate(groups):
+        assert len(numbers) <= 64 and (np.diff(numbers) > 0).all()
+        for i, depth in zip(numbers, depths):
+            for n in range(depth, len(keys[i])):
+                assert seen.setdefault(keys[i][1 : n + 1], g) == g
+
+
+def test_language_model_beats_single_words(spark):
+    """Held-out texts cost less than under the base, those without unknown words too, and so do
+    learned ones."""
+    from rillcask.llm import queries
+
+    rows = queries.QUERIES["op7_context_mixing"](spark, "/root/testdata/sf0.01").toPandas()
+    held = rows["held_out"]
+    for some in (held, held & (rows["n_known"] == rows["n_tokens"]), ~held):
+        assert rows.loc[some, "score"].sum() > rows.loc[some, "base_score"].sum()
 
 
 def test_topics_are_fitted_on_all_learned_texts(spark, monkeypatch):
