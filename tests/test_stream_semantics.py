@@ -281,3 +281,45 @@ def test_the_shared_folder_is_the_one_the_session_names(spark):
     assert shared_dir(spark) == named
     assert new_folder(spark, "x").startswith(f"{named}/x-")
     assert spark.sparkContext.getCheckpointDir().removeprefix("file:").startswith(named)
+
+
+def test_sinks_at_an_interval_take_files_that_come_later(spark):
+    """With ``every`` the query stays up; stopped and started again it repeats nothing."""
+    path, out, state = (new_folder(spark, name) for name in ("every-in", "every-out", "every-state"))
+
+    def put(part):
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").json(path)
+
+    def run():
+        return sinks.write_append(read_stream(spark, path, SCHEMA, "json"), out, state, every="1 second")
+
+    put(FILES[0])
+    query = run()
+    try:
+        query.processAllAvailable()
+        assert spark.read.parquet(out).count() == 2 and query.isActive
+        put(FILES[1])
+        query.processAllAvailable()
+        assert spark.read.parquet(out).count() == 4
+    finally:
+        query.stop()
+    put(FILES[2])
+    query = run()
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    got = sorted(tuple(r) for r in spark.read.parquet(out).select("id", "k", "at", "v").collect())
+    assert got == sorted(r for part in FILES for r in part)
+
+
+def test_append_time_of_files_as_event_time(spark):
+    """When a file came is a time like any other: windows over it hold all of its rows."""
+    source = with_record_metadata(read_stream(spark, write_files(spark, FILES), SCHEMA, "json"))
+    marked = times.watermark(source.withColumnRenamed("source_timestamp", "came"), "came", "5 seconds")
+    counts = windows.tumbling(marked, "came", "1 day", [], {"n": F.count(F.lit(1))})
+    name, state = "append_time_counts", new_folder(spark, "came-state")
+    query = counts.writeStream.format("memory").queryName(name).outputMode("complete").option(
+        "checkpointLocation", state).trigger(availableNow=True).start()
+    query.awaitTermination(60)
+    assert spark.table(name).agg(F.sum("n")).first()[0] == 6
