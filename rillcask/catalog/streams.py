@@ -12,7 +12,7 @@ from rillcask.operators import dedup, joins, rows, sets, sketches
 from rillcask.operators.aggregates import count_where, int_average
 from rillcask.operators.rows import prefix_columns
 from rillcask.plans import traffic_kpis as traffic
-from rillcask.session import new_folder
+from rillcask.session import new_folder, rocksdb_state
 from rillcask.sources.streams import read_stream, stream_query
 from rillcask.streaming import events as times
 from rillcask.streaming import lifetimes, ranking, sequences, sinks, temporal, upsert, windows
@@ -346,7 +346,8 @@ def stream_lasting_join(spark, folder):
         _side(rows_, "view", "v_"), _side(rows_, "purchase", "p_"), [("v_user_id", "p_user_id")],
         "v_user_id", "p_event_id", "v_ts", "p_ts", "12 hours", "2 hours",
     )
-    done = sinks.run_append(out, "lasting")
+    with rocksdb_state(spark):
+        done = sinks.run_append(out, "lasting")
     return plain_times(done.select(F.col("p_user_id").alias("user_id"), "v_event_id", "p_event_id", "at"), "at")
 
 

@@ -69,7 +69,8 @@ def lasting_join(
     ids. ``at`` is the time of the row that arrived. Lives are counted in event time, so results do
     not depend on how fast the stream is read; rows of one batch are taken in the order of their
     time. State is dropped when the watermark passes the end of a life. Both sides need a
-    watermark; keys and ids that are null match nothing.
+    watermark; keys and ids that are null match nothing. Only Spark's RocksDB store can hold this
+    state: in a session with another store, start the stream inside ``session.rocksdb_state``.
     """
     def one(df: DataFrame, side: int, keys: list[str], own: str, ts: str) -> DataFrame:
         kinds = [left, right]

@@ -6,12 +6,14 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from rillcask import catalog
 from rillcask.operators import sets
-from rillcask.session import new_folder
+from rillcask.session import STATE_STORE, new_folder
 from rillcask.sources.streams import read_stream
 from rillcask.streaming import events as times
 from rillcask.streaming import lifetimes, ranking, sinks
 from rillcask.streaming.upsert import BATCH, UpsertTable, write_table
+from tests.oracle import compare, connect
 
 SCHEMA = "k string, at int, v bigint, gone boolean"
 
@@ -180,3 +182,18 @@ def test_lives_end_and_are_renewed(spark):
     assert got == [(3, big, "l3", "r1"), (big, big, "l2", "r1")]
     held = [p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators]
     assert max(held) > held[-1]
+
+
+def test_lasting_join_in_a_session_with_another_state_store(spark):
+    """Spark's own default store cannot hold map state; the session's setting is left as it was."""
+    catalog.load()
+    folder, name = "/root/testdata/sf0.001", "stream_lasting_join"
+    other = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+    before = spark.conf.get(STATE_STORE)
+    spark.conf.set(STATE_STORE, other)
+    try:
+        got = compare(spark, connect(folder), folder, catalog.QUERIES[name], catalog.SQL[name])
+        assert got["match"] is True, got
+        assert spark.conf.get(STATE_STORE) == other
+    finally:
+        spark.conf.set(STATE_STORE, before)
