@@ -62,18 +62,23 @@ class Hashes:
     def of(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         return _mixed((self.sums[end] - self.sums[begin]) * self.down[begin])
 
+    def every(self, width: int) -> np.ndarray:
+        """``of`` for the ``width`` bytes from every place on."""
+        x = self.sums[width:] - self.sums[:-width]
+        x *= self.down[: len(x)]
+        return _mixed(x)
+
 
 def _lowest(v: np.ndarray, width: int) -> np.ndarray:
-    """Offset of the leftmost smallest of ``width`` values, from every place on."""
-    offset, size = np.zeros(len(v), np.int32), 1
+    """Place of the leftmost smallest of ``width`` 32-bit values, from every place on."""
+    # the place in the low half makes the leftmost the smallest of equal values
+    v = v.astype(np.uint64) << np.uint64(32) | np.arange(len(v), dtype=np.uint64)
+    size = 1
     while size < width:
         step = min(size, width - size)
-        left, right = v[: len(v) - step], v[step:]
-        better = right < left
-        offset = np.where(better, offset[step:] + step, offset[: len(left)])
-        v = np.where(better, right, left)
+        v = np.minimum(v[: len(v) - step], v[step:])
         size += step
-    return offset
+    return (v & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
 def _runs(change: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -92,26 +97,33 @@ def _merged(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return begin[first], far[last]
 
 
-def _anchors(data: np.ndarray, sizes: np.ndarray, length: int, gram: int, hashes) -> tuple:
-    """Rows (document, first window, windows, anchor, gram id, two ids of all their bytes)."""
-    one, two = hashes
-    for h in hashes:
-        h.load(data)
-    places = np.arange(len(data) - gram + 1)
-    grams = one.of(places, places + gram)
-    offset = _lowest((grams >> np.uint64(32)).astype(np.uint32), length - gram + 1)
+def _places(data: np.ndarray, sizes: np.ndarray, length: int, gram: int, one: Hashes) -> tuple:
+    """Rows (document, first window, windows, anchor, gram id)."""
+    one.load(data)
+    grams = one.every(gram)
+    lowest = _lowest(grams >> np.uint64(32), length - gram + 1)
+    # windows start where the rest of the document is as long as they are
     ends = np.cumsum(sizes)
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    window = np.flatnonzero(np.arange(len(offset)) + length <= ends[owner[: len(offset)]])
-    anchor = window + offset[window]
+    starts = np.maximum(sizes - length + 1, 0)
+    before = np.cumsum(starts) - starts
+    window = np.arange(starts.sum()) + np.repeat(ends - sizes - before, starts)
+    anchor = lowest[window]
     change = np.ones(len(window), bool)
     change[1:] = (anchor[1:] != anchor[:-1]) | (window[1:] != window[:-1] + 1)
     first, count = _runs(change, len(window))
     begin, anchor = window[first], anchor[first]
+    doc = np.searchsorted(ends, begin, side="right")
+    return doc, begin, count, anchor, grams[anchor]
+
+
+def _anchors(data: np.ndarray, sizes: np.ndarray, length: int, gram: int, hashes) -> tuple:
+    """Rows (document, first window, windows, anchor, gram id, two ids of all their bytes)."""
+    one, two = hashes
+    doc, begin, count, anchor, h = _places(data, sizes, length, gram, one)
+    two.load(data)
     end = begin + count - 1 + length
     place = _mixed(((anchor - begin) * 65536 + count).astype(np.uint64))
-    doc = owner[begin] if len(begin) else np.empty(0, np.int64)
-    return doc, begin, count, anchor, grams[anchor], one.of(begin, end) ^ place, two.of(begin, end)
+    return doc, begin, count, anchor, h, one.of(begin, end) ^ place, two.of(begin, end)
 
 
 _ROWS = [("h", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("pos", pa.int32()),

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from rillcask.llm import repeats
@@ -117,3 +118,16 @@ def test_text_ids(spark):
     assert {r.key: [tuple(s) for s in r.spans] for r in got.collect()} == {
         "a": [(1, 30)], "b": [(0, 40)]
     }
+
+
+def test_places_of_the_leftmost_smallest_value():
+    """Ties go to the left, over any width; gram ids of every place are those of its bytes."""
+    rng = np.random.default_rng(3)
+    for width in (1, 2, 5, 69):
+        v = rng.integers(0, 4, 300).astype(np.uint64) + np.uint64(2**32 - 4)
+        want = [at + int(v[at : at + width].argmin()) for at in range(len(v) - width + 1)]
+        assert repeats._lowest(v, width).tolist() == want
+    hashes, data = repeats.Hashes(repeats._BASES[0], 64), rng.integers(0, 256, 500).astype(np.uint8)
+    hashes.load(data)
+    at = np.arange(len(data) - 32 + 1)
+    assert hashes.every(32).tolist() == hashes.of(at, at + 32).tolist()
