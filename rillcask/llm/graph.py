@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, stored_sum
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -21,11 +21,10 @@ def components(edges: DataFrame) -> DataFrame:
         .unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("near")))
         .distinct(), "edges",
     )
-    labels = stored(
+    labels, total = stored_sum(
         both.groupBy("node").agg(F.min("near").alias("low"))
-        .select("node", F.least("node", "low").alias("label")), "labels",
+        .select("node", F.least("node", "low").alias("label")), "labels", "label",
     )
-    total = None
     while True:
         heard = (
             both.join(labels.withColumnRenamed("node", "near"), "near")
@@ -36,10 +35,9 @@ def components(edges: DataFrame) -> DataFrame:
             "labels",
         )
         above = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        labels = stored(
-            labels.join(above, "label").select("node", F.col("up").alias("label")), "labels"
+        labels, now = stored_sum(
+            labels.join(above, "label").select("node", F.col("up").alias("label")), "labels", "label"
         )
-        now = labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
         if now == total:
             return labels
         total = now

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rillcask.llm import exact, graph, near
+from rillcask.llm.common import stored, stored_sum
 
 from .helpers import near_components, shingles
 
@@ -232,3 +233,28 @@ def test_components(spark):
 
 def test_shingles_of_helper():
     assert shingles("A b\x0bc d", 3) == {("a", "b", "c d")}
+
+
+def test_possible_ids_fill_one_bitmap_of_512_rows(spark, monkeypatch):
+    """No id of the table is missed, few others are hit, and the driver gets a row per 4 KB."""
+    ids = spark.range(0, 20_000, 2).withColumnRenamed("id", "node")
+    got = []
+    frame = type(ids)
+    collect = frame.collect
+    monkeypatch.setattr(frame, "collect", lambda self: got.append(collect(self)) or got[-1])
+    hit = near._possible(ids)
+    assert len(got) == 1 and len(got[0]) <= near.FILTER_BITS // near.BUCKET_BITS
+    hits = {r.node for r in spark.range(20_000).withColumnRenamed("id", "node").filter(hit(F.col("node"))).toLocalIterator()}
+    assert hits >= set(range(0, 20_000, 2)) and len(hits) < 10_100
+
+
+def test_components_of_stars_take_one_round(spark, monkeypatch):
+    """What is final at the start is seen to be final after one round, without a job for its sum."""
+    made = []
+    monkeypatch.setattr(graph, "stored", lambda df, label: made.append(label) or stored(df, label))
+    monkeypatch.setattr(graph, "stored_sum", lambda df, label, c: made.append(label) or stored_sum(df, label, c))
+    edges = spark.createDataFrame([(1, i) for i in range(2, 9)] + [(20, 21)], "a long, b long")
+    got = {r.node: r.label for r in graph.components(edges).collect()}
+    assert got == {**{i: 1 for i in range(1, 9)}, 20: 20, 21: 20}
+    assert made == ["edges", "labels", "labels", "labels"]
+    assert graph.components(edges.limit(0)).collect() == []

@@ -262,3 +262,16 @@ def test_language_model_of_nothing(spark):
     held = spark.createDataFrame([(1, "a b"), (None, None)], "doc_id long, text string")
     got = mixlm.score_texts(held, F.lit(True)).collect()
     assert len(got) == 2 and all(r.n_known == 0 and r.train_tokens == 0 for r in got)
+
+
+def test_fit_asks_for_few_rows_at_a_time():
+    """The driver never holds more than the landmarks' rows unpacked, and fits as on the whole."""
+    rng = np.random.default_rng(5)
+    rows, langs, asked = (rng.random((700, langid.SLOTS)) < 0.01).astype(np.uint8), ["a", "b"] * 350, []
+    bits = np.packbits(rows, axis=1)
+    names, weights = langid.fit_parts(
+        lambda at, to: asked.append(to - at) or np.unpackbits(bits[at:to], axis=1), len(bits), langs
+    )
+    whole = langid.fit(rows, langs)
+    assert names == whole[0] and np.array_equal(weights, whole[1])
+    assert max(asked) == langid.LANDMARKS
