@@ -275,3 +275,9 @@ def test_fit_asks_for_few_rows_at_a_time():
     whole = langid.fit(rows, langs)
     assert names == whole[0] and np.array_equal(weights, whole[1])
     assert max(asked) == langid.LANDMARKS
+
+
+def test_slots_of_many_words_are_those_of_each():
+    some = [b"", b"zebra", "größe".encode(), b"yak", b"zebra"]
+    assert mixlm.topic_slots(some).tolist() == [mixlm.topic_slot(w) for w in some]
+    assert mixlm.topic_slots([]).tolist() == []
