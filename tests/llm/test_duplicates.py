@@ -258,3 +258,47 @@ def test_components_of_stars_take_one_round(spark, monkeypatch):
     assert got == {**{i: 1 for i in range(1, 9)}, 20: 20, 21: 20}
     assert made == ["edges", "labels", "labels", "labels"]
     assert graph.components(edges.limit(0)).collect() == []
+
+
+def files_left(folder):
+    """Names of the tables that still hold files below a folder."""
+    return {p.parent.name for p in folder.rglob("part-*.parquet")}
+
+
+def test_near_copies_leave_only_what_their_result_reads(spark, monkeypatch, tmp_path):
+    """Signatures, candidate texts and differences go before the documents themselves are read."""
+    made = []
+
+    def folder(_, label):
+        made.append(tmp_path / f"{label}-{len(made)}")
+        return str(made[-1])
+
+    monkeypatch.setattr("rillcask.llm.common.new_folder", folder)
+    base = "a b c d e f g h i j k l m n o p q r s t u v w x y z".split()
+    texts = [" ".join(base), " ".join(base[:-1]), " ".join(base[1:]), "k l m n o p q", None]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], SCHEMA)
+    left = near.drop_near(docs)
+    tables = files_left(tmp_path)
+    assert {"members", "gone"} <= tables
+    assert all(name in ("members", "gone") or name.startswith(("labels", "edges")) for name in tables)
+    assert sorted(r.doc_id for r in left.collect()) == [0, 3, 4]
+
+
+@pytest.mark.parametrize("hit", [None, True])
+def test_drop_near_shuffles_only_what_the_filter_names(spark, monkeypatch, hit):
+    """The rows that stay are one branch of the plan without any shuffle; a filter that names every
+    row changes nothing."""
+    if hit is not None:
+        monkeypatch.setattr(near, "_possible", lambda ids: lambda column: column.isNotNull())
+    docs = spark.createDataFrame(
+        [(i, f"w{i} x{i} y{i} z{i} q{i} r{i}") for i in range(40)]
+        + [(100 + i, f"w{i} x{i} y{i} z{i} q{i} r{i}") for i in range(5)]
+        + [(7, "another text of an id that is there twice"), (None, None), (None, "n o n a m e")], SCHEMA)
+    want = {r.doc_id for r in near.near_groups(docs).filter("kept").collect()}
+    left = near.drop_near(docs)
+    got = [r.doc_id for r in left.collect()]
+    assert set(got) == want and got.count(7) == 2 and got.count(None) == 2 and len(got) == 43
+    if hit is None:
+        branches = left._jdf.queryExecution().sparkPlan().children()
+        plans = [branches.apply(i).toString() for i in range(branches.size())]
+        assert sum("Join" not in plan for plan in plans) == 1
