@@ -281,3 +281,22 @@ def test_slots_of_many_words_are_those_of_each():
     some = [b"", b"zebra", "größe".encode(), b"yak", b"zebra"]
     assert mixlm.topic_slots(some).tolist() == [mixlm.topic_slot(w) for w in some]
     assert mixlm.topic_slots([]).tolist() == []
+
+
+def test_texts_are_cut_into_words_once_for_all_rounds():
+    """The rounds of the topics read slots, not texts."""
+    texts = ["river " * 3 + "Moon", "stone", "", " \t"]
+    blobs = next(mixlm._slots(iter([pd.DataFrame({"text": texts})])))["slots"]
+    for text, blob in zip(texts, blobs):
+        want = [mixlm.topic_slot(w) for w in text.lower().encode().split()]
+        assert np.frombuffer(blob, np.uint16).tolist() == want
+    assert mixlm.TOPIC_SLOTS <= 1 << 16
+
+
+def test_counts_are_scaled_as_pairs():
+    top = mixlm.TOP
+    total = np.array([0, 0, 1, 7, top, 3, 3 * top, 1, 2, 2 * top + 1, top + 1, top + 1])
+    got = mixlm._fitting(total)
+    assert got.dtype == np.uint16 and got[:3].tolist() == [[0, 0], [1, 7], [top, 3]]
+    assert got[3].tolist() == [top, 1] and got[5].tolist() == [top, top]
+    assert got[4].tolist() == [1, top]
