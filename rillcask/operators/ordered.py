@@ -8,14 +8,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rillcask.operators.skew import (
     POS, SIZE, Hot, find_hot, hot_in, pinned, positions, same, settled, split_hot,
 )
 
 Limit = Hot | int | None
+SLICE_ROWS = 100_000  # rows in a slice of time, about
+SLICE_PIECES = 512  # slices as long as a frame, at most
 
 WindowColumns = dict[str, Callable[[WindowSpec], Column]]
 
@@ -312,8 +316,10 @@ def rolling_days(
 
     The frame is a range of time, so it may hold any number of rows. Aggregates must be sums,
     counts, minima or maxima over whole numbers, decimals or times. A hot group is cut into slices
-    as long as the frame: a frame reaches into its own slice and the one before, so each row also
-    goes to the next slice, and slices are windows of their own.
+    of time; see ``_merged_slices``, which reads each row a set number of times however long its
+    frame is. Other aggregates of a hot group are computed frame by frame: slices are as long as
+    the frame, which reaches into its own slice and the one before, so each row also goes to the
+    next slice, and slices are windows of their own.
     """
     hot = find_hot(df, part, hot)
     width = days * 86_400_000_000
@@ -326,6 +332,12 @@ def rolling_days(
     if not hot:
         return add(df, part)
     cold, big = split_hot(df, part, hot.groups)
+    merges = [_merge_of(df, agg) for agg in aggs.values()]
+    if all(merges) and days > 0:
+        largest = hot.groups.agg(F.max(SIZE)).first()[0]
+        pieces = min(SLICE_PIECES, -(-largest // max(hot.limit, SLICE_ROWS)))
+        done = _merged_slices(big, part, micros, width, aggs, merges, pieces)
+        return add(cold, part).unionByName(done)
     own = F.floor(micros / width)
     spread = big.withColumn("__own", own).withColumn(
         "__slice", F.explode(F.when(own.isNull(), F.array(own)).otherwise(F.array(own, own + 1)))
@@ -334,6 +346,104 @@ def rolling_days(
     return add(cold, part).unionByName(done.drop("__own", "__slice"))
 
 
+def _merge_of(df: DataFrame, agg: Column) -> str | None:
+    """How results over parts of a frame make that of the frame: ``sum``, ``min`` or ``max``; or
+    None where they don't, or not exactly."""
+    try:
+        found = df.agg(agg)
+    except AnalysisException:  # a function of windows only
+        return None
+    made = found._jdf.queryExecution().analyzed().aggregateExpressions().apply(0)
+    while made.getClass().getSimpleName() == "Alias":
+        made = made.child()
+    if made.getClass().getSimpleName() != "AggregateExpression" or made.isDistinct() or made.filter().isDefined():
+        return None
+    kind = made.aggregateFunction().getClass().getSimpleName().lower()
+    if kind == "sum":
+        result = found.schema[0].dataType
+        # the sum of two decimals of 38 digits may lose one
+        exact = result.typeName() == "long" or result.typeName() == "decimal" and result.precision < 38
+        return "sum" if exact else None
+    return {"count": "sum", "min": "min", "max": "max"}.get(kind)
+
+
+def _merged(kind: str, parts: list[Column], result: T.DataType) -> Column:
+    """One value of the parts' values; a part without any is null."""
+    if kind != "sum":
+        return F.least(*parts) if kind == "min" else F.greatest(*parts)
+    total = parts[0]
+    for part in parts[1:]:
+        total = F.coalesce(total + part, total, part)
+    return total.cast(result)
+
+
+def _merged_slices(
+    big: DataFrame, part: list[str], at: Column, width: int, aggs: dict[str, Column], merges: list[str],
+    pieces: int,
+) -> DataFrame:
+    """Aggregates over the last ``width`` microseconds, from parts that are computed once.
+
+    Time is cut into slices, ``pieces`` of them as long as the frame. A frame is then the end of the
+    slice where it begins, whole slices, and the beginning of its row's slice. Each slice is a window
+    of its own in which aggregates run on from its begin and back from its end. A row looks up the
+    second ``pieces`` slices earlier, where it is sorted between the rows by the time its frame begins.
+    """
+    names = [f"__{i}" for i in range(len(aggs))]
+    whole = (Window.unboundedPreceding, Window.currentRow)
+    number = F.expr(
+        f"(__at - pmod(__at, {width}L)) div {width}L * {pieces}L + (pmod(__at, {width}L) * {pieces}L) div {width}L"
+    )
+    rows = big.withColumn("__at", at).withColumn("__slice", number)
+    slices = Window.partitionBy(*part, "__slice")
+    ahead = slices.orderBy("__at").rangeBetween(*whole)
+    behind = slices.orderBy(F.col("__at").desc()).rangeBetween(*whole)
+    run = rows.select(
+        "*", *[agg.over(ahead).alias(f"{name}_own") for name, agg in zip(names, aggs.values())],
+        F.struct(*[agg.over(behind).alias(name) for name, agg in zip(names, aggs.values())]).alias("__ends"),
+    )
+    # each row as itself, with the aggregates to the end of its slice, and as a look into an earlier slice
+    looks = F.col("__look")
+    kept = [c for c in run.columns if c not in (*part, "__at", "__slice", "__ends")]
+    both = run.withColumn("__look", F.explode(F.array(F.lit(False), F.lit(True)))).select(
+        *part, "__look", *[F.when(looks, F.col(f"`{c}`")).alias(c) for c in kept],
+        F.when(looks, F.col("__at") - width).otherwise(F.col("__at")).alias("__at"),
+        F.when(looks, F.col("__slice") - pieces).otherwise(F.col("__slice")).alias("__slice"),
+        F.when(~looks, F.col("__ends")).alias("__ends"),
+    )
+    done = both.withColumn("__first", F.last("__ends", ignorenulls=True).over(behind)).where("__look")
+    result = dict(zip(names, (run.schema[f"{name}_own"].dataType for name in names)))
+    if pieces > 1:
+        between = _whole_slices(rows, part, dict(zip(names, zip(aggs.values(), merges))), pieces)
+        done = done.join(
+            between, same(done, part, "__g") & (F.col("__slice") + pieces).eqNullSafe(F.col("__s")), "left"
+        )
+    # rows without a time are a slice, and a frame, of their own
+    timed = F.col("__at").isNotNull()
+    values = []
+    for name, kind in zip(names, merges):
+        parts = [F.col(f"{name}_own"), F.when(timed, F.col(f"__first.{name}"))]
+        if pieces > 1:
+            parts.append(F.when(timed, F.col(f"{name}_between")))
+        values.append(_merged(kind, parts, result[name]))
+    return done.select(
+        *[F.col(f"`{c}`") for c in big.columns], *[value.alias(name) for name, value in zip(aggs, values)]
+    )
+
+
+def _whole_slices(rows: DataFrame, part: list[str], aggs: dict, pieces: int) -> DataFrame:
+    """One row per slice: the aggregates over the ``pieces`` - 1 slices before it."""
+    groups = [f"__g{i}" for i in range(len(part))]
+    totals = rows.groupBy(
+        *[F.col(p).alias(g) for p, g in zip(part, groups)], F.col("__slice").alias("__s")
+    ).agg(*[agg.alias(name) for name, (agg, _) in aggs.items()])
+    earlier = Window.partitionBy(*groups).orderBy("__s").rangeBetween(1 - pieces, -1)
+    merge = {"sum": F.sum, "min": F.min, "max": F.max}
+    return pinned(totals.select(
+        *groups, "__s",
+        *[merge[kind](name).over(earlier).alias(f"{name}_between") for name, (_, kind) in aggs.items()],
+    ))
+
+
 def rolling_ndv(
     df: DataFrame, part: list[str], order: list[str | Column], n: int, value: str, name: str,
     hot: Limit = None,

@@ -101,3 +101,32 @@ def test_time_frames_of_a_hot_group_are_cut(spark, rows):
     cut = ordered.rolling_days(df, ["g"], "ts", 3, aggs, hot=50)
     assert rows(cut) == rows(plain)
     assert "__slice" in cut._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("pieces", [1, 4])
+def test_time_frames_of_a_hot_group_are_merged_from_parts(spark, rows, monkeypatch, pieces):
+    """No frame is walked row by row: a row's cost does not grow with the rows in its frame."""
+    monkeypatch.setattr(ordered, "SLICE_ROWS", 500 // pieces, raising=False)
+    rnd = random.Random(5)
+    data = [(rnd.choice("aaab"), rnd.choice([None, i]), rnd.randint(0, 20 * 86_400)) for i in range(600)]
+    data += [("a", 7000, 5 * 86_400), ("a", 7001, 7 * 86_400), ("a", 7002, -86_400), ("a", 7003, None), (None, 1, 3)]
+    data += [("a", None, None)] * 2
+    df = spark.createDataFrame(data, "g string, v int, s long").select(
+        "g", "v", F.timestamp_seconds("s").alias("ts"), (F.col("v") / 3).cast("decimal(9,2)").alias("d")
+    )
+    aggs = {"total": F.sum("v"), "money": F.sum("d"), "n": F.count(F.lit(1)), "low": F.min("v"), "high": F.max("ts")}
+    plain = ordered.rolling_days(df, ["g"], "ts", 2, aggs)
+    cut = ordered.rolling_days(df, ["g"], "ts", 2, aggs, hot=50)
+    assert rows(cut) == rows(plain)
+    assert cut.schema.simpleString() == plain.schema.simpleString()
+    walked = [df._jdf.queryExecution().analyzed().toString().count("-172800000000") for df in (plain, cut)]
+    assert walked[0] == walked[1] > 0  # by the groups that are not hot, as without a limit; the hot ones add none
+    assert ("__0_between" in cut._jdf.queryExecution().toString()) == (pieces > 1)
+
+
+def test_other_aggregates_of_time_frames_keep_their_frames(spark, rows):
+    rnd = random.Random(6)
+    data = [(1, rnd.randint(0, 9), 997 * i) for i in range(200)]
+    df = spark.createDataFrame(data, "g int, v int, s long").withColumn("ts", F.timestamp_seconds("s"))
+    aggs = {"last": F.nth_value("v", 1), "mean": F.avg("v"), "wide": F.sum(F.col("v").cast("decimal(38,0)"))}
+    assert rows(ordered.rolling_days(df, ["g"], "ts", 3, aggs, hot=50)) == rows(ordered.rolling_days(df, ["g"], "ts", 3, aggs))
