@@ -9,6 +9,7 @@ the sums are put together per key, and the chunks are walked again with the ends
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -93,15 +94,78 @@ class Automaton:
         return out
 
 
-class _Chunk:
-    """Walks rows that come last first, group by group."""
+class _Walker:
+    """Takes rows that come last first, group by group, and remembers what each kind of row did.
 
-    def __init__(self, automaton: Automaton) -> None:
-        self.automaton, self.group = automaton, None
+    Every row is earlier than all ends known so far, so what it does depends only on its kind and on
+    which states share an end: ends are kept as a list from the earliest to the latest, and a state
+    of the walk says for each state of the automaton which of them it has. Each (state, kind) is
+    worked out once, by the automaton itself.
+    """
+
+    def __init__(self, automaton: Automaton, with_sets: bool) -> None:
+        self.automaton, self.with_sets = automaton, with_sets
+        self.group, self.known = None, []
+        self.forget()
+
+    def forget(self) -> None:
+        self.numbers: dict[tuple, int] = {}
+        self.shapes: list[tuple] = []
+        self.done: list[dict] = []
+
+    def number(self, shape: tuple) -> int:
+        """Number of a shape: per state of the automaton its end's place, and its set of states."""
+        if shape not in self.numbers:
+            self.numbers[shape] = len(self.shapes)
+            self.shapes.append(shape)
+            self.done.append({})
+        return self.numbers[shape]
 
     def enter(self, group, ends: list) -> None:
-        self.group, self.ends = group, ends
-        self.sets = [1 << s for s in range(self.automaton.size)]
+        self.group = group
+        if len(self.shapes) > SHAPES:
+            self.forget()
+        self.known = sorted({e for e in ends if e is not None})
+        places = tuple(None if e is None else self.known.index(e) for e in ends)
+        sets = tuple(1 << s for s in range(self.automaton.size)) if self.with_sets else ()
+        self.state = self.number((places, sets))
+
+    def moved(self, state: int, kind: str | None) -> tuple:
+        """(next state, ends kept by place, end of the match begun here by place); place -1 is the
+        row itself. Ends are None where all stay as they are."""
+        places, sets = self.shapes[state]
+        start = self.automaton.start(kind, places, -1)
+        after = self.automaton.back(kind, places, -1)
+        if self.with_sets:
+            sets = tuple(self.automaton.back_set(kind, sets))
+        kept = sorted({p for p in after if p is not None})
+        shape = (tuple(None if p is None else kept.index(p) for p in after), sets)
+        kept = None if kept == list(range(len(self.known))) else kept
+        move = self.done[state][kind] = self.number(shape), kept, start
+        return move
+
+    def ends(self) -> list:
+        return [None if p is None else self.known[p] for p in self.shapes[self.state][0]]
+
+
+SHAPES = 100_000  # remembered, at most
+
+
+def _plain(column: pa.Array) -> list:
+    return column.to_numpy().tolist() if pa.types.is_integer(column.type) and not column.null_count else column.to_pylist()
+
+
+def _runs(batch: pa.RecordBatch, n_keys: int) -> Iterator[tuple]:
+    """(group, rows of the batch) for rows in a row of the same keys and chunk."""
+    columns = [_plain(batch.column(i)) for i in range(n_keys + 1)]
+    groups = zip(*columns)
+    at, group = 0, next(groups, None)
+    for i, other in enumerate(groups, 1):
+        if other != group:
+            yield group, range(at, i)
+            at, group = i, other
+    if group is not None:
+        yield group, range(at, batch.num_rows)
 
 
 def _columns(batch: pa.RecordBatch, n_keys: int) -> Iterator[tuple]:
@@ -110,32 +174,38 @@ def _columns(batch: pa.RecordBatch, n_keys: int) -> Iterator[tuple]:
         yield row[: n_keys + 1], *row[n_keys + 1 :]
 
 
-def _ends_of(carried, size: int) -> list:
-    """Ends behind a chunk from its marker row."""
-    if carried is None:
-        return [None] * size
-    return [None if e is None else (e["at"], e["id"]) for e in carried]
-
-
 def _walk(automaton: Automaton, n_keys: int, within: int, unmatched: bool, schema: pa.Schema):
     """Rows (keys, chunk, at, kind, id, carried), each chunk's last row first; a marker row with the
     ends behind comes before them. Gives (keys, id, at, end id, end at) per match."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk = _Chunk(automaton)
+        walker = _Walker(automaton, False)
         for batch in batches:
             out = []
-            for group, at, kind, own, carried in _columns(batch, n_keys):
-                if group != chunk.group:
-                    chunk.enter(group, _ends_of(carried, automaton.size))
-                    if at is None:
-                        continue
-                here = (at, own)
-                end = automaton.start(kind, chunk.ends, here)
-                if end is not None and end[0] - at > within:
-                    end = None
-                if end is not None or unmatched and any(automaton.moves.get(kind, [()])[0]):
-                    out.append((*group[:-1], own, at, end and end[1], end and end[0]))
-                chunk.ends = automaton.back(kind, chunk.ends, here)
+            times, kinds, ids = (_plain(batch.column(n_keys + i)) for i in (1, 2, 3))
+            for group, rows in _runs(batch, n_keys):
+                if group != walker.group:
+                    carried = batch.column(n_keys + 4)[rows[0]].as_py()
+                    walker.enter(group, pickle.loads(carried) if carried else [None] * automaton.size)
+                    if times[rows[0]] is None:
+                        rows = rows[1:]
+                state, known, done = walker.state, walker.known, walker.done
+                for i in rows:
+                    kind = kinds[i]
+                    move = done[state].get(kind)
+                    if move is None:
+                        walker.known = known
+                        move = walker.moved(state, kind)
+                    state, kept, start = move
+                    if start is not None or unmatched:
+                        at, own = times[i], ids[i]
+                        end = None if start is None else (at, own) if start < 0 else known[start]
+                        if end is not None and end[0] - at > within:
+                            end = None
+                        if end is not None or unmatched and any(automaton.moves.get(kind, [()])[0]):
+                            out.append((*group[:-1], own, at, end and end[1], end and end[0]))
+                    if kept is not None:
+                        known = [known[p] if p >= 0 else (times[i], ids[i]) for p in kept]
+                walker.state, walker.known = state, known
             if out:
                 yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
@@ -143,26 +213,35 @@ def _walk(automaton: Automaton, n_keys: int, within: int, unmatched: bool, schem
 
 
 def _sum_up(automaton: Automaton, n_keys: int, schema: pa.Schema):
-    """The same rows; gives (keys, chunk, ends, sets) per chunk."""
+    """Rows (keys, chunk, at, kind, id) in the same order; gives (keys, chunk, ends and sets) per chunk."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk = _Chunk(automaton)
+        walker = _Walker(automaton, True)
 
         def row():
-            ends = [e and {"at": e[0], "id": e[1]} for e in chunk.ends]
-            return (*chunk.group, ends, chunk.sets)
+            return (*walker.group, pickle.dumps((walker.ends(), walker.shapes[walker.state][1])))
 
         for batch in batches:
             out = []
-            for group, at, kind, own, _ in _columns(batch, n_keys):
-                if group != chunk.group:
-                    if chunk.group is not None:
+            times, kinds, ids = (_plain(batch.column(n_keys + i)) for i in (1, 2, 3))
+            for group, rows in _runs(batch, n_keys):
+                if group != walker.group:
+                    if walker.group is not None:
                         out.append(row())
-                    chunk.enter(group, [None] * automaton.size)
-                chunk.ends = automaton.back(kind, chunk.ends, (at, own))
-                chunk.sets = automaton.back_set(kind, chunk.sets)
+                    walker.enter(group, [None] * automaton.size)
+                state, known, done = walker.state, walker.known, walker.done
+                for i in rows:
+                    kind = kinds[i]
+                    move = done[state].get(kind)
+                    if move is None:
+                        walker.known = known
+                        move = walker.moved(state, kind)
+                    state, kept, _ = move
+                    if kept is not None:
+                        known = [known[p] if p >= 0 else (times[i], ids[i]) for p in kept]
+                walker.state, walker.known = state, known
             if out:
                 yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
-        if chunk.group is not None:
+        if walker.group is not None:
             yield pa.record_batch([pa.array([c], f.type) for c, f in zip(row(), schema)], schema=schema)
 
     return run
@@ -174,15 +253,13 @@ def _put_together(size: int, n_keys: int, schema: pa.Schema):
         key, ends = None, []
         for batch in batches:
             out = []
-            for group, found, sets in _columns(batch, n_keys):
+            for group, summed in _columns(batch, n_keys):
                 if group[:-1] != key:
                     key, ends = group[:-1], [None] * size
-                out.append((*group, ends))
+                out.append((*group, pickle.dumps(ends)))
+                found, sets = pickle.loads(summed)
                 ends = [
-                    own or min(
-                        (e for s, e in enumerate(ends) if states >> s & 1 and e),
-                        key=lambda e: (e["at"], e["id"]), default=None,
-                    )
+                    own or min((e for s, e in enumerate(ends) if states >> s & 1 and e), default=None)
                     for own, states in zip(found, sets)
                 ]
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
@@ -215,15 +292,15 @@ def match_pattern(
         rows = rows.where(F.col("kind").isin(*automaton.moves))
     part, order = [f"k{i}" for i in range(len(keys))], [F.col("at"), F.col("id")]
     kinds = {c: rows.schema[c].dataType for c in [*part, "id"]}
-    ends_type = T.ArrayType(T.StructType([T.StructField("at", T.LongType()), T.StructField("id", kinds["id"])]))
     hot = find_hot(rows, part, hot)
-    nothing = F.lit(None).cast(ends_type)
-    columns = [*part, "chunk", "at", "kind", "id", nothing.alias("carried")]
+    # Ends go between tasks as bytes: Spark's Arrow writer sizes a batch again after each row, and for
+    # lists that are null it walks all of them each time
+    columns = [*part, "chunk", "at", "kind", "id", F.lit(None).cast("binary").alias("carried")]
     if hot:
         cold, big = split_hot(rows, part, hot.groups)
         chunk = F.floor((F.col(POS) - 1) / hot.limit)
         laid = positions(big, part, order, hot).withColumn("chunk", chunk).select(*columns)
-        markers = _markers(laid, automaton, part, kinds, ends_type)
+        markers = _markers(laid, automaton, part, kinds)
         walked = cold.withColumn("chunk", F.lit(0).cast("long")).select(*columns).unionByName(laid).unionByName(markers)
     else:
         walked = rows.withColumn("chunk", F.lit(0).cast("long")).select(*columns)
@@ -249,12 +326,12 @@ def _sorted(rows: DataFrame, part: list[str]) -> DataFrame:
     ).select(*part, "chunk", "at", "kind", "id", "carried")
 
 
-def _markers(laid: DataFrame, automaton: Automaton, part: list[str], kinds: dict, ends_type) -> DataFrame:
+def _markers(laid: DataFrame, automaton: Automaton, part: list[str], kinds: dict) -> DataFrame:
     """One row per chunk of the hot keys with the ends behind it."""
     keys = [*[T.StructField(p, kinds[p]) for p in part], T.StructField("chunk", T.LongType())]
-    sums = T.StructType([*keys, T.StructField("ends", ends_type), T.StructField("sets", T.ArrayType(T.LongType()))])
-    summed = pinned(_sorted(laid, part).mapInArrow(_sum_up(automaton, len(part), to_arrow_schema(sums)), sums))
-    behind = T.StructType([*keys, T.StructField("carried", ends_type)])
+    sums = T.StructType([*keys, T.StructField("summed", T.BinaryType())])
+    summed = pinned(_sorted(laid, part).drop("carried").mapInArrow(_sum_up(automaton, len(part), to_arrow_schema(sums)), sums))
+    behind = T.StructType([*keys, T.StructField("carried", T.BinaryType())])
     return summed.repartition(*part).sortWithinPartitions(*part, F.col("chunk").desc()).mapInArrow(
         _put_together(automaton.size, len(part), to_arrow_schema(behind)), behind
     ).select(

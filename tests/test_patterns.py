@@ -7,6 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from rillcask.operators import patterns
 from rillcask.operators.patterns import Automaton, Step, match_pattern, step
 from rillcask.session import new_folder
 from rillcask.sources.streams import read_stream
@@ -201,3 +202,40 @@ def test_days_out_of_reach_are_dropped(spark):
     assert len(sequences._days_in(spark, f"{out}/rows")) <= 4
     found = sequences.read_patterns(spark, stream, ["k"], "ts", "id", out)
     assert got(found) == plain(rows, STEPS, 86_400, "any")
+
+
+def test_remembered_moves_are_the_automatons():
+    """Each state and kind is worked out once, whatever the number of rows."""
+    rnd = random.Random(9)
+    for steps in ([step("a"), step("b", repeated=True), step("c", optional=True), step("d", "a")],
+                  [step("a", repeated=True), step("a", "b", optional=True), step("b")]):
+        for between in ("any", "none"):
+            automaton, asked = Automaton(steps, between), []
+            walker = patterns._Walker(automaton, True)
+            walker.enter(("k", 0), [None] * automaton.size)
+            ends, sets = [None] * automaton.size, [1 << s for s in range(automaton.size)]
+            for i in range(3000, 0, -1):
+                kind = rnd.choice(["a", "b", "c", "d", None])
+                move = walker.done[walker.state].get(kind)
+                if move is None:
+                    asked.append(kind)
+                    move = walker.moved(walker.state, kind)
+                state, kept, start = move
+                found = None if start is None else i if start < 0 else walker.known[start]
+                assert found == automaton.start(kind, ends, i)
+                ends, sets = automaton.back(kind, ends, i), automaton.back_set(kind, sets)
+                if kept is not None:
+                    walker.known = [walker.known[p] if p >= 0 else i for p in kept]
+                walker.state = state
+                assert walker.ends() == ends and list(walker.shapes[state][1]) == sets
+            assert len(asked) < 1000
+
+
+def test_ends_travel_as_bytes(spark):
+    """Spark's Arrow writer walks the nulls of a list column again after every row."""
+    rows = spark.createDataFrame([("u", i, i, "ab"[i % 2]) for i in range(40)], "k string, id long, at long, kind string")
+    got = match_pattern(rows.select("k", "id", "kind", F.timestamp_seconds("at").alias("t")), ["k"], "t", "kind",
+                        [step("a"), step("b")], "5 seconds", "id", "none", hot=7)
+    assert len(got.collect()) == 20
+    text = got._jdf.queryExecution().analyzed().toString()
+    assert "MapInArrow" in text and "as array<struct" not in text

@@ -257,3 +257,16 @@ def test_null_keys_go_past_the_asof_window(spark):
     got = joins.asof_join(left, right, [("k", "rk")], "t", "rt", "v")
     assert sorted(map(tuple, got.collect())) == [
         (1, None, 5, None, None, None), (2, None, 6, None, None, None), (3, "a", 7, "a", 6, 9)]
+
+
+def test_sorting_blocks_do_not_follow_a_small_limit(spark):
+    """Each block is a file and a part of every task's output; 20,000 rows once made 2,000 of them."""
+    rows = spark.range(20_000).select("id", (F.col("id") % 2).alias("k"))
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("blocks", "")
+    got = ordered.numbered(rows, ["k"], ["id"], "n", hot=10)
+    same_rows(rows.withColumn("n", F.floor(F.col("id") / 2) + 1), got)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup("blocks")]
+    tasks = [tracker.getStageInfo(s).numTasks for j in jobs for s in j.stageIds if tracker.getStageInfo(s)]
+    assert 0 < max(tasks) <= 100
