@@ -1,9 +1,11 @@
 """Tables that streams keep: upserts with compaction, first rows with retractions, lifetimes."""
 
+import random
 import threading
 from collections import Counter
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from rillcask import catalog
@@ -197,3 +199,96 @@ def test_lasting_join_in_a_session_with_another_state_store(spark):
         assert spark.conf.get(STATE_STORE) == other
     finally:
         spark.conf.set(STATE_STORE, before)
+
+
+class _Store:
+    """A state store of one value that counts its calls."""
+
+    def __init__(self):
+        self.value, self.timers, self.calls = None, set(), 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    def exists(self):
+        self.calls += 1
+        return self.value is not None
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls += 1
+        self.value = value
+
+    def clear(self):
+        self.calls += 1
+        self.value = None
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.discard(at)
+
+
+class _At:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+    getExpiryTimeInMs = getCurrentWatermarkInMs
+
+
+def test_the_store_is_called_per_bucket_and_not_per_row():
+    rnd, store = random.Random(3), _Store()
+    lives = [50_000, 20_000]
+    join = lifetimes._Remembering(lives)
+    join.init(store)
+    held, mark = {}, 0
+    for batch in range(6):
+        rows = [
+            Row(__at=batch * 30_000 + rnd.randrange(30_000), __side=rnd.randrange(2), __id=str(rnd.randrange(6)),
+                __key=[str(rnd.randrange(5))], left=None, right=None)
+            for _ in range(300)
+        ]
+        rows = [Row(**{**r.asDict(), lifetimes.SIDES[r["__side"]]: (batch, i)}) for i, r in enumerate(rows)]
+        before = store.calls
+        got = [tuple(r) for r in join.handleInputRows((7,), iter(rows), None)]
+        assert store.calls - before <= 5
+        want = []
+        for r in sorted(rows, key=lambda r: (r["__at"], r["__side"], r["__id"])):
+            at, side = r["__at"], r["__side"]
+            own = r[lifetimes.SIDES[side]]
+            for (key, other, _), (until, value) in held.items():
+                if key == r["__key"][0] and other != side and until >= at:
+                    want.append((own, value, at) if side == 0 else (value, own, at))
+            known = (r["__key"][0], side, r["__id"])
+            if known not in held or held[known][0] <= at + lives[side]:
+                held[known] = at + lives[side], own
+        assert sorted(got) == sorted(want) and got
+        mark = (batch + 1) * 30 - 5
+        for due in [t for t in store.timers if t <= mark]:
+            store.timers.discard(due)
+            assert list(join.handleExpiredTimer((7,), _At(mark), _At(due))) == []
+            assert store.timers and min(store.timers) > mark
+    store.timers.clear()
+    assert list(join.handleExpiredTimer((7,), _At(10_000), _At(10_000))) == []
+    assert store.value is None and not store.timers
+
+
+def test_texts_of_keys_are_equal_where_values_are(spark):
+    df = spark.sql("""
+        select * from values (0.0d, timestamp'2024-01-01 00:00:00.000001', X'ff00', array(1, null), 1),
+          (-0.0d, timestamp'2024-01-01 00:00:00.000002', X'ff01', array(1), 1),
+          (double('nan'), timestamp'2024-01-01 00:00:00.000001', X'ff00', array(1, null), 2) as t(a, b, c, d, e)""")
+    got = [tuple(r) for r in df.select(*[lifetimes._text(df, c) for c in df.columns]).collect()]
+    for values in zip(*got):
+        assert None not in values
+    a, b, c, d, e = zip(*got)
+    assert a[0] == a[1] != a[2] and b[0] == b[2] != b[1] and c[0] == c[2] != c[1] and d[0] == d[2] != d[1] and e[0] == e[1] != e[2]
